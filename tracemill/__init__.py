@@ -14,13 +14,14 @@ from tracemill.operators.follows import (
 )
 from tracemill.operators.graph import ProcessGraph, degrees, reachable, sink_nodes, source_nodes, summary
 from tracemill.operators.ordering import ordered_events, traces
-from tracemill.plans.fuzzy import FuzzyBase, FuzzyRun, correlation, fuzzy_graph, significance
+from tracemill.plans.fuzzy import FuzzyBase, FuzzyRun, correlation, fuzzy_graph, outgoing, significance
 from tracemill.plans.heuristic import (
     dependencies,
     dependency_cells,
     dependency_edges,
     heuristic_graph,
     heuristic_sweep,
+    terminal_edges,
     zero_cells,
 )
 from tracemill.plans.params import FuzzyParams, HeuristicParams
@@ -71,6 +72,7 @@ __all__ = [
     "max_frequency",
     "ordered_events",
     "reachable",
+    "outgoing",
     "read_csv",
     "read_csv_table",
     "read_traces",
@@ -81,6 +83,7 @@ __all__ = [
     "start_activities",
     "summary",
     "trace_lines",
+    "terminal_edges",
     "traces",
     "vocabulary",
     "write_dot",

@@ -2,8 +2,9 @@
 
 The extremes of what is left are scaled to 0 and 1. Twenty boundaries between 0.1 and 0.49 each
 propose a low set (at most the boundary) and a high set (at least one minus the boundary). Sets
-whose size is close to an even share are candidates; the one that spreads least takes the lowest
-or the highest free band. When none is close enough, the tolerance grows.
+whose size is close to an even share of what is left are candidates; when none is close enough,
+the tolerance grows. The set that is closest (in tenths of a share), and among those the one that
+spreads least, takes the lowest or the highest free band.
 
 Every round is one aggregation over the value histogram that returns one row per boundary and
 side, at most 41; only those reach the driver. The outcome is a list of at most seven cut
@@ -66,18 +67,17 @@ def band_cuts(values: DataFrame, column: str, max_bands: int = MAX_BANDS) -> lis
         .agg(F.count(F.lit(1)).alias("weight")),
         "histogram",
     )
-    whole = histogram.agg(
-        F.count(F.lit(1)), F.sum("weight"), F.min("value"), F.max("value")
+    distinct, lowest, highest = histogram.agg(
+        F.count(F.lit(1)), F.min("value"), F.max("value")
     ).first()
-    distinct, weight, lowest, highest = whole
     if distinct <= max_bands:
         return sorted(v for (v,) in histogram.select("value").collect())[1:]
 
-    share = weight / max_bands
     left, bands = distinct, max_bands
     cuts_low, cuts_high = [], []
     while bands > 1:
         low, high, middle = _proposals(histogram, lowest, highest)
+        share = _total([*low, *high, middle]).weight / bands
         chosen = _choose(low, high, share, most_values=left - (bands - 1))
         if chosen is None:
             above = histogram.where((F.col("value") > lowest) & (F.col("value") <= highest))
@@ -122,14 +122,21 @@ def _total(sums: list[_Sum]) -> _Sum:
 def _proposals(histogram: DataFrame, lowest: float, highest: float):
     """Totals per boundary and side of the values from lowest to highest, nearest edge first."""
     step = (BOUNDARY_MAX - BOUNDARY_MIN) / (BOUNDARIES - 1)
-    bounds = [BOUNDARY_MIN + i * step for i in range(BOUNDARIES)]
     x = (F.col("value") - F.lit(lowest)) / F.lit(highest - lowest)
-    slot = F.lit(0)
-    for i in reversed(range(BOUNDARIES)):
-        slot = F.when(x <= bounds[i], i + 1).when(x >= 1.0 - bounds[i], -(i + 1)).otherwise(slot)
+
+    def boundary(distance: Column) -> Column:
+        """1 for the smallest boundary that covers this distance from the edge, then 2, .."""
+        steps = F.ceil((distance - F.lit(BOUNDARY_MIN)) / F.lit(step)) + 1
+        return F.greatest(F.lit(1), F.least(steps, F.lit(BOUNDARIES)))
+
+    x_left, x_right = F.col("x"), 1.0 - F.col("x")
+    slot = F.when(x_left <= BOUNDARY_MAX, boundary(x_left)).when(
+        x_right <= BOUNDARY_MAX, -boundary(x_right)
+    )
     rows = (
         histogram.where(F.col("value").between(lowest, highest))
-        .select("value", F.col("weight").alias("w"), x.alias("x"), slot.alias("slot"))
+        .select("value", F.col("weight").alias("w"), x.alias("x"))
+        .withColumn("slot", F.coalesce(slot, F.lit(0)))
         .groupBy("slot")
         .agg(
             F.sum("w").alias("weight"),
@@ -162,5 +169,7 @@ def _choose(low: list[_Sum], high: list[_Sum], share: float, most_values: int):
     while not any(c[0] <= tolerance for c in candidates):
         tolerance += TOLERANCE_STEP
     fitting = [c for c in candidates if c[0] <= tolerance]
-    _, _, side, count = min(fitting, key=lambda c: (c[1], c[2] != "low", c[3]))
+    _, _, side, count = min(
+        fitting, key=lambda c: (round(c[0], 1), c[1], c[2] != "low", c[3])
+    )
     return side, count

@@ -34,10 +34,15 @@ _SETTINGS = ("significance", "correlation", "edge_cutoff", "utility_ratio")
 _REMOVED = "(only_node or ({0}sig < significance and {0}strongest < correlation))"
 
 
+def outgoing(model: ProcessModel) -> DataFrame:
+    """``src, total``: steps that leave an activity, self-loops counted."""
+    return model.dfg.groupBy("src").agg(F.sum("cnt").alias("total"))
+
+
 def correlation(model: ProcessModel) -> DataFrame:
-    """``src, dst, cnt, corr``: the share of what leaves ``src``, self-loops counted."""
-    out = model.dfg.groupBy("src").agg(F.sum("cnt").alias("out"))
-    return model.dfg.join(out, "src").select("src", "dst", "cnt", fmt2(F.col("cnt") / F.col("out")).alias("corr"))
+    """``src, dst, cnt, corr``: the share of a pair in what leaves ``src``."""
+    share = fmt2(F.col("cnt") / F.col("total"))
+    return model.dfg.join(outgoing(model), "src").select("src", "dst", "cnt", share.alias("corr"))
 
 
 def significance(model: ProcessModel) -> DataFrame:
@@ -256,7 +261,7 @@ class FuzzyRun:
         """``param_id, leader, number, size, sig``; numbered from 1 in the order of leaders."""
         members = self.clusters.join(self.live, ["param_id", "activity"])
         means = mean2(members, ["param_id", "leader"], ["activity"], "sig", fmt2, "sig")
-        return written(ranked(means, ["leader"], "number", keys=["param_id"]), "cluster-nodes")
+        return ranked(means, ["leader"], "number", keys=["param_id"])
 
     @property
     def cluster_names(self) -> DataFrame:

@@ -8,15 +8,22 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators.follows import ProcessModel
+from tracemill.storage import written
 
 _TABLES = tuple(f.name for f in fields(ProcessModel) if f.name != "params")
 
 
 def save_model(model: ProcessModel, path: str, overwrite: bool = False) -> None:
-    """Write the tables of a model, and its settings as rows ``name, value``."""
+    """Write the tables of a model, and its settings as rows ``name, value``.
+
+    When overwriting, the tables are stored elsewhere first: they may be read from ``path``.
+    """
     mode = "overwrite" if overwrite else "error"
-    for name in _TABLES:
-        getattr(model, name).write.mode(mode).parquet(f"{path}/{name}")
+    tables = {name: getattr(model, name) for name in _TABLES}
+    if overwrite:
+        tables = {name: written(table, "model") for name, table in tables.items()}
+    for name, table in tables.items():
+        table.write.mode(mode).parquet(f"{path}/{name}")
     settings = F.array(
         *[
             F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("value"))

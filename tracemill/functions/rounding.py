@@ -52,26 +52,18 @@ def mean2(
     ``ordered_rows`` rows, are added up in ``order``. Larger tied groups go to the even hundredth.
     """
     keys = list(keys)
-    cents = F.rint(F.col(value) * F.lit(100.0)).cast("long")
-    sums = df.groupBy(*keys).agg(F.sum(cents).alias("_s"), F.count(F.lit(1)).alias("size"))
-    s, n = F.col("_s"), F.col("size")
-    tied = (F.lit(2) * s) % (F.lit(2) * n) == n
-    small_ties = sums.where(tied & (n <= ordered_rows)).select(*keys)
-    row = F.struct(*order, value)
-    in_order = F.aggregate(
-        F.array_sort(F.collect_list(row)), F.lit(0.0), lambda acc, x: acc + x[value]
+    sums = df.groupBy(*keys).agg(
+        F.expr(f"sum(cast(rint({value} * 100D) as bigint)) as _s"), F.expr("count(1) as size")
     )
-    sums_in_order = (
-        df.join(small_ties, keys, "left_semi")
-        .groupBy(*keys)
-        .agg((in_order / F.count(F.lit(1)).cast("double")).alias("_m"))
-    )
-    below = F.expr("_s div size")
-    even = F.when(below % 2 == 0, below).otherwise(below + 1)
-    nearest = F.expr("(2 * _s + size) div (2 * size)")
+    tied = "2 * _s % (2 * size) = size"
+    small_ties = sums.where(f"{tied} and size <= {ordered_rows}").select(*keys)
+    in_order = f"""aggregate(array_sort(collect_list(struct({', '.join(order)}, {value}))), 0D,
+        (total, x) -> total + x.{value}) / cast(count(1) as double) as _m"""
+    sums_in_order = df.join(small_ties, keys, "left_semi").groupBy(*keys).agg(F.expr(in_order))
+    # Halves: the ordered sum decides; without it, the even neighbour.
     result = (
-        F.when(~tied, nearest / F.lit(100.0))
+        F.when(F.expr(f"not ({tied})"), F.expr("((2 * _s + size) div (2 * size)) / 100D"))
         .when(F.col("_m").isNotNull(), rounding(F.col("_m")))
-        .otherwise(even / F.lit(100.0))
+        .otherwise(F.expr("(_s div size + (_s div size) % 2) / 100D"))
     )
     return sums.join(sums_in_order, keys, "left").select(*keys, "size", result.alias(out))

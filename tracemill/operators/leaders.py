@@ -67,57 +67,47 @@ def leaders(seeds: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame
 
 
 def _settle_blocks(waiting: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
-    same_block = F.expr(f"(lo - 1) div {block} = (hi - 1) div {block}")
-    lo_leads = F.col("lo_leads")
+    inside = f"(lo - 1) div {block} = (hi - 1) div {block}"
     per_seed = pairs.groupBy("param_id", "hi").agg(
-        F.max(lo_leads).alias("drops"),
-        F.max(~lo_leads & ~same_block).alias("waits"),
+        F.expr("max(lo_leads) as drops"),
+        F.expr(f"max(not lo_leads and not ({inside})) as waits"),
         # At most ``block`` entries: links inside one block only.
-        F.collect_list(F.when(~lo_leads & same_block, F.col("lo"))).alias("before"),
-    )
-    seed = F.struct(
-        F.col("hi").alias("idx"),
-        F.coalesce("drops", F.lit(False)).alias("drops"),
-        F.coalesce("waits", F.lit(False)).alias("waits"),
-        F.coalesce("before", F.expr(_NONE)).alias("before"),
+        F.expr(f"collect_list(if(not lo_leads and {inside}, lo, null)) as before"),
     )
     blocks = (
         waiting.join(per_seed, ["param_id", "hi"], "left")
-        .groupBy("param_id", F.expr(f"(hi - 1) div {block}").alias("block"))
-        .agg(F.array_sort(F.collect_list(seed)).alias("seeds"))
-    )
-
-    def step(acc, s):
-        after_leader = s["drops"] | F.arrays_overlap(s["before"], acc["lead"])
-        after_waiting = s["waits"] | F.arrays_overlap(s["before"], acc["wait"])
-        leads = F.struct(F.array_append(acc["lead"], s["idx"]).alias("lead"), acc["wait"].alias("wait"))
-        waits = F.struct(acc["lead"].alias("lead"), F.array_append(acc["wait"], s["idx"]).alias("wait"))
-        return F.when(after_leader, acc).when(after_waiting, waits).otherwise(leads)
-
-    start = F.struct(F.expr(_NONE).alias("lead"), F.expr(_NONE).alias("wait"))
-    folded = blocks.withColumn("done", F.aggregate("seeds", start, step))
-    state = (
-        F.when(F.array_contains("done.lead", F.col("idx")), "leads")
-        .when(F.array_contains("done.wait", F.col("idx")), "waits")
-        .otherwise("drops")
+        .selectExpr(
+            "param_id",
+            f"(hi - 1) div {block} as block",
+            f"""struct(hi as idx, coalesce(drops, false) as drops, coalesce(waits, false) as waits,
+                coalesce(before, {_NONE}) as before) as seed""",
+        )
+        .groupBy("param_id", "block")
+        .agg(F.expr("array_sort(collect_list(seed)) as seeds"))
     )
+    # Seeds in label order; those that drop leave the two lists as they are.
+    fold = f"""aggregate(seeds, struct({_NONE} as lead, {_NONE} as wait), (done, s) ->
+        case when s.drops or arrays_overlap(s.before, done.lead) then done
+             when s.waits or arrays_overlap(s.before, done.wait)
+                 then struct(done.lead as lead, array_append(done.wait, s.idx) as wait)
+             else struct(array_append(done.lead, s.idx) as lead, done.wait as wait) end)"""
     return (
-        folded.select("param_id", "done", F.explode("seeds.idx").alias("idx"))
-        .select("param_id", "idx", state.alias("state"))
+        blocks.selectExpr("param_id", f"{fold} as done", "seeds.idx as ids")
+        .selectExpr("param_id", "done", "explode(ids) as idx")
+        .selectExpr(
+            "param_id",
+            "idx",
+            """case when array_contains(done.lead, idx) then 'leads'
+                when array_contains(done.wait, idx) then 'waits' else 'drops' end as state""",
+        )
     )
 
 
 def clusters(seeds: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
     """Members of clusters: ``param_id, activity, leader``, each activity at most once."""
     lead = written(leaders(seeds, links, block), "leaders")
-    ends = links.select(
-        "param_id",
-        F.inline(
-            F.array(
-                F.struct(F.col("a").alias("leader"), F.col("b").alias("activity")),
-                F.struct(F.col("b").alias("leader"), F.col("a").alias("activity")),
-            )
-        ),
+    ends = links.selectExpr(
+        "param_id", "inline(array(struct(a as leader, b as activity), struct(b as leader, a as activity)))"
     )
     claimed = (
         ends.join(lead.withColumnRenamed("activity", "leader"), ["param_id", "leader"])

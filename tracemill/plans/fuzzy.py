@@ -147,46 +147,46 @@ class FuzzyRun:
         that do not occur it is enough to know which significance values are left over when the
         sources that do occur, and the target itself, are taken out.
         """
-        nonzero = F.when(F.col("util") != 0, F.col("util"))
+        off = "utility_ratio = 0 and edge_cutoff = 0"
+        # Both arrays have one entry per significance value: at most 101.
         seen = (
             self.utility.groupBy("param_id", "dst", "src_sig")
             .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.max("util").alias("max_util"),
-                F.min(nonzero).alias("min_util"),
+                F.expr("count(1) as n"),
+                F.expr("max(util) as max_util"),
+                F.expr("min(nullif(util, 0D)) as min_util"),
             )
             .groupBy("param_id", "dst")
             .agg(
-                # One entry per significance value: at most 101.
-                F.map_from_entries(F.collect_list(F.struct("src_sig", "n"))).alias("seen"),
-                F.max("max_util").alias("max_seen"),
-                F.min("min_util").alias("min_seen"),
+                F.expr("map_from_entries(collect_list(struct(src_sig, n))) as seen"),
+                F.expr("max(max_util) as max_seen"),
+                F.expr("min(min_util) as min_seen"),
             )
         )
         live = self._all_nodes.where("not removed")
-        counts = live.groupBy("param_id", *_SETTINGS, "sig").agg(F.count(F.lit(1)).alias("n"))
-        by_sig = counts.groupBy("param_id", *_SETTINGS).agg(
-            F.collect_list(F.struct("sig", "n")).alias("by_sig")
+        by_sig = (
+            live.groupBy("param_id", *_SETTINGS, "sig")
+            .agg(F.expr("count(1) as n"))
+            .groupBy("param_id", *_SETTINGS)
+            .agg(F.expr("collect_list(struct(sig, n)) as by_sig"))
         )
-        unseen = F.filter(
-            "by_sig",
-            lambda h: h["n"]
-            > F.coalesce(F.try_element_at("seen", h["sig"]), F.lit(0))
-            + F.when(h["sig"] == F.col("sig"), 1).otherwise(0),
-        )
-        values = F.transform(unseen, lambda h: np2(h["sig"] * F.col("utility_ratio")))
-        off = F.expr("utility_ratio = 0 and edge_cutoff = 0")
+        unseen = """filter(by_sig, h -> h.n > coalesce(try_element_at(seen, h.sig), 0)
+            + if(h.sig = sig, 1, 0))"""
+        value = "rint(h.sig * utility_ratio * 100D) / 100D"
         return (
             live.select("param_id", F.col("activity").alias("dst"), "sig")
             # One row per setting.
             .join(F.broadcast(by_sig), "param_id")
             .join(seen, ["param_id", "dst"], "left")
-            .withColumn("unseen", F.when(off, F.array().cast("array<double>")).otherwise(values))
-            .select(
+            .selectExpr(
+                "param_id", "dst", "max_seen", "min_seen",
+                f"if({off}, cast(array() as array<double>), transform({unseen}, h -> {value})) as unseen",
+            )
+            .selectExpr(
                 "param_id",
                 "dst",
-                F.greatest("max_seen", F.array_max("unseen"), F.lit(0.0)).alias("max_util"),
-                F.least("min_seen", F.array_min(F.filter("unseen", lambda x: x != 0))).alias("min_util"),
+                "greatest(max_seen, array_max(unseen), 0D) as max_util",
+                "least(min_seen, array_min(filter(unseen, x -> x <> 0))) as min_util",
             )
         )
 
@@ -304,11 +304,10 @@ class FuzzyRun:
         )
         columns = ["param_id", "src", "dst", "corr", "filtered"]
         for side in ("src", "dst"):
-            leader = F.col(f"{side}_leader")
-            columns.append(F.coalesce(leader, F.col(side)).alias(f"{side}_end"))
-            columns.append(F.when(leader.isNull(), "activity").otherwise("cluster").alias(f"{side}_kind"))
+            columns.append(f"coalesce({side}_leader, {side}) as {side}_end")
+            columns.append(f"if({side}_leader is null, 'activity', 'cluster') as {side}_kind")
         inside = "src_kind = 'cluster' and dst_kind = 'cluster' and src_end = dst_end"
-        return written(mapped.select(*columns).where(f"not ({inside})"), "edge-ends")
+        return written(mapped.selectExpr(*columns).where(f"not ({inside})"), "edge-ends")
 
     @property
     def edges(self) -> DataFrame:

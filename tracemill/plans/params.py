@@ -4,7 +4,7 @@ answers all of them without a join."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, fields
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,11 +42,13 @@ class FuzzyParams:
 
 def param_rows(params: Sequence) -> Column:
     """An array of structs ``param_id, <settings>``; ids count from 0 in the order given."""
+
+    def literal(value) -> str:
+        return f"{value}L" if isinstance(value, int) else f"{float(value)!r}D"
+
     rows = []
     for i, p in enumerate(params):
-        row = [F.lit(i).cast("long").alias("param_id")]
-        for name, value in asdict(p).items():
-            kind = "long" if isinstance(value, int) and name == "min_frequency" else "double"
-            row.append(F.lit(value).cast(kind).alias(name))
-        rows.append(F.struct(*row))
-    return F.array(*rows)
+        settings = {f.name: (int if f.type == "int" else float)(getattr(p, f.name)) for f in fields(p)}
+        named = [f"'{name}', {literal(v)}" for name, v in {"param_id": i, **settings}.items()]
+        rows.append(f"named_struct({', '.join(named)})")
+    return F.expr(f"array({', '.join(rows)})")

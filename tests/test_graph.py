@@ -42,8 +42,10 @@ def graph_of(spark, n, links):
 @pytest.mark.parametrize("block", [1, 4, 1000])
 def test_reachable(spark, block):
     r = random.Random(block)
-    shapes = [(9, [(i, i + 1) for i in range(8)]), (9, [(i + 1, i) for i in range(8)]), (5, [])]
-    shapes += [(14, [(a, b) for a in range(14) for b in range(14) if r.random() < 0.09]) for _ in range(3)]
+    n = 5 if block == 1 else 14
+    shapes = [(5, [(i, i + 1) for i in range(4)]), (3, [])]
+    shapes += [(n, [(a, b) for a in range(n) for b in range(n) if r.random() < 1.3 / n])]
+    shapes += [(n, [(a + 1, a) for a in range(n - 1)] + [(0, n - 1)])]
     for n, links in shapes:
         g = graph_of(spark, n, links)
         root = g.nodes.where("node = 'n00'")

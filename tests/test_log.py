@@ -90,6 +90,15 @@ def test_copies_beyond_one_row_are_split(spark, monkeypatch):
         (c, i, a) for c, t in ordered.items() for i, a in enumerate(t, 1))
 
 
+def test_long_traces_are_split(spark):
+    r = random.Random(5)
+    long_one = [r.choice("abc") for _ in range(300)]
+    log = log_of(spark, [long_one, ["a", "b"], ["c"]], hot_case_rows=20)
+    assert split_hot_cases(log).segments is not None
+    want = Counter(zip(long_one, long_one[1:])) + Counter([("a", "b")])
+    assert {(a, b): n for a, b, n in rows(directly_follows(log), "src", "dst", "cnt")} == want
+
+
 def test_dropped_rows_are_counted(spark):
     df = spark.createDataFrame(
         [(None, 1, "a"), (1, 1, None), (None, 1, None), (1, 2, "b")],

@@ -62,9 +62,9 @@ class _Sum:
 def band_cuts(values: DataFrame, column: str, max_bands: int = MAX_BANDS) -> list[float]:
     """Lower edges of bands 1, 2, ..: a value is in band k when k of them are at most the value."""
     histogram = written(
-        values.where(F.col(column).isNotNull())
+        values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
         .groupBy(F.col(column).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("weight")),
+        .agg(F.expr("count(1) as weight")),
         "histogram",
     )
     distinct, lowest, highest = histogram.agg(
@@ -122,29 +122,28 @@ def _total(sums: list[_Sum]) -> _Sum:
 def _proposals(histogram: DataFrame, lowest: float, highest: float):
     """Totals per boundary and side of the values from lowest to highest, nearest edge first."""
     step = (BOUNDARY_MAX - BOUNDARY_MIN) / (BOUNDARIES - 1)
-    x = (F.col("value") - F.lit(lowest)) / F.lit(highest - lowest)
 
-    def boundary(distance: Column) -> Column:
+    def boundary(distance: str) -> str:
         """1 for the smallest boundary that covers this distance from the edge, then 2, .."""
-        steps = F.ceil((distance - F.lit(BOUNDARY_MIN)) / F.lit(step)) + 1
-        return F.greatest(F.lit(1), F.least(steps, F.lit(BOUNDARIES)))
+        steps = f"ceil(({distance} - {BOUNDARY_MIN!r}D) / {step!r}D) + 1"
+        return f"greatest(1, least({steps}, {BOUNDARIES}))"
 
-    x_left, x_right = F.col("x"), 1.0 - F.col("x")
-    slot = F.when(x_left <= BOUNDARY_MAX, boundary(x_left)).when(
-        x_right <= BOUNDARY_MAX, -boundary(x_right)
-    )
     rows = (
         histogram.where(F.col("value").between(lowest, highest))
-        .select("value", F.col("weight").alias("w"), x.alias("x"))
-        .withColumn("slot", F.coalesce(slot, F.lit(0)))
+        .selectExpr("value", "weight", f"(value - {lowest!r}D) / ({highest!r}D - {lowest!r}D) as x")
+        .selectExpr(
+            "*",
+            f"""case when x <= {BOUNDARY_MAX!r}D then {boundary('x')}
+                when 1D - x <= {BOUNDARY_MAX!r}D then -{boundary('(1D - x)')} else 0 end as slot""",
+        )
         .groupBy("slot")
         .agg(
-            F.sum("w").alias("weight"),
-            F.count(F.lit(1)).alias("values"),
-            F.sum(F.col("w") * F.col("x")).alias("total"),
-            F.sum(F.col("w") * F.col("x") * F.col("x")).alias("squares"),
-            F.min("value").alias("lowest"),
-            F.max("value").alias("highest"),
+            F.expr("sum(weight)"),
+            F.expr("count(1)"),
+            F.expr("sum(weight * x)"),
+            F.expr("sum(weight * x * x)"),
+            F.expr("min(value)"),
+            F.expr("max(value)"),
         )
         .collect()
     )

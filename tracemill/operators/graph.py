@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.ranking import ranked
-from tracemill.storage import written
+from tracemill.storage import Collected, written
 
 BLOCK = 1_000
 
@@ -72,58 +72,62 @@ def reachable(graph: ProcessGraph, roots: DataFrame | None = None, block: int =
         roots = source_nodes(graph)
     roots = roots.select("node", "node_kind").distinct()
     kinds = graph.nodes.select("node", "node_kind")
-    numbered = written(ranked(kinds, ["node_kind", "node"], "idx"), "numbered-nodes")
-    block_of = "({0} - 1) div " + str(block)
-
-    def numbers(side):
-        return numbered.select(
-            F.col("node").alias(side), F.col("node_kind").alias(f"{side}_kind"), F.col("idx").alias(f"{side}_idx")
-        )
-
-    links = written(
+    numbered = ranked(kinds, ["node_kind", "node"], "idx")
+    ends = {
+        side: numbered.selectExpr(f"node as {side}", f"node_kind as {side}_kind", f"idx as {side}_idx")
+        for side in ("src", "dst")
+    }
+    links = (
         graph.edges.select("src", "src_kind", "dst", "dst_kind")
         .distinct()
-        .join(numbers("src"), ["src", "src_kind"])
-        .join(numbers("dst"), ["dst", "dst_kind"])
-        .select("src_idx", "dst_idx"),
-        "numbered-links",
-    )
-    inside = F.expr(f"{block_of.format('src_idx')} = {block_of.format('dst_idx')}")
-    # At most ``block`` targets per node.
-    targets = links.where(inside).groupBy("src_idx").agg(F.collect_list("dst_idx").alias("targets"))
-    local = written(
-        numbered.join(targets, numbered["idx"] == targets["src_idx"], "left").select(
-            "idx",
-            F.expr(block_of.format("idx")).alias("block"),
-            F.coalesce("targets", F.expr("cast(array() as array<bigint>)")).alias("targets"),
-        ),
-        "local-links",
+        .join(ends["src"], ["src", "src_kind"])
+        .join(ends["dst"], ["dst", "dst_kind"])
+        .select("src_idx", "dst_idx")
     )
-    crossing = links.where(~inside)
     new = numbered.join(roots, ["node", "node_kind"], "left_semi").select("idx")
-    seen = None
-    while True:
-        new = written(new, "frontier")
-        if new.isEmpty():
-            break
-        old = seen if seen is not None else new.limit(0)
-        grown = written(_close_blocks(local, old, new), "reached")
-        fresh = grown.join(old, "idx", "left_anti")
-        seen = grown if seen is None else written(seen.unionByName(fresh), "seen")
-        new = (
-            crossing.join(fresh.withColumnRenamed("idx", "src_idx"), "src_idx", "left_semi")
-            .select(F.col("dst_idx").alias("idx"))
-            .distinct()
-            .join(seen, "idx", "left_anti")
-        )
-    if seen is None:
-        return kinds.withColumn("reached", F.lit(False))
+    if numbered.where(F.col("idx") > block).isEmpty():
+        seen = _close_blocks(_inside_blocks(numbered, links, block), new.limit(0), new)
+    else:
+        seen = _follow(numbered, links, new, block)
     reached = seen.withColumn("reached", F.lit(True))
-    return numbered.join(reached, "idx", "left").select(
-        "node", "node_kind", F.coalesce("reached", F.lit(False)).alias("reached")
+    return numbered.join(reached, "idx", "left").selectExpr(
+        "node", "node_kind", "coalesce(reached, false) as reached"
+    )
+
+
+def _same_block(block: int) -> str:
+    return f"(src_idx - 1) div {block} = (dst_idx - 1) div {block}"
+
+
+def _inside_blocks(numbered: DataFrame, links: DataFrame, block: int) -> DataFrame:
+    """``idx, block, targets``: the nodes of the same block an edge leads to, at most ``block``."""
+    targets = links.where(_same_block(block)).groupBy(F.col("src_idx").alias("idx"))
+    return numbered.join(
+        targets.agg(F.collect_list("dst_idx").alias("targets")), "idx", "left"
+    ).selectExpr(
+        "idx",
+        f"(idx - 1) div {block} as block",
+        "coalesce(targets, cast(array() as array<bigint>)) as targets",
     )
 
 
+def _follow(numbered: DataFrame, links: DataFrame, new: DataFrame, block: int) -> DataFrame:
+    links = written(links, "numbered-links")
+    local = written(_inside_blocks(numbered, links, block), "local-links")
+    crossing = links.where(f"not ({_same_block(block)})")
+    new = written(new, "frontier")
+    seen = Collected(new.sparkSession, new.schema, "seen")
+    while not new.isEmpty():
+        before = seen.table()
+        grown = written(_close_blocks(local, before, new), "reached")
+        seen.add(grown.join(before, "idx", "left_anti"))
+        # Reached over an edge between blocks, and not seen before.
+        onward = crossing.join(grown.withColumnRenamed("idx", "src_idx"), "src_idx", "left_semi")
+        onward = onward.select(F.col("dst_idx").alias("idx")).distinct()
+        new = written(onward.join(seen.table(), "idx", "left_anti"), "frontier")
+    return seen.table()
+
+
 def _close_blocks(local: DataFrame, seen: DataFrame, new: DataFrame) -> DataFrame:
     """Everything reached from ``new`` along edges inside the blocks that hold it."""
     marks = new.withColumn("new", F.lit(True)).unionByName(seen.withColumn("new", F.lit(False)))
@@ -133,25 +137,16 @@ def _close_blocks(local: DataFrame, seen: DataFrame, new: DataFrame) -> DataFram
         .join(marks, "idx", "left")
         .groupBy("block")
         .agg(
-            F.collect_list(F.when(F.col("new"), F.col("idx"))).alias("front"),
-            F.collect_list(F.when(F.col("new").isNotNull(), F.col("idx"))).alias("seen"),
-            F.collect_list(F.struct("idx", "targets")).alias("nodes"),
+            F.expr("collect_list(if(new, idx, null)) as front"),
+            F.expr("collect_list(if(new is not null, idx, null)) as seen"),
+            F.expr("collect_list(struct(idx, targets)) as nodes"),
         )
     )
-
-    def step(acc, _):
-        onward = F.flatten(
-            F.transform(
-                F.filter("nodes", lambda n: F.array_contains(acc["front"], n["idx"])),
-                lambda n: n["targets"],
-            )
-        )
-        following = F.array_except(onward, acc["seen"])
-        moved = F.struct(
-            F.array_union(acc["seen"], following).alias("seen"), following.alias("front")
-        )
-        return F.when(F.size(acc["front"]) == 0, acc).otherwise(moved)
-
-    start = F.struct("seen", "front")
-    closed = F.aggregate(F.expr("sequence(1, size(nodes))"), start, step, lambda acc: acc["seen"])
-    return blocks.select(F.explode(closed).alias("idx"))
+    # One step per node is enough to get everywhere; steps with nothing new cost nothing.
+    onward = """flatten(transform(filter(nodes, n -> array_contains(done.front, n.idx)),
+        n -> n.targets))"""
+    closed = f"""aggregate(sequence(1, size(nodes)), struct(seen, front), (done, i) ->
+        case when size(done.front) = 0 then done
+        else struct(array_union(done.seen, {onward}) as seen,
+            array_except({onward}, done.seen) as front) end, done -> done.seen)"""
+    return blocks.selectExpr(f"explode({closed}) as idx")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.ranking import ranked
-from tracemill.storage import written
+from tracemill.storage import Collected, written
 
 BLOCK = 1_000
 
@@ -46,24 +46,25 @@ def leaders(seeds: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame
         # One block per setting: nothing waits.
         found = _settle_blocks(waiting, pairs, block).where("state = 'leads'")
         return numbered.join(found, ["param_id", "idx"], "left_semi").select("param_id", "activity")
-    found = None
+    found = Collected(seeds.sparkSession, waiting.withColumnRenamed("hi", "idx").schema, "leaders")
     while True:
         pairs = written(pairs, "seed-links")
         states = written(_settle_blocks(waiting, pairs, block), "seed-states")
-        settled = states.where("state = 'leads'").select("param_id", "idx")
-        found = settled if found is None else found.unionByName(settled)
-        still = states.where("state = 'waits'").select("param_id", F.col("idx").alias("hi"))
-        if still.isEmpty():
+        found.add(states.where("state = 'leads'").select("param_id", "idx"))
+        waiting = states.where("state = 'waits'").select("param_id", F.col("idx").alias("hi"))
+        if waiting.isEmpty():
             break
-        waiting = still
         lo_state = states.select("param_id", F.col("idx").alias("lo"), "state")
+        # A smaller seed that leads has settled this one; one that dropped is out of the way.
         pairs = (
             pairs.join(waiting, ["param_id", "hi"], "left_semi")
             .join(lo_state, ["param_id", "lo"], "left")
             .where("lo_leads or state <> 'drops'")
             .select("param_id", "lo", "hi", F.expr("lo_leads or state = 'leads'").alias("lo_leads"))
         )
-    return numbered.join(found, ["param_id", "idx"], "left_semi").select("param_id", "activity")
+    return numbered.join(found.table(), ["param_id", "idx"], "left_semi").select(
+        "param_id", "activity"
+    )
 
 
 def _settle_blocks(waiting: DataFrame, pairs: DataFrame, block: int) -> DataFrame:

@@ -41,11 +41,11 @@ def split_hot_cases(log: EventLog) -> SplitLog:
 
 
 def _split(log: EventLog) -> SplitLog:
-    rows = log.source.count()
+    rows = log.row_count()
     limit = max(log.hot_case_rows, rows // MAX_HOT_CASES)
     if rows <= limit:
         return SplitLog(log.events, None)
-    sizes = log.events.groupBy("case_id").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = log.case_sizes().groupBy("case_id").agg(F.sum("rows").alias("rows"))
     hot = written(sizes.where(F.col("rows") > limit), "hot-cases")
     hot_rows = hot.agg(F.sum("rows")).first()[0]
     if not hot_rows:

@@ -45,6 +45,7 @@ class EventLog:
         self.source = df
         self.roles = {"case": case, "ts": ts, "activity": activity, "tie": list(tie)}
         self.hot_case_rows = hot_case_rows
+        self._sizes: DataFrame | None = None
         self.tie_columns = [f"tie_{i}" for i in range(len(tie))]
         self.events = df.select(
             F.col(_quoted(case)).alias("case_id"),
@@ -74,7 +75,23 @@ class EventLog:
         case_id = F.col(_quoted(case)) if case else F.monotonically_increasing_id()
         one_per_case = df.select(case_id.alias("case"), F.col(_quoted(trace)).alias("trace"))
         events = one_per_case.select("case", F.posexplode("trace").alias("timestamp", "event"))
-        return cls(events, **options)
+        log = cls(events, **options)
+        log._sizes = one_per_case.where("trace is not null").select(
+            F.col("case").alias("case_id"), F.size("trace").cast("long").alias("rows")
+        )
+        return log
+
+    def case_sizes(self) -> DataFrame:
+        """``case_id, rows``, to be added up per case. Arrays are not taken apart for it."""
+        if self._sizes is not None:
+            return self._sizes
+        return self.events.select("case_id", F.lit(1).cast("long").alias("rows"))
+
+    def row_count(self) -> int:
+        """At least the number of events."""
+        if self._sizes is None:
+            return self.source.count()
+        return self._sizes.agg(F.sum("rows")).first()[0] or 0
 
     @property
     def order_columns(self) -> list[str]:

@@ -37,3 +37,18 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Collected:
+    """A stored table that grows by the rows of each round of a loop."""
+
+    def __init__(self, spark: SparkSession, schema, label: str):
+        self.spark, self.schema, self.path = spark, schema, new_dir(spark, label)
+        self.add(spark.createDataFrame([], schema))
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+
+    def table(self) -> DataFrame:
+        """Everything added so far."""
+        return self.spark.read.schema(self.schema).parquet(self.path)

@@ -13,6 +13,7 @@ SHAPES = {
     "nine": lambda r: [2**k for k in range(9)],
     "one": lambda r: [7] * 5,
     "shares": lambda r: [r.random() for _ in range(200)],
+    "wide": lambda r: [-5e-7, 1e-5, 1e17, 3e16, -2e16, 0, 1, 2, 3, 4, 5, 6e15],
     "mirror": lambda r: [0, 1, 2, 3, 50, 51, 52, 53, 54, 100, 101, 102, 103],
 }
 

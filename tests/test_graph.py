@@ -13,6 +13,7 @@ from tracemill import (
     heuristic_graph,
     load_model,
     reachable,
+    redraw,
     save_model,
     sink_nodes,
     source_nodes,
@@ -135,5 +136,7 @@ def test_save_and_load(spark, tmp_path):
     save_model(back, str(tmp_path / "m"), overwrite=True)
     back = load_model(spark, str(tmp_path / "m"))
     assert back.params == {"dependency": 0.3}
-    assert rows(heuristic_graph(back, 0.2, 4, sizes=False).edges, "src", "dst") == rows(
-        heuristic_graph(model, 0.2, 4, sizes=False).edges, "src", "dst")
+    assert rows(redraw(back, sizes=False).edges, "src", "dst") == rows(
+        heuristic_graph(model, 0.3, 1, sizes=False).edges, "src", "dst")
+    back.params = {"significance": 0.5, "correlation": 0.5}
+    assert rows(redraw(back, sizes=False).nodes, "node") == [(n,) for n in "abdfgk"]

@@ -29,6 +29,7 @@ from tracemill.sinks import (
     fuzzy_dot,
     heuristic_dot,
     load_model,
+    redraw,
     save_model,
     trace_lines,
     write_dot,
@@ -76,6 +77,7 @@ __all__ = [
     "read_csv",
     "read_csv_table",
     "read_traces",
+    "redraw",
     "save_model",
     "significance",
     "sink_nodes",

@@ -1,4 +1,4 @@
-from tracemill.sinks.models import load_model, save_model
+from tracemill.sinks.models import load_model, redraw, save_model
 from tracemill.sinks.text import (
     fuzzy_dot,
     heuristic_dot,
@@ -11,6 +11,7 @@ __all__ = [
     "fuzzy_dot",
     "heuristic_dot",
     "load_model",
+    "redraw",
     "save_model",
     "trace_lines",
     "write_dot",

@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators.follows import ProcessModel
+from tracemill.operators.graph import ProcessGraph
+from tracemill.plans.fuzzy import fuzzy_graph
+from tracemill.plans.heuristic import heuristic_graph
 from tracemill.storage import written
 
 _TABLES = tuple(f.name for f in fields(ProcessModel) if f.name != "params")
@@ -39,3 +42,13 @@ def load_model(spark: SparkSession, path: str) -> ProcessModel:
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in _TABLES}
     params = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/params").collect()}
     return ProcessModel(**tables, params=params or None)
+
+
+def redraw(model: ProcessModel, sizes: bool = True) -> ProcessGraph:
+    """The graph of a model with the settings it carries, of either miner."""
+    params = dict(model.params or {})
+    if "significance" in params or "correlation" in params:
+        return fuzzy_graph(model, **params, sizes=sizes)
+    if "min_frequency" in params:
+        params["min_frequency"] = int(params["min_frequency"])
+    return heuristic_graph(model, **params, sizes=sizes)

@@ -21,8 +21,9 @@ def trace_lines(log: EventLog, part_rows: int = PART_ROWS) -> DataFrame:
 def write_traces(log: EventLog, path: str, part_rows: int = PART_ROWS) -> None:
     """One case per line under ``path``.
 
-    Cases longer than ``part_rows`` events do not go on one line; they are written under
-    ``<path>_long/case_id=../part=../``, one file folder per part, to be read in part order.
+    Cases longer than ``part_rows`` events do not go on one line. They are written line after
+    line under ``<path>_long/case_id=..``; the files of that folder, in name order, hold the
+    parts of the case in order.
     """
     lines = written(trace_lines(log, part_rows), "trace-lines")
     long_cases = lines.where("part > 0").select("case_id").distinct()
@@ -30,8 +31,13 @@ def write_traces(log: EventLog, path: str, part_rows: int = PART_ROWS) -> None:
         lines.select("value").write.text(path)
         return
     lines.join(long_cases, "case_id", "left_anti").select("value").write.text(path)
-    lines.join(long_cases, "case_id", "left_semi").write.partitionBy("case_id", "part").text(
-        f"{path.rstrip('/')}_long"
+    (
+        lines.join(long_cases, "case_id", "left_semi")
+        .repartitionByRange("case_id", "part")
+        .sortWithinPartitions("case_id", "part")
+        .select("case_id", "value")
+        .write.partitionBy("case_id")
+        .text(f"{path.rstrip('/')}_long")
     )
 
 

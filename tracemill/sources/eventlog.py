@@ -24,6 +24,9 @@ class EventLog:
     Events of a case are ordered by ``ts``, then the ``tie`` columns, then the activity, with
     missing values last. What is still equal after that is the same row, so any order of it
     gives the same result.
+
+    Ordering first counts the rows, and the rows per case when there are many, so a table that
+    is costly to compute is better stored before it becomes a log.
     """
 
     def __init__(

@@ -30,11 +30,18 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_csv_table(
-    spark: SparkSession, path: str, sep: str | None = None, schema: StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    sep: str | None = None,
+    schema: StructType | str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """All columns of a CSV file with a header; text columns unless ``schema`` says otherwise."""
+    """All columns of a CSV file with a header; text columns unless ``schema`` says otherwise.
+
+    ``multi_line`` allows line breaks inside quotes; such files cannot be split among tasks.
+    """
     reader = spark.read.option("header", True).option("sep", sep or detect_delimiter(spark, path))
-    reader = reader.option("escape", '"')
+    reader = reader.option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)
@@ -49,6 +56,7 @@ def read_csv(
     tie: tuple[str, ...] = (),
     sep: str | None = None,
     schema: StructType | str | None = None,
+    multi_line: bool = False,
     **options,
 ) -> EventLog:
     """A CSV log. Events of a case with equal times keep file order unless ``tie`` is given.
@@ -56,7 +64,7 @@ def read_csv(
     Without a ``schema``, the time and case columns are read once to see whether they are
     numbers, so that they sort as numbers; with one, nothing is read ahead.
     """
-    table = read_csv_table(spark, path, sep, schema)
+    table = read_csv_table(spark, path, sep, schema, multi_line)
     missing = [c for c in (ts, case, activity, *tie) if c not in table.columns]
     if missing:
         raise MissingColumnError(f"no column {', '.join(missing)}; found {', '.join(table.columns)}")

@@ -15,8 +15,10 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The checkpoint folder of the session; a temporary one only in local mode without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     app = spark.sparkContext.applicationId

@@ -359,6 +359,46 @@ _query(
     "heuristic_graph_sized_edges_lineitem",
     lambda s, d: tm.heuristic_graph(_model(s, d, "lineitem"), 0.02, 1).edges,
 )
+# Few distinct values: each has a band of its own, so sizes are ranks.
+_SQL_SIZED = """, sized_nodes AS (SELECT activity AS node, 'activity' AS node_kind,
+        activity || chr(10) || freq AS label, freq,
+        (dense_rank() OVER (ORDER BY freq) - 1) / 2 + 1.5::DOUBLE AS width, width / 3 AS height FROM stats
+        UNION ALL SELECT * FROM (VALUES ('start', 'start', 'start', NULL, NULL, NULL),
+            ('end', 'end', 'end', NULL, NULL, NULL))),
+    values_of AS (SELECT dependency FROM dep WHERE dependency >= 0 UNION SELECT 0.0::DOUBLE),
+    bands AS (SELECT dependency, dense_rank() OVER (ORDER BY dependency)::DOUBLE AS penwidth FROM values_of),
+    sized_edges AS (SELECT e.*, coalesce(penwidth, 0.1::DOUBLE) AS penwidth
+        FROM edges e LEFT JOIN bands b ON b.dependency = e.dependency)
+    """
+_SIZED = _sql_heuristic_edges("conversations", 0.1, 1) + _SQL_SIZED
+
+
+def _sized_graph(spark, sf_dir):
+    return tm.heuristic_graph(_model(spark, sf_dir, "conversations"), 0.1, 1)
+
+
+_query(
+    "heuristic_graph_sized_nodes_conversations",
+    lambda s, d: _sized_graph(s, d).nodes,
+    _SIZED + "SELECT * FROM sized_nodes",
+)
+_query(
+    "heuristic_graph_sized_edges_conversations",
+    lambda s, d: _sized_graph(s, d).edges,
+    _SIZED + "SELECT * FROM sized_edges",
+)
+_query(
+    "heuristic_dot_conversations",
+    lambda s, d: tm.heuristic_dot(_sized_graph(s, d)),
+    _SIZED + r"""SELECT 0 AS section, '' AS key, 'digraph {' AS line UNION ALL SELECT 9, '', '}'
+        UNION ALL SELECT 1, '"' || node || '"', chr(9) || '"' || node || '" [label="' || CASE
+            WHEN node_kind = 'activity' THEN node || '\n' || freq || '" width="' || width || '" height="' || height
+                || '" shape="box" style="rounded"]'
+            ELSE node || '" shape="doublecircle" style="filled" fillcolor="'
+                || CASE node WHEN 'start' THEN 'green' ELSE 'red' END || '"]' END FROM sized_nodes
+        UNION ALL SELECT 2, '"' || src || '" -> "' || dst || '"', chr(9) || '"' || src || '" -> "' || dst || '" ['
+            || coalesce('label="' || label || '" ', '') || 'penwidth="' || penwidth || '"]' FROM sized_edges""",
+)
 _query(
     "heuristic_dot_lineitem",
     lambda s, d: tm.heuristic_dot(tm.heuristic_graph(_model(s, d, "lineitem"), 0.02, 1)),
@@ -582,6 +622,26 @@ _query(
     "fuzzy_graph_edges_words",
     lambda s, d: tm.fuzzy_graph(_model(s, d, "words"), 0.05, 0.3, 0.2, 0.5, sizes=False).edges,
 )
+_FEW = (0.5, 0.2, 0.1, 0.5)
+_query(
+    "fuzzy_dot_conversations",
+    lambda s, d: tm.fuzzy_dot(tm.fuzzy_graph(_model(s, d, "conversations"), *_FEW)),
+    _sql_fuzzy("conversations", [_FEW]) + r"""
+        , widths AS (SELECT activity, (dense_rank() OVER (ORDER BY freq) - 1) / 2 + 1.5::DOUBLE AS width FROM stats),
+        ids AS (SELECT *, '"' || CASE node_kind WHEN 'cluster' THEN 'cluster:' ELSE '' END || node || '"' AS id
+            FROM graph_nodes LEFT JOIN widths ON node_kind = 'activity' AND activity = node),
+        arrows AS (SELECT *, '"' || CASE src_kind WHEN 'cluster' THEN 'cluster:' ELSE '' END || src || '" -> "'
+            || CASE dst_kind WHEN 'cluster' THEN 'cluster:' ELSE '' END || dst || '"' AS id FROM edges)
+        SELECT 0 AS section, '' AS key, 'digraph {' AS line UNION ALL SELECT 9, '', '}'
+        UNION ALL SELECT 1, id, chr(9) || id || ' [label="' || CASE node_kind WHEN 'activity'
+            THEN node || '\n' || sig || '" width="' || width || '" height="' || width / 3
+                || '" shape="box" style="filled" fillcolor="#FDFFF5"]'
+            ELSE 'Cluster ' || number || '\n' || size || ' Elements\n~' || sig
+                || '" width="1.5" height="1.0" shape="octagon" style="filled" fillcolor="#6495ED"]' END FROM ids
+        UNION ALL SELECT 2, id, chr(9) || id || ' [label="' || value || '" penwidth="0.1"'
+            || CASE WHEN src_kind = 'cluster' OR dst_kind = 'cluster' THEN ' color="red"' ELSE '' END || ']'
+            FROM arrows""",
+)
 _query(
     "fuzzy_dot_banded",
     lambda s, d: tm.fuzzy_dot(tm.fuzzy_graph(_model(s, d, "banded"), *MAIN)),

@@ -84,7 +84,7 @@ class FuzzyBase:
             )
             for side in ("src", "dst")
         }
-        self.links = pairs.join(ends["src"], "src").join(ends["dst"], "dst")
+        self.links = written(pairs.join(ends["src"], "src").join(ends["dst"], "dst"), "fuzzy-links")
 
 
 class FuzzyRun:
@@ -143,14 +143,25 @@ class FuzzyRun:
         """``param_id, dst, max_util, min_util`` over all live sources of a target.
 
         ``min_util`` is the smallest value other than 0, null when there is none. A source that
-        never precedes the target has the utility of its significance alone, so for the pairs
-        that do not occur it is enough to know which significance values are left over when the
-        sources that do occur, and the target itself, are taken out.
+        never precedes the target has the utility of its significance alone. So for the pairs
+        that do not occur it is enough to know which of those values are left over when the
+        sources that do occur, and the target itself, are taken out of the counts per value.
         """
-        off = "utility_ratio = 0 and edge_cutoff = 0"
-        # Both arrays have one entry per significance value: at most 101.
+        alone = "rint({0} * utility_ratio * 100D) / 100D as alone"
+        live = self._all_nodes.where("not removed").selectExpr(
+            "param_id", "activity as dst", alone.format("sig")
+        )
+        # Both collections have one entry per value: at most 101.
+        everyone = (
+            live.groupBy("param_id", "alone")
+            .agg(F.expr("count(1) as n"))
+            .groupBy("param_id")
+            .agg(F.expr("map_from_entries(collect_list(struct(alone, n))) as everyone"))
+        )
+        occurring = self.utility.selectExpr("param_id", "dst", alone.format("src_sig"), "util")
         seen = (
-            self.utility.groupBy("param_id", "dst", "src_sig")
+            occurring.unionByName(live.selectExpr("*", "cast(null as double) as util"))
+            .groupBy("param_id", "dst", "alone")
             .agg(
                 F.expr("count(1) as n"),
                 F.expr("max(util) as max_util"),
@@ -158,35 +169,21 @@ class FuzzyRun:
             )
             .groupBy("param_id", "dst")
             .agg(
-                F.expr("map_from_entries(collect_list(struct(src_sig, n))) as seen"),
+                F.expr("collect_list(struct(alone, n)) as seen"),
                 F.expr("max(max_util) as max_seen"),
                 F.expr("min(min_util) as min_seen"),
             )
         )
-        live = self._all_nodes.where("not removed")
-        by_sig = (
-            live.groupBy("param_id", *_SETTINGS, "sig")
-            .agg(F.expr("count(1) as n"))
-            .groupBy("param_id", *_SETTINGS)
-            .agg(F.expr("collect_list(struct(sig, n)) as by_sig"))
-        )
-        unseen = """filter(by_sig, h -> h.n > coalesce(try_element_at(seen, h.sig), 0)
-            + if(h.sig = sig, 1, 0))"""
-        value = "rint(h.sig * utility_ratio * 100D) / 100D"
+        used_up = "transform(filter(seen, s -> s.n >= everyone[s.alone]), s -> s.alone)"
         return (
-            live.select("param_id", F.col("activity").alias("dst"), "sig")
             # One row per setting.
-            .join(F.broadcast(by_sig), "param_id")
-            .join(seen, ["param_id", "dst"], "left")
-            .selectExpr(
-                "param_id", "dst", "max_seen", "min_seen",
-                f"if({off}, cast(array() as array<double>), transform({unseen}, h -> {value})) as unseen",
-            )
+            seen.join(F.broadcast(everyone), "param_id")
+            .selectExpr("*", f"array_except(map_keys(everyone), {used_up}) as unseen")
             .selectExpr(
                 "param_id",
                 "dst",
                 "greatest(max_seen, array_max(unseen), 0D) as max_util",
-                "least(min_seen, array_min(filter(unseen, x -> x <> 0))) as min_util",
+                "least(min_seen, array_min(array_remove(unseen, 0D))) as min_util",
             )
         )
 

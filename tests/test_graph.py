@@ -5,7 +5,6 @@ import pytest
 from fixtures import LOGS, model_of, rows
 from tracemill import (
     ProcessGraph,
-    base_model,
     degrees,
     fuzzy_dot,
     fuzzy_graph,

@@ -731,6 +731,20 @@ _query(
 )
 
 
+# -- text operators and the pipeline on them -------------------------------------------
+
+try:
+    import corpus_pipeline
+    from tracemill.llm import queries as text_queries
+except ModuleNotFoundError as missing:  # only their own absence is expected
+    if missing.name not in ("corpus_pipeline", "tracemill.llm"):
+        raise
+else:
+    _QUERIES.update(text_queries.QUERIES)
+    _ORACLE.update(text_queries.ORACLE)
+    _query("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
+
+
 # -- driver contract -----------------------------------------------------------------
 
 

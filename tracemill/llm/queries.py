@@ -7,6 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm.language import languages
+from tracemill.llm.mixing import mixture
+from tracemill.llm.packing import packed
+from tracemill.llm.quality import QUALITY_SQL, quality
+from tracemill.llm.sharding import shard_by_bytes
+from tracemill.llm.simhash import near_duplicates
 from tracemill.llm.token_counts import token_counts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -16,12 +22,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_documents(spark, sf_dir), VOCABULARY, limit=2048)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_counts": op1_token_counts,
+    "op1_token_counts": lambda s, d: token_counts(_documents(s, d), VOCABULARY, limit=2048),
+    "op3_simhash_near_duplicates": lambda s, d: near_duplicates(_documents(s, d)),
+    "op5_language_by_compression": lambda s, d: languages(_documents(s, d)),
+    "op6_best_fit_packing": lambda s, d: packed(_documents(s, d), VOCABULARY, capacity=4096),
+    "op8_byte_shards": lambda s, d: shard_by_bytes(_documents(s, d), n_shards=16),
+    "op9_quality_cascade": lambda s, d: quality(_documents(s, d)),
+    "op10_source_mixture": lambda s, d: mixture(_documents(s, d)),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_quality_cascade": QUALITY_SQL}

@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of a text that are split into words at a time.
+PIECE_BYTES = 1 << 20
+
+
+def text_pieces(data: bytes) -> Iterator[bytes]:
+    """A long text piece by piece, cut at ASCII white space only."""
+    start = 0
+    while start < len(data):
+        stop = min(start + PIECE_BYTES, len(data))
+        while stop < len(data) and data[stop] not in b" \t\n\v\f\r":
+            stop += 1
+        yield data[start:stop]
+        start = stop
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names near ``names`` that ``df`` does not use (Spark compares without case)."""

@@ -13,8 +13,6 @@ ones of an exclusive or, and one step up sets one bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import fresh, per_text
+from tracemill.llm.common import fresh, per_text, text_pieces
 from tracemill.llm.components import components
 from tracemill.storage import written
 
@@ -30,31 +28,18 @@ SHINGLE_WORDS = 3
 SEED = 42
 #: Fingerprints in one cell up to which its pairs are listed; larger cells go through hubs.
 CELL_ROWS = 256
-#: Bytes of a text that are split into words at a time.
-PIECE_BYTES = 1 << 20
 
 _LOW = 0x5555555555555555
 _HALF = 0xFFFFFFFF
 _STEPS = 16
 
 
-def word_pieces(data: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, split at ASCII white space, piece by piece."""
-    start = 0
-    while start < len(data):
-        stop = min(start + PIECE_BYTES, len(data))
-        while stop < len(data) and data[stop] not in b" \t\n\v\f\r":
-            stop += 1
-        yield data[start:stop].split()
-        start = stop
-
-
 def fingerprint(text: bytes) -> int:
     """64 bits, each set if it is set in over half the hashes of the text's shingles, repeats included."""
     ones, n, tail = np.zeros(64, np.int64), 0, []
     digest = xxhash.xxh64_intdigest
-    for words in word_pieces(text.lower()):
-        words = tail + words
+    for piece in text_pieces(text.lower()):
+        words = tail + piece.split()
         if len(words) >= SHINGLE_WORDS:
             triples = zip(words, words[1:], words[2:], strict=False)
             hashes = np.array([digest(b"%b %b %b" % t, SEED) for t in triples], "<u8")

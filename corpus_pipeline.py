@@ -1,16 +1,69 @@
-"""Documents to packed training sequences; the stages follow as their operators are written."""
+"""Documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. It is lazy up to the tables that its
+operator stores; whoever runs the stages writes each result as Parquet and reads it again for the next.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tracemill.llm.language import keep_identified
+from tracemill.llm.mixing import mixed
+from tracemill.llm.packing import packed
+from tracemill.llm.quality import keep_good
+from tracemill.llm.simhash import keep_one
+from tracemill.storage import written
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+SEQUENCE_TOKENS = 4096
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that a rule rejects go."""
+    return keep_good(docs)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents without a letter, or between languages, go."""
+    return keep_identified(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each group of near-duplicates the document with the smallest id stays."""
+    return keep_one(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents as often as the mix of sources uses them, in output shards and shuffled."""
+    columns = docs.columns
+    mix = mixed(docs)
+    shard, place = mix.columns[-2:]
+    return mix.repartition(shard).sortWithinPartitions(shard, place).select(*columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: the pieces of all documents, each with its ids and its place in a sequence."""
+    return packed(docs, VOCABULARY, SEQUENCE_TOKENS, with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_copies),
+    ("mixing sources to target weights", source_mix),
+    ("best-fit packing", packing),
+]
 
+#: SQL can express neither the hashes nor the compressors; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = written(docs, "stage")
     return docs

@@ -37,15 +37,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents as often as the mix of sources uses them, in output shards and shuffled."""
-    columns = docs.columns
     mix = mixed(docs)
-    shard, place = mix.columns[-2:]
-    return mix.repartition(shard).sortWithinPartitions(shard, place).select(*columns)
+    order = mix.columns[-2:]  # shard, then place; a shard may span many partitions
+    return mix.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: the pieces of all documents, each with its ids and its place in a sequence."""
-    return packed(docs, VOCABULARY, SEQUENCE_TOKENS, with_ids=True)
+    """Operator 6: the token pieces of all documents, each with its place in a sequence."""
+    return packed(docs, VOCABULARY, SEQUENCE_TOKENS)
 
 
 STAGES = [

@@ -141,7 +141,7 @@ for _name in ("events", "orders", "lineitem", "conversations"):
     )
     _query(
         f"traces_{_name}",
-        lambda s, d, n=_name: tm.trace_lines(_log(s, d, n)),
+        lambda s, d, n=_name: tm.trace_lines(_log(s, d, n), part_rows=100_000),
         _sql_log(_name) + """SELECT case_id, (pos - 1) // 100000 AS part,
             string_agg(activity, ',' ORDER BY pos) AS value FROM ord GROUP BY ALL""",
     )
@@ -195,6 +195,51 @@ def _csv_log(sep: str):
 
 
 _CONVERSATION_STEPS = _sql_log("conversations") + "SELECT src, dst, cnt FROM dfg"
+
+
+def _csv_of(table: str, roles: dict[str, str], **options):
+    """Role columns of a table as CSV text, read back as a log."""
+
+    def run(spark, sf_dir):
+        path = new_dir(spark, "csv-log")
+        columns = [F.expr(e).alias(name) for name, e in roles.items()]
+        _table(spark, sf_dir, table).select(*columns).write.option("header", True).csv(path)
+        return tm.directly_follows(tm.read_csv(spark, path, sep=",", **options))
+
+    return run
+
+
+# Case ids of 21 digits that a double cannot tell apart.
+_query(
+    "csv_log_long_ids",
+    _csv_of("events", {
+        "timestamp": "event_id", "event": "event_type",
+        "case": "concat('123456789012345', lpad(cast(user_id as string), 6, '0'))",
+    }),
+    """WITH ord AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS dst
+        FROM events) SELECT src, dst, count(*) AS cnt FROM ord WHERE dst IS NOT NULL GROUP BY ALL""",
+)
+# Case ids with a letter that some number parsers take for a type.
+_query(
+    "csv_log_suffix_ids",
+    _csv_of("events", {
+        "timestamp": "event_id", "event": "event_type",
+        "case": "concat(cast(user_id as string), if(value > 20, 'd', 'f'))",
+    }),
+    """WITH ord AS (SELECT event_type AS src,
+        lead(event_type) OVER (PARTITION BY user_id, coalesce(value > 20, false) ORDER BY event_id) AS dst FROM events)
+        SELECT src, dst, count(*) AS cnt FROM ord WHERE dst IS NOT NULL GROUP BY ALL""",
+)
+# Line numbers of two digits in a tie column: 2 comes before 10.
+_query(
+    "csv_log_text_ties",
+    _csv_of(
+        "events",
+        {"timestamp": "0", "event": "event_type", "case": "user_id", "seq": "event_id"}, tie=("seq",),
+    ),
+    """WITH ord AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS dst
+        FROM events) SELECT src, dst, count(*) AS cnt FROM ord WHERE dst IS NOT NULL GROUP BY ALL""",
+)
 _query("csv_log_comma", _csv_log(","), _CONVERSATION_STEPS)
 _query("csv_log_semicolon_detected", _csv_log(";"), _CONVERSATION_STEPS)
 
@@ -225,6 +270,19 @@ _query("trace_file_comma", _trace_file(","), _CONVERSATION_STEPS)
 _query("trace_file_white_space", _trace_file(None), _CONVERSATION_STEPS)
 
 
+def _long_cases_round_trip(spark, sf_dir):
+    path = new_dir(spark, "trace-file")
+    tm.write_traces(_log(spark, sf_dir, "long_cases"), path, part_rows=100)
+    return tm.directly_follows(tm.read_traces(spark, path, parts=True))
+
+
+_query(
+    "trace_file_long_cases_round_trip",
+    _long_cases_round_trip,
+    _sql_log("long_cases") + "SELECT src, dst, cnt FROM dfg",
+)
+
+
 def _written_trace_lines(spark, sf_dir):
     path = new_dir(spark, "trace-file")
     tm.write_traces(_log(spark, sf_dir, "orders"), path)
@@ -243,7 +301,7 @@ _query(
 def _saved_model(spark, sf_dir):
     path = new_dir(spark, "model")
     model = _model(spark, sf_dir, "banded")
-    model.params = {"dependency": 0.02, "min_frequency": 20}
+    tm.heuristic_graph(model, 0.02, 20)  # the model remembers the settings
     tm.save_model(model, path)
     back = tm.load_model(spark, path)
     p = back.params
@@ -254,10 +312,11 @@ def _saved_model(spark, sf_dir):
     return edges.select("src", "dst", "cnt").unionByName(starts).unionByName(ends).unionByName(freq)
 
 
-_SQL_DEP = """, dep AS (SELECT a.src, a.dst, a.cnt,
-    CASE WHEN a.src = a.dst THEN a.cnt / (a.cnt + 1)
-        ELSE (a.cnt - coalesce(b.cnt, 0)) / (a.cnt + coalesce(b.cnt, 0) + 1) END AS dependency
-    FROM dfg a LEFT JOIN dfg b ON b.src = a.dst AND b.dst = a.src)
+_SQL_DEP = """, ways AS (SELECT src, dst, cnt, 0 AS rev FROM dfg UNION ALL SELECT dst, src, 0, cnt FROM dfg),
+    cells AS (SELECT src, dst, sum(cnt)::BIGINT AS cnt, sum(rev)::BIGINT AS rev FROM ways GROUP BY src, dst),
+    dep AS (SELECT src, dst, cnt,
+        CASE WHEN src = dst THEN cnt / (cnt + 1) ELSE (cnt - rev) / (cnt + rev + 1) END AS dependency
+        FROM cells WHERE cnt > 0)
     """
 _query(
     "saved_model_read_back",
@@ -270,6 +329,49 @@ _query(
 )
 
 
+# -- bands in SQL --------------------------------------------------------------------
+
+_BOUNDARIES = ", ".join(f"({i}, {0.1 + i * 0.39 / 19!r}::DOUBLE)" for i in range(20))
+
+
+def _sql_bands(name: str, histogram: str) -> str:
+    """CTE ``<name>(v, band)`` of a query with columns ``v, w``: values and how often they count.
+
+    The rounds of the banding, one after the other. ``<name>_state<k>`` is what is left before round k, the
+    candidates are the values near either end, and the best one goes. Up to eight values need no rounds.
+    """
+    text = f""", {name}_h AS (SELECT v::DOUBLE AS v, sum(w)::DOUBLE AS w FROM ({histogram}) GROUP BY 1),
+    {name}_edges(i, b) AS (VALUES {_BOUNDARIES}),
+    {name}_state0 AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, NULL::DOUBLE AS cut FROM {name}_h)"""
+    for k in range(7):
+        left = 8 - k
+        text += f""",
+    {name}_x{k} AS MATERIALIZED (SELECT v, w, (v - lo) / nullif(hi - lo, 0) AS x, lo, hi, n
+        FROM {name}_h, {name}_state{k} WHERE v BETWEEN lo AND hi),
+    {name}_sets{k} AS (SELECT side, i, sum(w) AS weight, count(*) AS taken, any_value(n) AS n,
+        round(sqrt(greatest(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2, 0)), 9) AS spread,
+        min(v) AS least, max(v) AS most
+        FROM {name}_x{k}, {name}_edges, (VALUES (0), (1)) s(side)
+        WHERE CASE side WHEN 0 THEN x <= b ELSE 1 - x <= b END GROUP BY side, i),
+    {name}_fit{k} AS (SELECT *, abs(weight - share) / share AS off
+        FROM {name}_sets{k}, (SELECT sum(w) / {left} AS share FROM {name}_x{k}) WHERE taken <= n - {left - 1}),
+    {name}_best{k} AS (SELECT * FROM {name}_fit{k}
+        WHERE off <= 0.45::DOUBLE + 0.5 * greatest(0, ceil(((SELECT min(off) FROM {name}_fit{k}) - 0.45::DOUBLE) / 0.5))
+        ORDER BY round_even(off, 1), spread, side, i LIMIT 1),
+    {name}_state{k + 1} AS (SELECT
+        CASE WHEN side = 1 THEN s.lo ELSE (SELECT min(v) FROM {name}_x{k} WHERE v > coalesce(b.most, s.lo)) END AS lo,
+        CASE WHEN side = 1 THEN (SELECT max(v) FROM {name}_x{k} WHERE v < b.least) ELSE s.hi END AS hi,
+        s.n - coalesce(b.taken, 1) AS n,
+        CASE WHEN side = 1 THEN b.least
+            ELSE (SELECT min(v) FROM {name}_x{k} WHERE v > coalesce(b.most, s.lo)) END AS cut
+        FROM {name}_state{k} s LEFT JOIN {name}_best{k} b ON true)"""
+    cuts = " UNION ALL ".join(f"SELECT cut FROM {name}_state{k + 1}" for k in range(7))
+    return text + f""",
+    {name}_cuts AS MATERIALIZED (SELECT list(cut) AS cuts FROM ({cuts})),
+    {name} AS (SELECT v, CASE WHEN (SELECT count(*) FROM {name}_h) <= 8 THEN (dense_rank() OVER (ORDER BY v) - 1)::DOUBLE
+        ELSE len(list_filter(cuts, lambda c: c <= v))::DOUBLE END AS band FROM {name}_h, {name}_cuts)"""
+
+
 # -- heuristic miner ---------------------------------------------------------------
 
 for _name in LOGS:
@@ -347,30 +449,38 @@ for _name, _theta, _freq in (("conversations", 0.5, 1), ("lineitem", 0.1, 1), ("
         _sql_heuristic_edges(_name, _theta, _freq) + "SELECT * FROM nodes",
     )
 
-_query(
-    "heuristic_graph_sized_nodes_words",
-    lambda s, d: tm.heuristic_graph(_model(s, d, "words"), 0.5, 2).nodes,
-)
-_query(
-    "heuristic_graph_sized_edges_words",
-    lambda s, d: tm.heuristic_graph(_model(s, d, "words"), 0.5, 2).edges,
-)
-_query(
-    "heuristic_graph_sized_edges_lineitem",
-    lambda s, d: tm.heuristic_graph(_model(s, d, "lineitem"), 0.02, 1).edges,
-)
-# Few distinct values: each has a band of its own, so sizes are ranks.
-_SQL_SIZED = """, sized_nodes AS (SELECT activity AS node, 'activity' AS node_kind,
-        activity || chr(10) || freq AS label, freq,
-        (dense_rank() OVER (ORDER BY freq) - 1) / 2 + 1.5::DOUBLE AS width, width / 3 AS height FROM stats
+_SQL_SIZED = (
+    _sql_bands("freqs", "SELECT freq AS v, 1 AS w FROM stats")
+    + _sql_bands("deps", """SELECT DISTINCT dependency AS v, 1 AS w FROM (SELECT dependency FROM dep WHERE dependency >= 0
+        UNION ALL SELECT (cnt - rev) / (cnt + rev + 1) FROM cells WHERE src <> dst AND cnt >= rev
+        UNION ALL SELECT 0.0::DOUBLE WHERE (SELECT count(*) FROM stats) ** 2 > (SELECT count(*) FROM cells))""")
+    + """, sized_nodes AS (SELECT activity AS node, 'activity' AS node_kind,
+        activity || chr(10) || freq AS label, freq, band / 2 + 1.5::DOUBLE AS width,
+        (band / 2 + 1.5::DOUBLE) / 3 AS height FROM stats JOIN freqs ON v = freq
         UNION ALL SELECT * FROM (VALUES ('start', 'start', 'start', NULL, NULL, NULL),
             ('end', 'end', 'end', NULL, NULL, NULL))),
-    values_of AS (SELECT dependency FROM dep WHERE dependency >= 0 UNION SELECT 0.0::DOUBLE),
-    bands AS (SELECT dependency, dense_rank() OVER (ORDER BY dependency)::DOUBLE AS penwidth FROM values_of),
-    sized_edges AS (SELECT e.*, coalesce(penwidth, 0.1::DOUBLE) AS penwidth
-        FROM edges e LEFT JOIN bands b ON b.dependency = e.dependency)
+    sized_edges AS (SELECT e.*, coalesce(band + 1, 0.1::DOUBLE) AS penwidth
+        FROM edges e LEFT JOIN deps ON v = e.dependency)
     """
+)
 _SIZED = _sql_heuristic_edges("conversations", 0.1, 1) + _SQL_SIZED
+_SQL_HEURISTIC_DOT = r"""SELECT 0 AS section, '' AS key, 'digraph {' AS line UNION ALL SELECT 9, '', '}'
+        UNION ALL SELECT 1, '"' || node || '"', chr(9) || '"' || node || '" [label="' || CASE
+            WHEN node_kind = 'activity' THEN node || '\n' || freq || '" width="' || width || '" height="' || height
+                || '" shape="box" style="rounded"]'
+            ELSE node || '" shape="doublecircle" style="filled" fillcolor="'
+                || CASE node WHEN 'start' THEN 'green' ELSE 'red' END || '"]' END FROM sized_nodes
+        UNION ALL SELECT 2, '"' || src || '" -> "' || dst || '"', chr(9) || '"' || src || '" -> "' || dst || '" ['
+            || coalesce('label="' || label || '" ', '') || 'penwidth="' || penwidth || '"]' FROM sized_edges"""
+
+
+for _name, _theta, _freq in (("words", 0.5, 2), ("lineitem", 0.02, 1), ("banded", 0.2, 1)):
+    for _half in ("nodes", "edges"):
+        _query(
+            f"heuristic_graph_sized_{_half}_{_name}",
+            lambda s, d, n=_name, t=_theta, f=_freq, h=_half: getattr(tm.heuristic_graph(_model(s, d, n), t, f), h),
+            _sql_heuristic_edges(_name, _theta, _freq) + _SQL_SIZED + f"SELECT * FROM sized_{_half}",
+        )
 
 
 def _sized_graph(spark, sf_dir):
@@ -390,18 +500,12 @@ _query(
 _query(
     "heuristic_dot_conversations",
     lambda s, d: tm.heuristic_dot(_sized_graph(s, d)),
-    _SIZED + r"""SELECT 0 AS section, '' AS key, 'digraph {' AS line UNION ALL SELECT 9, '', '}'
-        UNION ALL SELECT 1, '"' || node || '"', chr(9) || '"' || node || '" [label="' || CASE
-            WHEN node_kind = 'activity' THEN node || '\n' || freq || '" width="' || width || '" height="' || height
-                || '" shape="box" style="rounded"]'
-            ELSE node || '" shape="doublecircle" style="filled" fillcolor="'
-                || CASE node WHEN 'start' THEN 'green' ELSE 'red' END || '"]' END FROM sized_nodes
-        UNION ALL SELECT 2, '"' || src || '" -> "' || dst || '"', chr(9) || '"' || src || '" -> "' || dst || '" ['
-            || coalesce('label="' || label || '" ', '') || 'penwidth="' || penwidth || '"]' FROM sized_edges""",
+    _SIZED + _SQL_HEURISTIC_DOT,
 )
 _query(
     "heuristic_dot_lineitem",
     lambda s, d: tm.heuristic_dot(tm.heuristic_graph(_model(s, d, "lineitem"), 0.02, 1)),
+    _sql_heuristic_edges("lineitem", 0.02, 1) + _SQL_SIZED + _SQL_HEURISTIC_DOT,
 )
 
 _THRESHOLDS = [tm.HeuristicParams(i / 100, 1) for i in range(101)]
@@ -481,8 +585,7 @@ def _sql_fuzzy(name: str, params: list[tuple]) -> str:
     owner AS (SELECT param_id, unnest(claimed) AS activity, unnest(leads) AS leader FROM (
         SELECT DISTINCT ON (param_id) * FROM walk ORDER BY param_id, k DESC)),
     clusters AS (SELECT o.param_id, leader, count(*) AS size,
-        CAST(format('{{:.2f}}', list_reduce(list(sig ORDER BY o.activity), lambda a, b: a + b) / count(*)) AS DOUBLE) AS sig,
-        string_agg(o.activity, '-' ORDER BY o.activity) AS name,
+        CAST(format('{{:.2f}}', sum(round(sig * 100)::BIGINT)::DOUBLE / 100 / count(*)) AS DOUBLE) AS sig,
         row_number() OVER (PARTITION BY o.param_id ORDER BY leader) AS number
         FROM owner o JOIN live USING (param_id, activity) GROUP BY o.param_id, leader),
     link_ends AS (SELECT n.param_id, n.src AS a, n.dst AS b, corr,
@@ -493,7 +596,7 @@ def _sql_fuzzy(name: str, params: list[tuple]) -> str:
         WHERE corr > 0 AND (x.leader IS NULL OR y.leader IS NULL OR x.leader <> y.leader)),
     edges AS (SELECT param_id, src, src_kind, dst, dst_kind, count(*) AS links,
         CASE WHEN src_kind = 'activity' AND dst_kind = 'activity' THEN any_value(corr)
-            ELSE round_even(list_reduce(list(corr ORDER BY a, b), lambda m, n: m + n) / count(*) * 100, 0) / 100
+            ELSE round_even(sum(round(corr * 100)::BIGINT)::DOUBLE / 100 / count(*) * 100, 0) / 100
             END AS value
         FROM link_ends WHERE NOT (src_kind = 'activity' AND dst_kind = 'activity'
             AND (param_id, a, b) IN (SELECT (param_id, src, dst) FROM filtered))
@@ -557,7 +660,9 @@ _FUZZY = {
     "seeds": (lambda r: r.seeds, "SELECT param_id, activity FROM seeds"),
     "cluster_members": (lambda r: r.clusters, "SELECT param_id, activity, leader FROM owner"),
     "cluster_names": (
-        lambda r: r.cluster_names, "SELECT param_id, leader, 0::BIGINT AS part, name FROM clusters",
+        lambda r: r.cluster_names,
+        """SELECT param_id, leader, activity,
+            row_number() OVER (PARTITION BY param_id, leader ORDER BY activity) AS position FROM owner""",
     ),
     "cluster_nodes": (
         lambda r: r.cluster_nodes, "SELECT param_id, leader, number, size, sig FROM clusters",
@@ -613,6 +718,11 @@ for _name, _p in (("banded", MAIN), ("banded", GRID[0]), ("conversations", (0.5,
 _query(
     "fuzzy_graph_sized_nodes_banded",
     lambda s, d: tm.fuzzy_graph(_model(s, d, "banded"), *MAIN).nodes,
+    _sql_fuzzy("banded", [MAIN]) + _sql_bands("freqs", "SELECT freq AS v, 1 AS w FROM stats")
+    + """SELECT g.* EXCLUDE (param_id),
+        CASE node_kind WHEN 'cluster' THEN 1.5::DOUBLE ELSE band / 2 + 1.5::DOUBLE END AS width,
+        CASE node_kind WHEN 'cluster' THEN 1.0::DOUBLE ELSE (band / 2 + 1.5::DOUBLE) / 3 END AS height
+        FROM graph_nodes g LEFT JOIN freqs ON node_kind = 'activity' AND v = freq""",
 )
 _query(
     "fuzzy_graph_sized_nodes_words",
@@ -623,28 +733,30 @@ _query(
     lambda s, d: tm.fuzzy_graph(_model(s, d, "words"), 0.05, 0.3, 0.2, 0.5, sizes=False).edges,
 )
 _FEW = (0.5, 0.2, 0.1, 0.5)
-_query(
-    "fuzzy_dot_conversations",
-    lambda s, d: tm.fuzzy_dot(tm.fuzzy_graph(_model(s, d, "conversations"), *_FEW)),
-    _sql_fuzzy("conversations", [_FEW]) + r"""
-        , widths AS (SELECT activity, (dense_rank() OVER (ORDER BY freq) - 1) / 2 + 1.5::DOUBLE AS width FROM stats),
+_SQL_FUZZY_DOT = _sql_bands("freqs", "SELECT freq AS v, 1 AS w FROM stats") + r"""
+        , widths AS (SELECT activity, band / 2 + 1.5::DOUBLE AS width FROM stats JOIN freqs ON v = freq),
         ids AS (SELECT *, '"' || CASE node_kind WHEN 'cluster' THEN 'cluster:' ELSE '' END || node || '"' AS id
             FROM graph_nodes LEFT JOIN widths ON node_kind = 'activity' AND activity = node),
         arrows AS (SELECT *, '"' || CASE src_kind WHEN 'cluster' THEN 'cluster:' ELSE '' END || src || '" -> "'
             || CASE dst_kind WHEN 'cluster' THEN 'cluster:' ELSE '' END || dst || '"' AS id FROM edges)
         SELECT 0 AS section, '' AS key, 'digraph {' AS line UNION ALL SELECT 9, '', '}'
-        UNION ALL SELECT 1, id, chr(9) || id || ' [label="' || CASE node_kind WHEN 'activity'
-            THEN node || '\n' || sig || '" width="' || width || '" height="' || width / 3
+        UNION ALL SELECT 1, id, chr(9) || id || ' [label=' || CASE node_kind WHEN 'activity'
+            THEN '<' || node || '<br/><font color="red">' || sig || '</font>> width="' || width || '" height="' || width / 3
                 || '" shape="box" style="filled" fillcolor="#FDFFF5"]'
-            ELSE 'Cluster ' || number || '\n' || size || ' Elements\n~' || sig
+            ELSE '"Cluster ' || number || '\n' || size || ' Elements\n~' || sig
                 || '" width="1.5" height="1.0" shape="octagon" style="filled" fillcolor="#6495ED"]' END FROM ids
         UNION ALL SELECT 2, id, chr(9) || id || ' [label="' || value || '" penwidth="0.1"'
             || CASE WHEN src_kind = 'cluster' OR dst_kind = 'cluster' THEN ' color="red"' ELSE '' END || ']'
-            FROM arrows""",
+            FROM arrows"""
+_query(
+    "fuzzy_dot_conversations",
+    lambda s, d: tm.fuzzy_dot(tm.fuzzy_graph(_model(s, d, "conversations"), *_FEW)),
+    _sql_fuzzy("conversations", [_FEW]) + _SQL_FUZZY_DOT,
 )
 _query(
     "fuzzy_dot_banded",
     lambda s, d: tm.fuzzy_dot(tm.fuzzy_graph(_model(s, d, "banded"), *MAIN)),
+    _sql_fuzzy("banded", [MAIN]) + _SQL_FUZZY_DOT,
 )
 
 
@@ -653,12 +765,17 @@ _query(
 _query(
     "frequency_bands_words",
     lambda s, d: tm.frequency_bands(tm.activity_frequency(_log(s, d, "words")), "freq"),
+    _sql_log("words") + _sql_bands("freqs", "SELECT freq AS v, 1 AS w FROM stats")
+    + "SELECT activity, freq, band FROM stats JOIN freqs ON v = freq",
 )
 _query(
     "frequency_bands_of_totals",
     lambda s, d: tm.frequency_bands(
         _table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice"
     ),
+    "WITH orders_ AS (SELECT o_orderkey, o_totalprice FROM orders)"
+    + _sql_bands("prices", "SELECT o_totalprice AS v, 1 AS w FROM orders_")
+    + "SELECT o_orderkey, o_totalprice, band FROM orders_ JOIN prices ON v = o_totalprice",
 )
 # Up to eight distinct values each have a band of their own.
 _query(
@@ -708,6 +825,40 @@ for _name, _theta, _freq in (("conversations", 0.5, 1), ("banded", 0.2, 10), ("w
     )
 
 
+# One path through all orders, in key order, with forks that lead nowhere.
+_FORK = "o_orderkey % 4000 = 0"
+
+
+def _chain(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    keys = orders.select("o_orderkey").union(
+        orders.where(_FORK).selectExpr("-1 - o_orderkey")
+    ).distinct()
+    ranks = ranked(orders.select("o_orderkey").distinct(), ["o_orderkey"], "rank")
+    after = ranks.select((F.col("rank") - 1).alias("rank"), F.col("o_orderkey").alias("b"))
+    steps = ranks.join(after, "rank").select(F.col("o_orderkey").alias("a"), "b").union(
+        orders.where(_FORK).selectExpr("o_orderkey", "-1 - o_orderkey")
+    )
+    node = lambda c: F.col(c).cast("string")
+    kind = F.lit("activity")
+    graph = tm.ProcessGraph(
+        keys.select(node("o_orderkey").alias("node"), kind.alias("node_kind")),
+        steps.select(node("a").alias("src"), kind.alias("src_kind"), node("b").alias("dst"), kind.alias("dst_kind")),
+    )
+    middle = orders.agg(F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY o_orderkey) as bigint)").alias("m"))
+    return tm.reachable(graph, graph.nodes.join(middle, F.col("node") == F.col("m").cast("string")))
+
+
+_query(
+    "reachable_long_chain_orders",
+    _chain,
+    """WITH middle AS (SELECT quantile_disc(o_orderkey, 0.5) AS m FROM orders)
+        SELECT o_orderkey::VARCHAR AS node, 'activity' AS node_kind, o_orderkey >= m AS reached FROM orders, middle
+        UNION ALL SELECT (-1 - o_orderkey)::VARCHAR, 'activity', o_orderkey >= m FROM orders, middle
+        WHERE """ + _FORK,
+)
+
+
 def _rounding(spark, sf_dir):
     x = (F.col("l_quantity") / 200).alias("x")
     shares = _table(spark, sf_dir, "lineitem").select(x).groupBy("x").agg(F.count(F.lit(1)).alias("n"))

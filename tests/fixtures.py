@@ -1,4 +1,6 @@
-"""Small logs with known results."""
+"""Small invented logs, and the miners' numbers on them straight from their definitions."""
+
+from collections import Counter
 
 
 def split(text):
@@ -6,28 +8,32 @@ def split(text):
 
 
 LOGS = {
-    "basic": [list(t) for t in ("abcd", "abcd", "acbd", "abbcd")],
-    "csv": [
-        list(t)
+    # a parcel's way, with returns and cancellations
+    "parcel": split(
+        "book pack send sign / book pack send back pack send sign / book cancel / "
+        "book pack cancel / pack book send sign / book pack send send sign"
+    ),
+    # variants of a shift with how often they occur
+    "shift": [
+        t.split()
         for t, n in [
-            ("abce", 10), ("acbe", 10), ("ade", 10), ("ae", 5),
-            ("adde", 2), ("abe", 1), ("ace", 1), ("addde", 1),
+            ("in plan cut weld out", 9), ("in plan weld cut out", 8), ("in test out", 7),
+            ("in out", 4), ("in test test out", 3), ("plan out", 2), ("in cut test out", 1),
         ]
         for _ in range(n)
     ],
-    "test0": split("a b e f / a b e c d b f / a b c e d b f / a b c d e b f / a e b c d b f"),
-    "test1": split("a b c d / a c b d / a e f d / a e g d / a e h d"),
-    "test2": split("d c b e f / a e f / d b b c e f / a b c d e f / b d a c f"),
-    "test3": split(
-        "a e h f j k / a e h g j k / a e h g j b c f h j k / a e g h j b c h f j k / "
-        "a e f h j b c g h j k / a e h g j b c h g j k / a e h g j b d e h g j k / "
-        "a e h g j b d e g h j k"
-    ),
-    "test4": split("a b d / a b c b d / a b c b c b d"),
-    "test5": split("a c / a b c / a b b c / a b b b b c"),
+    # steps that repeat and go back
+    "loops": split("p q q r / p r q p r / q q q q / r p q r p q r / p"),
+    # two parts that never meet, one of them with a fork and a join
+    "apart": split("u v x / u w x / u v x / m n / n m / m m n / u v w x"),
+    "single": split("only only / only"),
 }
 
 
+def steps_of(traces):
+    return Counter(pair for t in traces for pair in zip(t, t[1:]))
+
+
 def log_of(spark, traces, **options):
     from tracemill import EventLog
 

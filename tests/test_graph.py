@@ -21,7 +21,7 @@ from tracemill import (
 )
 
 
-@pytest.mark.parametrize("name", ["test0", "test1", "test2", "test3", "csv"])
+@pytest.mark.parametrize("name", ["parcel", "shift"])
 def test_integrity_of_mined_graphs(spark, name):
     g = heuristic_graph(model_of(spark, LOGS[name]), 0.5, 1, sizes=False)
     assert ("start", "start") in rows(source_nodes(g), "node", "node_kind")
@@ -39,13 +39,16 @@ def graph_of(spark, n, links):
     return ProcessGraph(nodes, edges)
 
 
-@pytest.mark.parametrize("block", [1, 4, 1000])
-def test_reachable(spark, block):
-    r = random.Random(block)
-    n = 5 if block == 1 else 14
+@pytest.mark.parametrize("plain_rounds", [0, 8])
+def test_reachable(spark, plain_rounds):
+    r = random.Random(plain_rounds)
+    n = 14
     shapes = [(5, [(i, i + 1) for i in range(4)]), (3, [])]
     shapes += [(n, [(a, b) for a in range(n) for b in range(n) if r.random() < 1.3 / n])]
     shapes += [(n, [(a + 1, a) for a in range(n - 1)] + [(0, n - 1)])]
+    # a closed path, and paths that meet and part
+    shapes += [(12, [(0, 1), (1, 2), (2, 3), (3, 1), (2, 4), (4, 5), (5, 6), (6, 7), (8, 5), (9, 10), (10, 9)])]
+    shapes += [(10, [(i, (i + 1) % 6) for i in range(6)] + [(7, 8), (8, 9), (9, 7)])]
     for n, links in shapes:
         g = graph_of(spark, n, links)
         root = g.nodes.where("node = 'n00'")
@@ -55,7 +58,7 @@ def test_reachable(spark, block):
             if a not in seen:
                 seen.add(a)
                 todo += [y for x, y in links if x == a]
-        got = rows(reachable(g, root, block), "node", "reached")
+        got = rows(reachable(g, root, plain_rounds), "node", "reached")
         assert got == [(f"n{i:02d}", i in seen) for i in range(n)]
 
 
@@ -101,41 +104,35 @@ def test_heuristic_dot(spark, tmp_path):
 
 
 def test_fuzzy_dot(spark, tmp_path):
-    g = fuzzy_graph(model_of(spark, LOGS["csv"]), 0.5, 0.5, 0, 0)
+    g = fuzzy_graph(model_of(spark, [["a", "b<c>"], ["a", "d"], ["a", "b<c>"]]), 0.5, 0.2, 0, 0)
     write_dot(fuzzy_dot(g), str(tmp_path / "dot"))
+    red = '<br/><font color="red">'
     assert text(spark, tmp_path / "dot").splitlines() == [
         "digraph {",
-        '\t"a" [label="a\\n1.0" width="2.5" height="0.8333333333333334" shape="box" style="filled" fillcolor="#FDFFF5"]',
-        '\t"b" [label="b\\n0.53" width="2.0" height="0.6666666666666666" shape="box" style="filled" fillcolor="#FDFFF5"]',
-        '\t"c" [label="c\\n0.53" width="2.0" height="0.6666666666666666" shape="box" style="filled" fillcolor="#FDFFF5"]',
-        '\t"cluster:d" [label="Cluster 1\\n2 Elements\\n~0.71" width="1.5" height="1.0" shape="octagon" style="filled" fillcolor="#6495ED"]',
-        '\t"a" -> "b" [label="0.28" penwidth="0.1"]',
-        '\t"a" -> "c" [label="0.28" penwidth="0.1"]',
-        '\t"a" -> "cluster:d" [label="0.22" penwidth="0.1" color="red"]',
-        '\t"b" -> "c" [label="0.48" penwidth="0.1"]',
-        '\t"b" -> "cluster:d" [label="0.52" penwidth="0.1" color="red"]',
-        '\t"c" -> "b" [label="0.48" penwidth="0.1"]',
-        '\t"c" -> "cluster:d" [label="0.52" penwidth="0.1" color="red"]',
+        f'\t"b<c>" [label=<b&lt;c&gt;{red}0.67</font>> width="2.0" height="0.6666666666666666" shape="box" style="filled" fillcolor="#FDFFF5"]',
+        '\t"cluster:d" [label="Cluster 1\\n2 Elements\\n~0.67" width="1.5" height="1.0" shape="octagon" style="filled" fillcolor="#6495ED"]',
+        '\t"cluster:d" -> "b<c>" [label="0.67" penwidth="0.1" color="red"]',
         "}",
     ]
 
 
 def test_save_and_load(spark, tmp_path):
-    model = model_of(spark, LOGS["test3"])
-    model.params = {"dependency": 0.2, "min_frequency": 4}
+    model = model_of(spark, LOGS["parcel"])
+    with pytest.raises(ValueError):
+        redraw(model)
+    drawn = heuristic_graph(model, 0.2, 2, sizes=False)
+    assert model.miner == "heuristic" and model.params == {"dependency": 0.2, "min_frequency": 2.0}
     save_model(model, str(tmp_path / "m"))
     back = load_model(spark, str(tmp_path / "m"))
-    assert back.params == model.params
+    assert (back.miner, back.params) == (model.miner, model.params)
     for name in ("activities", "dfg", "starts", "ends"):
         a, b = getattr(model, name), getattr(back, name)
         assert rows(a, *a.columns) == rows(b, *b.columns)
+    assert rows(redraw(back, sizes=False).edges, "src", "dst") == rows(drawn.edges, "src", "dst")
     with pytest.raises(Exception):
         save_model(model, str(tmp_path / "m"))
-    back.params = {"dependency": 0.3}
+    nodes = rows(fuzzy_graph(back, 0.5, 0.5, edge_cutoff=0.3, sizes=False).nodes, "node")
     save_model(back, str(tmp_path / "m"), overwrite=True)
-    back = load_model(spark, str(tmp_path / "m"))
-    assert back.params == {"dependency": 0.3}
-    assert rows(redraw(back, sizes=False).edges, "src", "dst") == rows(
-        heuristic_graph(model, 0.3, 1, sizes=False).edges, "src", "dst")
-    back.params = {"significance": 0.5, "correlation": 0.5}
-    assert rows(redraw(back, sizes=False).nodes, "node") == [(n,) for n in "abdfgk"]
+    again = load_model(spark, str(tmp_path / "m"))
+    assert again.miner == "fuzzy" and again.params["edge_cutoff"] == 0.3
+    assert rows(redraw(again, sizes=False).nodes, "node") == nodes

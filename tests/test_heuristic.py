@@ -1,6 +1,8 @@
+from collections import Counter
+
 import pytest
 
-from fixtures import LOGS, log_of, model_of, rows
+from fixtures import LOGS, log_of, model_of, rows, steps_of
 from tracemill import (
     HeuristicParams,
     dependencies,
@@ -8,6 +10,7 @@ from tracemill import (
     dependency_edges,
     directly_follows,
     end_activities,
+    fuzzy_graph,
     heuristic_graph,
     heuristic_sweep,
     max_frequency,
@@ -22,60 +25,6 @@ def models(spark):
     return {name: model_of(spark, traces) for name, traces in LOGS.items()}
 
 
-def pairs(model, theta, freq):
-    return " ".join(a + b for a, b in rows(dependency_edges(model, theta, freq), "src", "dst"))
-
-
-EDGES = {
-    ("basic", 0.5, 1): "ab ac bb bd cd",
-    ("basic", 0.1, 1): "ab ac bb bc bd cd",
-    ("csv", 0.5, 1): "ab ac ad ae be ce dd de",
-    ("csv", 0.1, 1): "ab ac ad ae be ce dd de",
-    ("csv", 0.9, 1): "ab ac ad be ce de",
-    ("csv", 0.5, 10): "ab ac ad be ce de",
-    ("test0", 0.5, 1): "ab ae bc bf cd db ef",
-    ("test0", 0.1, 1): "ab ae bc bf cd db ef",
-    ("test1", 0.5, 1): "ab ac ae bd cd ef eg eh fd gd hd",
-    ("test2", 0.5, 1): "ab ac ae bb be ce cf da de ef",
-    ("test2", 0.1, 1): "ab ac ae bb bc be ce cf da de ef",
-    ("test4", 0.5, 1): "ab bd",
-    ("test5", 0.5, 1): "ab ac bb bc",
-}
-
-
-@pytest.mark.parametrize("key", EDGES, ids=str)
-def test_edges(models, key):
-    name, theta, freq = key
-    assert pairs(models[name], theta, freq) == EDGES[key]
-
-
-def test_test3_edges(models):
-    at_half = set(pairs(models["test3"], 0.5, 1).split())
-    assert len(at_half) == 15
-    assert set(pairs(models["test3"], 0.1, 1).split()) - at_half == {"hg"}
-
-
-@pytest.mark.parametrize("name", [n for n in LOGS if n != "csv"])
-def test_no_edges_beyond_reach(models, name):
-    assert pairs(models[name], 0.9, 1) == ""
-    assert pairs(models[name], 0.5, 10) == ""
-
-
-def test_counts_and_dependencies(models):
-    found = {a + b: (n, round(d, 4)) for a, b, n, d in rows(
-        dependencies(models["csv"]), "src", "dst", "cnt", "dependency")}
-    assert found == {
-        "ab": (11, 0.9167), "ac": (11, 0.9167), "ad": (13, 0.9286), "ae": (5, 0.8333),
-        "bc": (10, 0.0), "be": (11, 0.9167), "cb": (10, 0.0), "ce": (11, 0.9167),
-        "dd": (4, 0.8), "de": (13, 0.9286),
-    }
-    basic = models["basic"]
-    assert rows(basic.activities, "activity", "freq") == [("a", 4), ("b", 5), ("c", 4), ("d", 4)]
-    assert rows(basic.starts, "activity", "cases") == [("a", 4)]
-    assert rows(basic.ends, "activity", "cases") == [("d", 4)]
-    assert max_frequency(basic.activities).first()[0] == 5
-
-
 def dense(traces):
     """Dependency of every pair, from the definition."""
     names = sorted({a for t in traces for a in t})
@@ -89,7 +38,36 @@ def dense(traces):
     }
 
 
-@pytest.mark.parametrize("name", ["basic", "test2", "test3"])
+@pytest.mark.parametrize("name", LOGS)
+@pytest.mark.parametrize("theta,freq", [(0.5, 1), (0.1, 1), (0.0, 1), (0.9, 1), (0.5, 3), (-1.0, 2)])
+def test_edges(models, name, theta, freq):
+    matrix, steps = dense(LOGS[name]), steps_of(LOGS[name])
+    want = sorted((a, b, n) for (a, b), n in steps.items() if n >= freq and matrix[a, b] >= theta)
+    assert rows(dependency_edges(models[name], theta, freq), "src", "dst", "cnt") == want
+
+
+@pytest.mark.parametrize("name", LOGS)
+def test_counts_and_dependencies(models, name):
+    traces, matrix = LOGS[name], dense(LOGS[name])
+    found = rows(dependencies(models[name]), "src", "dst", "cnt", "dependency")
+    assert found == sorted((a, b, n, matrix[a, b]) for (a, b), n in steps_of(traces).items())
+    frequency = Counter(a for t in traces for a in t)
+    assert dict(rows(models[name].activities, "activity", "freq")) == frequency
+    assert dict(rows(models[name].starts, "activity", "cases")) == Counter(t[0] for t in traces)
+    assert dict(rows(models[name].ends, "activity", "cases")) == Counter(t[-1] for t in traces)
+    assert max_frequency(models[name].activities).first()[0] == max(frequency.values())
+
+
+def test_known_dependencies(models):
+    # worked out by hand: 3 against 0, 4 against 1, a pair with itself, and a tie
+    known = {("parcel", "book", "pack"): (4 - 1) / (4 + 1 + 1), ("loops", "q", "q"): 4 / 5,
+             ("apart", "m", "n"): (2 - 1) / (2 + 1 + 1), ("shift", "cut", "weld"): (9 - 8) / (9 + 8 + 1)}
+    for (name, a, b), want in known.items():
+        cells = {(x, y): d for x, y, d in rows(dependency_cells(models[name]), "src", "dst", "dependency")}
+        assert cells[a, b] == want
+
+
+@pytest.mark.parametrize("name", ["parcel", "loops", "apart"])
 def test_cells_are_the_whole_matrix(models, name):
     matrix = dense(LOGS[name])
     cells = {(a, b): d for a, b, d in rows(dependency_cells(models[name]), "src", "dst", "dependency")}
@@ -102,38 +80,66 @@ def test_cells_are_the_whole_matrix(models, name):
 
 def test_sweep_equals_single_settings(models):
     params = [HeuristicParams(t, f) for t in (0.0, 0.1, 0.5, 0.9) for f in (1, 3)]
-    swept = rows(heuristic_sweep(models["test2"], params), "param_id", "src", "dst", "cnt", "dependency")
+    swept = rows(heuristic_sweep(models["parcel"], params), "param_id", "src", "dst", "cnt", "dependency")
     for i, p in enumerate(params):
-        single = rows(dependency_edges(models["test2"], p.dependency, p.min_frequency),
+        single = rows(dependency_edges(models["parcel"], p.dependency, p.min_frequency),
                       "src", "dst", "cnt", "dependency")
         assert [r[1:] for r in swept if r[0] == i] == single
 
 
 def test_log_operators_agree_with_model(spark, models):
-    log = log_of(spark, LOGS["test2"])
-    m = models["test2"]
+    log = log_of(spark, LOGS["parcel"])
+    m = models["parcel"]
     assert rows(directly_follows(log), "src", "dst", "cnt") == rows(m.dfg, "src", "dst", "cnt")
     assert rows(start_activities(log), "activity", "cases") == rows(m.starts, "activity", "cases")
     assert rows(end_activities(log), "activity", "cases") == rows(m.ends, "activity", "cases")
-    assert [r[0] for r in rows(m.starts, "activity")] == ["a", "b", "d"]
     by_label = [a for _, a in rows(vocabulary(log), "position", "activity")]
-    assert by_label == list("abcdef")
+    assert by_label == ["back", "book", "cancel", "pack", "send", "sign"]
     first_seen = [a for _, a in rows(vocabulary(log, "first_seen"), "position", "activity")]
-    assert first_seen == list("dcbefa")
+    assert first_seen == ["book", "pack", "send", "sign", "back", "cancel"]
 
 
-def test_graph(models):
-    g = heuristic_graph(models["csv"], 0.5, 1)
+@pytest.mark.parametrize("name", ["loops", "apart"])
+def test_graph(models, name):
+    g = heuristic_graph(models[name], 0.5, 1)
     nodes = {r["node"]: r for r in g.nodes.collect()}
-    assert set(nodes) == set("abcde") | {"start", "end"}
-    assert nodes["b"]["label"] == "b\n21" and nodes["b"]["width"] == 2.0
-    assert nodes["d"]["width"] == 1.5 and nodes["a"]["width"] == 2.5
+    frequency = Counter(a for t in LOGS[name] for a in t)
+    ranks = {f: i for i, f in enumerate(sorted(set(frequency.values())))}
+    assert set(nodes) == set(frequency) | {"start", "end"}
+    for a, f in frequency.items():
+        assert nodes[a]["label"] == f"{a}\n{f}" and nodes[a]["width"] == 1.5 + ranks[f] / 2
+        assert nodes[a]["height"] == nodes[a]["width"] / 3
     edges = {(r["src"], r["dst"]): r for r in g.edges.collect()}
-    # distinct dependencies 0, 0.8, 0.8333, 0.9167, 0.9286: bands 0 to 4
-    assert edges["a", "d"]["penwidth"] == 5.0 and edges["d", "d"]["penwidth"] == 2.0
-    assert edges["start", "a"]["penwidth"] == 0.1 and edges["a", "d"]["label"] == "13"
-    assert ("e", "end") in edges and len(edges) == 10
-    assert all(r["penwidth"] == 0.1 for r in heuristic_graph(models["csv"], 0, 1).edges.collect())
+    matrix = dense(LOGS[name])
+    bands = {d: i for i, d in enumerate(sorted({d for d in matrix.values() if d >= 0}))}
+    assert len(bands) <= 8  # each has a band of its own
+    for (a, b), n in steps_of(LOGS[name]).items():
+        assert ((a, b) in edges) == (matrix[a, b] >= 0.5)
+        if (a, b) in edges:
+            assert edges[a, b]["penwidth"] == 1.0 + bands[matrix[a, b]] and edges[a, b]["label"] == str(n)
+    for t in LOGS[name]:
+        assert edges["start", t[0]]["penwidth"] == 0.1 and (t[-1], "end") in edges
+    assert all(r["penwidth"] == 0.1 for r in heuristic_graph(models[name], 0, 1).edges.collect())
+
+
+def test_halves_of_a_graph_are_found_apart(spark, models):
+    store = spark.sparkContext.statusTracker()
+
+    def jobs(group, build):
+        spark.sparkContext.setJobGroup(group, group)
+        result = build()
+        started = len(store.getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return result, started
+
+    graph, started = jobs("heuristic", lambda: heuristic_graph(models["shift"], 0.5, 1))
+    assert started == 0
+    _, started = jobs("heuristic nodes", lambda: graph.nodes)
+    assert "edges" not in graph.__dict__ and started > 0
+    graph, started = jobs("fuzzy", lambda: fuzzy_graph(models["shift"], 0.5, 0.3, 0.4, 0.5))
+    assert started == 0
+    jobs("fuzzy edges", lambda: graph.edges)
+    assert "nodes" not in graph.__dict__
 
 
 def test_unreachable_frequency_is_refused():

@@ -77,6 +77,7 @@ def test_long_cases_give_the_same_counts(spark, limit):
     for c, _, t in parts:
         joined.setdefault(c, []).extend(t)
     assert joined == ordered
+    assert {c: t for c, t in rows(traces(log), "case_id", "trace")} == ordered
 
 
 def test_copies_beyond_one_row_are_split(spark, monkeypatch):
@@ -90,13 +91,30 @@ def test_copies_beyond_one_row_are_split(spark, monkeypatch):
         (c, i, a) for c, t in ordered.items() for i, a in enumerate(t, 1))
 
 
-def test_long_traces_are_split(spark):
+def test_trace_logs_are_counted_row_by_row(spark):
     r = random.Random(5)
     long_one = [r.choice("abc") for _ in range(300)]
-    log = log_of(spark, [long_one, ["a", "b"], ["c"]], hot_case_rows=20)
-    assert split_hot_cases(log).segments is not None
+    log = log_of(spark, [long_one, ["a", None, "b"], ["c"], [None], [], None], hot_case_rows=20)
     want = Counter(zip(long_one, long_one[1:])) + Counter([("a", "b")])
-    assert {(a, b): n for a, b, n in rows(directly_follows(log), "src", "dst", "cnt")} == want
+    steps = directly_follows(log)
+    assert {(a, b): n for a, b, n in rows(steps, "src", "dst", "cnt")} == want
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "case_id" not in plan
+    model = base_model(log)
+    assert dict(rows(model.starts, "activity", "cases")) == Counter([long_one[0], "a", "c"])
+    assert dict(rows(end_activities(log), "activity", "cases")) == Counter([long_one[-1], "b", "c"])
+    assert rows(ordered_events(log).where("case_id = 1"), "pos", "activity") == [(1, "a"), (2, "b")]
+    assert rows(traces(log, 200).where("case_id = 0"), "part", "trace") == [(0, long_one[:200]), (1, long_one[200:])]
+
+
+def test_text_is_taken_apart_twice_at_most(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text("\n".join(csv_lines()) + "\n")
+    log = read_csv(spark, str(path), sep=",")
+    steps = directly_follows(log)
+    assert str(path) not in steps._jdf.queryExecution().optimizedPlan().toString()
+    assert set(log.events.inputFiles()) == set(directly_follows(log).inputFiles())
+    assert not any("log.csv" in f for f in log.events.inputFiles())
 
 
 def test_dropped_rows_are_counted(spark):
@@ -130,7 +148,7 @@ def test_text_times_sort_as_text_unless_parsed(spark):
 def csv_lines(sep=","):
     lines = [sep.join(("timestamp", "event", "case", "temperature"))]
     case = 0
-    for t in LOGS["csv"]:
+    for t in LOGS["shift"]:
         case += 1
         for day, a in enumerate(t, 1):
             lines.append(sep.join((f"2017-01-{day:02d} 00:00:00", a, str(case), "18")))
@@ -143,7 +161,7 @@ def test_csv(spark, tmp_path, sep):
     path.write_text("\n".join(csv_lines(sep)) + "\n")
     assert detect_delimiter(spark, str(path)) == sep
     found = base_model(read_csv(spark, str(path)))
-    assert rows(found.dfg, "src", "dst", "cnt") == rows(model_of(spark, LOGS["csv"]).dfg, "src", "dst", "cnt")
+    assert rows(found.dfg, "src", "dst", "cnt") == rows(model_of(spark, LOGS["shift"]).dfg, "src", "dst", "cnt")
 
 
 def test_csv_keeps_file_order_of_ties_and_sorts_numbers_as_numbers(spark, tmp_path):
@@ -158,7 +176,7 @@ def test_csv_keeps_file_order_of_ties_and_sorts_numbers_as_numbers(spark, tmp_pa
 
 def test_csv_number_columns(spark, tmp_path):
     path = tmp_path / "log.csv"
-    path.write_text('timestamp,event,case\n1.5,"b, then ""c""",01\n1.25,a,1\n10,z,1\n')
+    path.write_text('timestamp,event,case\n1.5,"b, then ""c""",1\n1.25,a,1\n10,z,1\n')
     log = read_csv(spark, str(path))
     assert dict(log.events.dtypes)["ts"] == "double" and dict(log.events.dtypes)["case_id"] == "bigint"
     assert [a for _, a in rows(ordered_events(log), "pos", "activity")] == ["a", 'b, then "c"', "z"]
@@ -167,6 +185,32 @@ def test_csv_number_columns(spark, tmp_path):
     assert rows(directly_follows(log), "src", "dst") == [("two\nlines", "a")]
 
 
+def test_csv_ids_stay_apart(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    for ids in (["123456789012345678901", "123456789012345678902"], ["1d", "1f"], ["1", "01"], ["1.0", "1.00"]):
+        one, two = ids
+        path.write_text(f"timestamp,event,case\n1,a,{one}\n2,b,{two}\n3,c,{one}\n4,d,{two}\n")
+        assert rows(directly_follows(read_csv(spark, str(path))), "src", "dst") == [("a", "c"), ("b", "d")]
+
+
+def test_csv_numbers_that_only_look_like_it(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text("timestamp,event,case\n10d,a,1\n9f,b,1\n")
+    assert dict(read_csv(spark, str(path)).events.dtypes)["ts"] == "string"
+    long_times = ["99999999999999999999", "100000000000000000000", "99999999999999999998"]
+    path.write_text("timestamp,event,case\n" + "".join(f"{t},e{i},1\n" for i, t in enumerate(long_times)))
+    log = read_csv(spark, str(path))
+    assert dict(log.events.dtypes)["ts"] == "decimal(38,0)"
+    assert [a for _, a in rows(ordered_events(log), "pos", "activity")] == ["e2", "e0", "e1"]
+
+
+def test_csv_ties_sort_as_numbers(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text("timestamp,event,case,seq\n" + "".join(f"1,e{i},1,{i}\n" for i in range(1, 12)))
+    log = read_csv(spark, str(path), tie=("seq",))
+    assert [a for _, a in rows(ordered_events(log), "pos", "activity")] == [f"e{i}" for i in range(1, 12)]
+
+
 def test_csv_without_delimiter(spark, tmp_path):
     path = tmp_path / "log.csv"
     path.write_text("")
@@ -176,28 +220,34 @@ def test_csv_without_delimiter(spark, tmp_path):
 
 def test_trace_files(spark, tmp_path):
     blank = tmp_path / "t.txt"
-    blank.write_text("\n".join(" ".join(t) for t in LOGS["test3"]) + "\n")
+    blank.write_text("\n".join(" ".join(t) for t in LOGS["parcel"]) + "\n")
     comma = tmp_path / "c.txt"
-    comma.write_text("\n".join(",".join(t) for t in LOGS["test3"]))
-    want = rows(model_of(spark, LOGS["test3"]).dfg, "src", "dst", "cnt")
+    comma.write_text("\n".join(",".join(t) for t in LOGS["parcel"]))
+    want = rows(model_of(spark, LOGS["parcel"]).dfg, "src", "dst", "cnt")
     assert rows(directly_follows(read_traces(spark, str(blank), sep=None)), "src", "dst", "cnt") == want
     assert rows(directly_follows(read_traces(spark, str(comma))), "src", "dst", "cnt") == want
 
 
 def test_write_traces_round_trip(spark, tmp_path):
-    log = log_of(spark, LOGS["test0"])
+    log = log_of(spark, LOGS["loops"])
     write_traces(log, str(tmp_path / "out"))
     lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect())
-    assert lines == sorted(",".join(t) for t in LOGS["test0"])
-    write_traces(log, str(tmp_path / "cut"), part_rows=4)
-    whole = [r[0] for r in spark.read.text(str(tmp_path / "cut")).collect()]
-    assert whole == ["a,b,e,f"]
-    texts = {}
-    for path in sorted((tmp_path / "cut_long").glob("case_id=*/part-*")):
-        texts.setdefault(path.parent.name, []).extend(path.read_text().split())
-    assert sorted(",".join(v) for v in texts.values()) == sorted(
-        ",".join(t) for t in LOGS["test0"] if len(t) > 4)
-    assert trace_lines(log, 4).count() == 1 + 2 * 4
+    assert lines == sorted(",".join(t) for t in LOGS["loops"])
+    back = read_traces(spark, str(tmp_path / "out"))
+    assert rows(directly_follows(back), "src", "dst", "cnt") == rows(directly_follows(log), "src", "dst", "cnt")
+
+
+@pytest.mark.parametrize("part_rows", [1, 2, 4, 1000])
+def test_write_traces_in_parts_round_trip(spark, tmp_path, part_rows):
+    log = log_of(spark, LOGS["loops"])
+    write_traces(log, str(tmp_path / "cut"), part_rows=part_rows)
+    assert [p.name for p in tmp_path.iterdir()] == ["cut"]
+    lines = [r[0].split("\t") for r in spark.read.text(str(tmp_path / "cut")).collect()]
+    assert all(len(x.split(",")) <= part_rows for _, _, x in lines)
+    back = read_traces(spark, str(tmp_path / "cut"), parts=True)
+    assert rows(ordered_events(back), "pos", "activity") == rows(ordered_events(log), "pos", "activity")
+    assert rows(directly_follows(back), "src", "dst", "cnt") == rows(directly_follows(log), "src", "dst", "cnt")
+    assert trace_lines(log, part_rows).count() == sum(-(-len(t) // part_rows) for t in LOGS["loops"])
 
 
 def test_traces_of_empty_arrays_are_ignored(spark):
@@ -217,8 +267,8 @@ def test_ranked(spark, one_task_rows):
 
 
 def test_vocabulary_of_sample(spark):
-    log = log_of(spark, LOGS["test1"])
-    assert [a for _, a in rows(vocabulary(log, "first_seen"), "position", "activity")] == list("abcdefgh")
+    log = log_of(spark, LOGS["apart"])
+    assert [a for _, a in rows(vocabulary(log, "first_seen"), "position", "activity")] == list("uvxwmn")
 
 
 def test_timestamps_keep_their_type(spark):

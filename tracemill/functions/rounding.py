@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 # 2**27 + 1: multiplying by it splits a double into two halves of at most 27 bits.
 _SPLIT = 134217729.0
 
-# A group of values that lies exactly between two hundredths is summed in order; this bounds
-# the number of values gathered for that.
-ORDERED_SUM_ROWS = 100_000
-
 
 def fmt2(x: Column) -> Column:
     """Two decimals of the exact binary value of ``x`` (0 <= x), ties to even.
@@ -35,35 +31,13 @@ def np2(x: Column) -> Column:
     return F.rint(x * F.lit(100.0)) / F.lit(100.0)
 
 
-def mean2(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    rounding,
-    out: str,
-    ordered_rows: int = ORDERED_SUM_ROWS,
-) -> DataFrame:
+def mean2(df: DataFrame, keys: Sequence[str], value: str, rounding, out: str) -> DataFrame:
     """Mean of a two-decimal column per group, rounded to two decimals: ``keys, size, out``.
 
-    Hundredths are added as integers, with map-side combine, so the result does not depend on
-    the order of the rows and no group is ever gathered. Only where the exact mean is a tie does
-    the error of a floating-point sum decide; those groups, when they hold at most
-    ``ordered_rows`` rows, are added up in ``order``. Larger tied groups go to the even hundredth.
+    Hundredths are added as integers, with map-side combine: the result depends neither on the
+    order of the rows nor on the size of a group, and no group is gathered.
     """
-    keys = list(keys)
-    sums = df.groupBy(*keys).agg(
-        F.expr(f"sum(cast(rint({value} * 100D) as bigint)) as _s"), F.expr("count(1) as size")
-    )
-    tied = "2 * _s % (2 * size) = size"
-    small_ties = sums.where(f"{tied} and size <= {ordered_rows}").select(*keys)
-    in_order = f"""aggregate(array_sort(collect_list(struct({', '.join(order)}, {value}))), 0D,
-        (total, x) -> total + x.{value}) / cast(count(1) as double) as _m"""
-    sums_in_order = df.join(small_ties, keys, "left_semi").groupBy(*keys).agg(F.expr(in_order))
-    # Halves: the ordered sum decides; without it, the even neighbour.
-    result = (
-        F.when(F.expr(f"not ({tied})"), F.expr("((2 * _s + size) div (2 * size)) / 100D"))
-        .when(F.col("_m").isNotNull(), rounding(F.col("_m")))
-        .otherwise(F.expr("(_s div size + (_s div size) % 2) / 100D"))
-    )
-    return sums.join(sums_in_order, keys, "left").select(*keys, "size", result.alias(out))
+    hundredths = F.sum(F.rint(F.col(value) * F.lit(100.0)).cast("bigint"))
+    sums = df.groupBy(*keys).agg(hundredths.alias("_s"), F.count(F.lit(1)).alias("size"))
+    mean = F.col("_s").cast("double") / F.lit(100.0) / F.col("size").cast("double")
+    return sums.select(*keys, "size", rounding(mean).alias(out))

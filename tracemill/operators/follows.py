@@ -13,9 +13,16 @@ from tracemill.sources.eventlog import EventLog
 from tracemill.storage import written
 
 
+def _activities(log: EventLog) -> DataFrame:
+    """``activity``, a row per event."""
+    if log.rows is not None:
+        return log.rows.select(F.explode("trace").alias("activity"))
+    return log.events.select("activity")
+
+
 def activity_frequency(log: EventLog) -> DataFrame:
     """Events per activity: ``activity, freq``."""
-    return log.events.groupBy("activity").agg(F.count(F.lit(1)).alias("freq"))
+    return _activities(log).groupBy("activity").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def max_frequency(stats: DataFrame) -> DataFrame:
@@ -29,7 +36,7 @@ def vocabulary(log: EventLog, by: str = "label") -> DataFrame:
     First seen goes through the cases in case order, and through each case in time.
     """
     if by == "label":
-        return ranked(log.events.select("activity").distinct(), ["activity"], "position")
+        return ranked(_activities(log).distinct(), ["activity"], "position")
     if by != "first_seen":
         raise ValueError("by must be 'label' or 'first_seen'")
     first = F.min(F.struct(F.col("case_id"), log.sort_key())).alias("first")
@@ -44,28 +51,33 @@ def directly_follows(log: EventLog) -> DataFrame:
 
 def start_activities(log: EventLog) -> DataFrame:
     """First activities with the number of cases they open: ``activity, cases``."""
-    return _per_case(log, F.min_by("activity", log.sort_key()))
+    return _per_case(log, F.get("trace", F.lit(0)), lambda: F.min_by("activity", log.sort_key()))
 
 
 def end_activities(log: EventLog) -> DataFrame:
     """Last activities with the number of cases they close: ``activity, cases``."""
-    return _per_case(log, F.max_by("activity", log.sort_key()))
+    return _per_case(log, F.element_at("trace", -1), lambda: F.max_by("activity", log.sort_key()))
 
 
-def _per_case(log: EventLog, pick) -> DataFrame:
-    picked = log.events.groupBy("case_id").agg(pick.alias("activity"))
+def _per_case(log: EventLog, of_row, of_events) -> DataFrame:
+    if log.rows is not None:
+        picked = log.rows.where(F.size("trace") > 0).select(of_row.alias("activity"))
+    else:
+        picked = log.events.groupBy("case_id").agg(of_events().alias("activity"))
     return picked.groupBy("activity").agg(F.count(F.lit(1)).alias("cases"))
 
 
 @dataclass
 class ProcessModel:
-    """What both miners start from. ``params`` are the settings last used, kept on saving."""
+    """What both miners start from. ``miner`` and ``params`` are the miner and the settings that
+    last drew a graph from it; they are kept on saving."""
 
     activities: DataFrame
     dfg: DataFrame
     starts: DataFrame
     ends: DataFrame
     params: dict[str, float] | None = None
+    miner: str | None = None
 
 
 def base_model(log: EventLog) -> ProcessModel:

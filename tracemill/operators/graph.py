@@ -3,23 +3,33 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.ranking import ranked
 from tracemill.storage import Collected, written
 
-BLOCK = 1_000
 
-
-@dataclass
 class ProcessGraph:
-    """``nodes(node, node_kind, ..)`` and ``edges(src, src_kind, dst, dst_kind, ..)``."""
+    """``nodes(node, node_kind, ..)`` and ``edges(src, src_kind, dst, dst_kind, ..)``.
+
+    Either may be given as a function, which is called when that half is first asked for.
+    """
+
+    def __init__(
+        self, nodes: DataFrame | Callable[[], DataFrame], edges: DataFrame | Callable[[], DataFrame]
+    ):
+        self._nodes, self._edges = nodes, edges
 
-    nodes: DataFrame
-    edges: DataFrame
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._nodes() if callable(self._nodes) else self._nodes
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._edges() if callable(self._edges) else self._edges
 
 
 def degrees(graph: ProcessGraph) -> DataFrame:
@@ -61,92 +71,72 @@ def summary(graph: ProcessGraph) -> DataFrame:
     return nodes.withColumn("edges", graph.edges.agg(count).scalar())
 
 
-def reachable(graph: ProcessGraph, roots: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+#: Rounds along single edges before whole paths are followed at once.
+PLAIN_ROUNDS = 8
+
+
+def reachable(
+    graph: ProcessGraph, roots: DataFrame | None = None, plain_rounds: int = PLAIN_ROUNDS
+) -> DataFrame:
     """Nodes with ``reached``: can they be got to from ``roots`` (default: all source nodes)?
 
-    Nodes are cut into blocks of ``block`` in label order. A round follows the edges inside every
-    block to the end, then the edges between blocks once, so the number of rounds grows with the
-    changes of block along a path, not with its length.
+    Each round joins the nodes reached last to the edges, until nothing is new. After some rounds, paths
+    without forks and joins are followed to their ends at once, so that rounds grow with the forks
+    along a path and not with its length.
     """
     if roots is None:
         roots = source_nodes(graph)
-    roots = roots.select("node", "node_kind").distinct()
     kinds = graph.nodes.select("node", "node_kind")
-    numbered = ranked(kinds, ["node_kind", "node"], "idx")
-    ends = {
-        side: numbered.selectExpr(f"node as {side}", f"node_kind as {side}_kind", f"idx as {side}_idx")
-        for side in ("src", "dst")
-    }
-    links = (
-        graph.edges.select("src", "src_kind", "dst", "dst_kind")
-        .distinct()
-        .join(ends["src"], ["src", "src_kind"])
-        .join(ends["dst"], ["dst", "dst_kind"])
-        .select("src_idx", "dst_idx")
+    start = roots.select("node", "node_kind").distinct().join(kinds, ["node", "node_kind"], "left_semi")
+    links = graph.edges.select(
+        F.struct(F.col("src_kind").alias("node_kind"), F.col("src").alias("node")).alias("a"),
+        F.struct(F.col("dst_kind").alias("node_kind"), F.col("dst").alias("node")).alias("b"),
     )
-    new = numbered.join(roots, ["node", "node_kind"], "left_semi").select("idx")
-    if numbered.where(F.col("idx") > block).isEmpty():
-        seen = _close_blocks(_inside_blocks(numbered, links, block), new.limit(0), new)
-    else:
-        seen = _follow(numbered, links, new, block)
-    reached = seen.withColumn("reached", F.lit(True))
-    return numbered.join(reached, "idx", "left").selectExpr(
-        "node", "node_kind", "coalesce(reached, false) as reached"
+    links = written(links.where("a <> b").distinct(), "links")
+    seen = Collected(links.sparkSession, links.select("a").schema, "seen")
+    new = seen.add(start.select(F.struct("node_kind", "node").alias("a")))
+    rounds, paths = 0, None
+    while not new.isEmpty():
+        onward = links.join(new, "a", "left_semi").select(F.col("b").alias("a"))
+        if rounds >= plain_rounds:
+            paths = _paths(links) if paths is None else paths
+            onward = onward.unionByName(_along(paths, new))
+        new = seen.add(onward.distinct().join(seen.table(), "a", "left_anti"))
+        rounds += 1
+    reached = seen.table().select("a.node", "a.node_kind", F.lit(True).alias("reached"))
+    return kinds.join(reached, ["node", "node_kind"], "left").select(
+        "node", "node_kind", F.coalesce("reached", F.lit(False)).alias("reached")
     )
 
 
-def _same_block(block: int) -> str:
-    return f"(src_idx - 1) div {block} = (dst_idx - 1) div {block}"
+def _paths(links: DataFrame) -> DataFrame:
+    """``a, path, left``: nodes on a path without forks and joins, the path's end, and the steps to it.
 
-
-def _inside_blocks(numbered: DataFrame, links: DataFrame, block: int) -> DataFrame:
-    """``idx, block, targets``: the nodes of the same block an edge leads to, at most ``block``."""
-    targets = links.where(_same_block(block)).groupBy(F.col("src_idx").alias("idx"))
-    return numbered.join(
-        targets.agg(F.collect_list("dst_idx").alias("targets")), "idx", "left"
-    ).selectExpr(
-        "idx",
-        f"(idx - 1) div {block} as block",
-        "coalesce(targets, cast(array() as array<bigint>)) as targets",
-    )
+    On a closed path there is no end; it goes by its smallest node, and ``left`` is null. Found by
+    doubling the steps, so in rounds that grow with the logarithm of the longest path.
+    """
+    one_out = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("a")
+    one_in = links.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("b")
+    steps = links.join(one_out, "a", "left_semi").join(one_in, "b", "left_semi")
+    steps = written(steps.selectExpr("a", "b as path", "1L as left", "least(a, b) as low"), "paths")
+    for _ in range(steps.count().bit_length()):
+        further = steps.select(
+            F.col("a").alias("path"), F.col("path").alias("p"), F.col("left").alias("l"), F.col("low").alias("m")
+        )
+        steps = written(
+            steps.join(further, "path", "left").selectExpr(
+                "a", "coalesce(p, path) as path", "left + coalesce(l, 0L) as left", "least(low, m) as low"
+            ),
+            "paths",
+        )
+    closed = steps.join(steps.select(F.col("a").alias("path")), "path", "left_semi")
+    on_path = steps.join(closed.select("a"), "a", "left_anti").select("a", "path", "left")
+    ends = on_path.select("path").distinct().selectExpr("path as a", "path", "0L as left")
+    closed = closed.selectExpr("a", "low as path", "cast(null as bigint) as left")
+    return written(on_path.unionByName(ends).unionByName(closed), "paths")
 
 
-def _follow(numbered: DataFrame, links: DataFrame, new: DataFrame, block: int) -> DataFrame:
-    links = written(links, "numbered-links")
-    local = written(_inside_blocks(numbered, links, block), "local-links")
-    crossing = links.where(f"not ({_same_block(block)})")
-    new = written(new, "frontier")
-    seen = Collected(new.sparkSession, new.schema, "seen")
-    while not new.isEmpty():
-        before = seen.table()
-        grown = written(_close_blocks(local, before, new), "reached")
-        seen.add(grown.join(before, "idx", "left_anti"))
-        # Reached over an edge between blocks, and not seen before.
-        onward = crossing.join(grown.withColumnRenamed("idx", "src_idx"), "src_idx", "left_semi")
-        onward = onward.select(F.col("dst_idx").alias("idx")).distinct()
-        new = written(onward.join(seen.table(), "idx", "left_anti"), "frontier")
-    return seen.table()
-
-
-def _close_blocks(local: DataFrame, seen: DataFrame, new: DataFrame) -> DataFrame:
-    """Everything reached from ``new`` along edges inside the blocks that hold it."""
-    marks = new.withColumn("new", F.lit(True)).unionByName(seen.withColumn("new", F.lit(False)))
-    busy = local.join(new, "idx", "left_semi").select("block").distinct()
-    blocks = (
-        local.join(busy, "block", "left_semi")
-        .join(marks, "idx", "left")
-        .groupBy("block")
-        .agg(
-            F.expr("collect_list(if(new, idx, null)) as front"),
-            F.expr("collect_list(if(new is not null, idx, null)) as seen"),
-            F.expr("collect_list(struct(idx, targets)) as nodes"),
-        )
-    )
-    # One step per node is enough to get everywhere; steps with nothing new cost nothing.
-    onward = """flatten(transform(filter(nodes, n -> array_contains(done.front, n.idx)),
-        n -> n.targets))"""
-    closed = f"""aggregate(sequence(1, size(nodes)), struct(seen, front), (done, i) ->
-        case when size(done.front) = 0 then done
-        else struct(array_union(done.seen, {onward}) as seen,
-            array_except({onward}, done.seen) as front) end, done -> done.seen)"""
-    return blocks.selectExpr(f"explode({closed}) as idx")
+def _along(paths: DataFrame, new: DataFrame) -> DataFrame:
+    """All nodes that lie behind ``new`` on their paths."""
+    at = paths.join(new, "a", "left_semi").groupBy("path").agg(F.max("left").alias("from"))
+    return paths.join(at, "path").where("left is null or left < from").select("a")

@@ -5,11 +5,9 @@ leader; it claims every node linked to it that is still free. So the leaders are
 lexicographically first maximal independent set of the seeds, and every other node belongs to
 the smallest leader it is linked to.
 
-Whether a seed leads depends on the smaller seeds it is linked to. Seeds are numbered in label
-order and cut into blocks of ``BLOCK`` seeds. A round settles every block as far as it can, all
-blocks at once, by folding over its sorted seeds; seeds that wait for an earlier block go to the
-next round. The first unsettled block never waits, so the number of rounds is at most the number
-of blocks, and one round is enough for up to ``BLOCK`` seeds, however long their chains are.
+The set is found in rounds. A seed leads when no smaller seed linked to it is still open, and drops
+when a linked one leads; seeds that drop are out of the way of those that waited for them. The number
+of rounds is the longest wait for a wait, which is short unless links form chains in label order.
 """
 
 from __future__ import annotations
@@ -17,96 +15,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.ranking import ranked
 from tracemill.storage import Collected, written
 
-BLOCK = 1_000
 
-_NONE = "cast(array() as array<bigint>)"
-
-
-def leaders(seeds: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
+def leaders(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Leaders among ``seeds(param_id, activity)`` under ``links(param_id, a, b)``.
 
     Links are taken in both directions; ends that are not seeds are ignored.
     """
-    numbered = ranked(seeds, ["activity"], "idx", keys=["param_id"])
-    lo = numbered.select("param_id", F.col("activity").alias("a"), F.col("idx").alias("lo"))
-    hi = numbered.select("param_id", F.col("activity").alias("b"), F.col("idx").alias("hi"))
+    open_seeds = written(seeds.select("param_id", "activity").distinct(), "open-seeds")
+    smaller, larger = _as(open_seeds, "a"), _as(open_seeds, "b")
     pairs = (
         links.where("a <> b")
         .select("param_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
-        .join(lo, ["param_id", "a"])
-        .join(hi, ["param_id", "b"])
-        .select("param_id", "lo", "hi", F.lit(False).alias("lo_leads"))
+        .join(smaller, ["param_id", "a"], "left_semi")
+        .join(larger, ["param_id", "b"], "left_semi")
     )
-    waiting = numbered.select("param_id", F.col("idx").alias("hi"))
-    if numbered.where(F.col("idx") > block).isEmpty():
-        # One block per setting: nothing waits.
-        found = _settle_blocks(waiting, pairs, block).where("state = 'leads'")
-        return numbered.join(found, ["param_id", "idx"], "left_semi").select("param_id", "activity")
-    found = Collected(seeds.sparkSession, waiting.withColumnRenamed("hi", "idx").schema, "leaders")
-    while True:
-        pairs = written(pairs, "seed-links")
-        states = written(_settle_blocks(waiting, pairs, block), "seed-states")
-        found.add(states.where("state = 'leads'").select("param_id", "idx"))
-        waiting = states.where("state = 'waits'").select("param_id", F.col("idx").alias("hi"))
-        if waiting.isEmpty():
-            break
-        lo_state = states.select("param_id", F.col("idx").alias("lo"), "state")
-        # A smaller seed that leads has settled this one; one that dropped is out of the way.
-        pairs = (
-            pairs.join(waiting, ["param_id", "hi"], "left_semi")
-            .join(lo_state, ["param_id", "lo"], "left")
-            .where("lo_leads or state <> 'drops'")
-            .select("param_id", "lo", "hi", F.expr("lo_leads or state = 'leads'").alias("lo_leads"))
+    pairs = written(pairs, "seed-links")
+    found = Collected(seeds.sparkSession, open_seeds.schema, "leaders")
+    while not pairs.isEmpty():
+        waits = pairs.select("param_id", F.col("b").alias("activity"))
+        lead = found.add(open_seeds.join(waits, ["param_id", "activity"], "left_anti"))
+        drops = pairs.join(_as(lead, "a"), ["param_id", "a"], "left_semi").select(
+            "param_id", F.col("b").alias("activity")
         )
-    return numbered.join(found.table(), ["param_id", "idx"], "left_semi").select(
-        "param_id", "activity"
-    )
+        drops = written(drops.distinct(), "drops")
+        pairs = written(
+            pairs.join(_as(drops, "b"), ["param_id", "b"], "left_anti").join(
+                _as(drops, "a"), ["param_id", "a"], "left_anti"
+            ),
+            "seed-links",
+        )
+        done = lead.unionByName(drops)
+        open_seeds = written(open_seeds.join(done, ["param_id", "activity"], "left_anti"), "open-seeds")
+    return found.table().unionByName(open_seeds)  # what is still open waits for nothing
 
 
-def _settle_blocks(waiting: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
-    inside = f"(lo - 1) div {block} = (hi - 1) div {block}"
-    per_seed = pairs.groupBy("param_id", "hi").agg(
-        F.expr("max(lo_leads) as drops"),
-        F.expr(f"max(not lo_leads and not ({inside})) as waits"),
-        # At most ``block`` entries: links inside one block only.
-        F.expr(f"collect_list(if(not lo_leads and {inside}, lo, null)) as before"),
-    )
-    blocks = (
-        waiting.join(per_seed, ["param_id", "hi"], "left")
-        .selectExpr(
-            "param_id",
-            f"(hi - 1) div {block} as block",
-            f"""struct(hi as idx, coalesce(drops, false) as drops, coalesce(waits, false) as waits,
-                coalesce(before, {_NONE}) as before) as seed""",
-        )
-        .groupBy("param_id", "block")
-        .agg(F.expr("array_sort(collect_list(seed)) as seeds"))
-    )
-    # Seeds in label order; those that drop leave the two lists as they are.
-    fold = f"""aggregate(seeds, struct({_NONE} as lead, {_NONE} as wait), (done, s) ->
-        case when s.drops or arrays_overlap(s.before, done.lead) then done
-             when s.waits or arrays_overlap(s.before, done.wait)
-                 then struct(done.lead as lead, array_append(done.wait, s.idx) as wait)
-             else struct(array_append(done.lead, s.idx) as lead, done.wait as wait) end)"""
-    return (
-        blocks.selectExpr("param_id", f"{fold} as done", "seeds.idx as ids")
-        .selectExpr("param_id", "done", "explode(ids) as idx")
-        .selectExpr(
-            "param_id",
-            "idx",
-            """case when array_contains(done.lead, idx) then 'leads'
-                when array_contains(done.wait, idx) then 'waits' else 'drops' end as state""",
-        )
-    )
+def _as(seeds: DataFrame, end: str) -> DataFrame:
+    return seeds.select("param_id", F.col("activity").alias(end))
 
 
-def clusters(seeds: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
+def clusters(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Members of clusters: ``param_id, activity, leader``, each activity at most once."""
-    lead = written(leaders(seeds, links, block), "leaders")
+    lead = written(leaders(seeds, links), "leaders")
     ends = links.selectExpr(
         "param_id", "inline(array(struct(a as leader, b as activity), struct(b as leader, a as activity)))"
     )

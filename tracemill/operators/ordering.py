@@ -1,11 +1,11 @@
 """Order of events inside cases, also for cases that are too long for one task.
 
-Ordinary cases are ordered by a window over the case. A case is *hot* when it holds more rows
-than ``max(hot_case_rows, all rows / 10,000)``; so there are at most 10,000 of them, which bounds
-the table that marks them. The rows of hot cases are range-partitioned by (case, order) into
-segments of similar size, and each segment is ordered on its own; the segments are joined up
-through a table with one row per case and segment. Equal rows are counted before they move, so
-a group of copies never travels as rows.
+Ordinary cases are ordered by a window over the case. A case with more than ``hot_case_rows`` rows
+is *hot*: its rows are range-partitioned by (case, order) into segments of similar size, and each
+segment is ordered on its own; the segments are joined up through a table with one row per case and
+segment. Equal rows are counted before they move, so a group of copies never travels as rows.
+
+In a log of traces every case lies in one row, in order, so nothing is grouped or sorted.
 """
 
 from __future__ import annotations
@@ -20,9 +20,7 @@ from pyspark.sql.window import Window
 from tracemill.sources.eventlog import EventLog
 from tracemill.storage import written
 
-MAX_HOT_CASES = 10_000
 COPIES_PER_ROW = 10_000
-PART_ROWS = 100_000
 
 
 @dataclass
@@ -34,25 +32,22 @@ class SplitLog:
 
 
 def split_hot_cases(log: EventLog) -> SplitLog:
-    """Find the hot cases. A log with no more rows than one case may have is not grouped."""
+    """Find the hot cases, with one count per case."""
     if not hasattr(log, "_split"):
         log._split = _split(log)
     return log._split
 
 
 def _split(log: EventLog) -> SplitLog:
-    rows = log.row_count()
-    limit = max(log.hot_case_rows, rows // MAX_HOT_CASES)
-    if rows <= limit:
-        return SplitLog(log.events, None)
-    sizes = log.case_sizes().groupBy("case_id").agg(F.sum("rows").alias("rows"))
+    limit = log.hot_case_rows
+    sizes = log.events.groupBy("case_id").agg(F.count(F.lit(1)).alias("rows"))
     hot = written(sizes.where(F.col("rows") > limit), "hot-cases")
     hot_rows = hot.agg(F.sum("rows")).first()[0]
     if not hot_rows:
         return SplitLog(log.events, None)
-    marks = F.broadcast(hot.select("case_id"))
-    ordinary = log.events.join(marks, "case_id", "left_anti")
-    hot_events = log.events.join(marks, "case_id", "left_semi")
+    # The marks are stored, so Spark knows their size and broadcasts them only when they are few.
+    ordinary = log.events.join(hot.select("case_id"), "case_id", "left_anti")
+    hot_events = log.events.join(hot.select("case_id"), "case_id", "left_semi")
     runs = (
         hot_events.groupBy("case_id", *log.order_columns)
         .agg(F.count(F.lit(1)).alias("copies"))
@@ -71,6 +66,9 @@ def range_segments(df: DataFrame, order: list, pieces: int | None = None) -> Dat
 
 def ordered_events(log: EventLog) -> DataFrame:
     """Every event with its position in the case, from 1."""
+    if log.rows is not None:
+        placed = log.rows.select("case_id", F.posexplode("trace").alias("ts", "activity"))
+        return placed.select("case_id", "ts", "activity", (F.col("ts") + 1).cast("long").alias("pos"))
     split = split_hot_cases(log)
     in_case = Window.partitionBy("case_id").orderBy(*log.order)
     ordinary = split.ordinary.withColumn("pos", F.row_number().over(in_case).cast("long"))
@@ -87,31 +85,51 @@ def ordered_events(log: EventLog) -> DataFrame:
     upto = F.sum("copies").over(in_segment.rowsBetween(Window.unboundedPreceding, 0))
     hot = (
         split.segments.withColumn("upto", upto)
-        .join(F.broadcast(before_segment), ["case_id", "seg"])
+        .join(before_segment, ["case_id", "seg"])
         .withColumn("pos", F.explode(F.expr("sequence(offset + upto - copies + 1, offset + upto)")))
         .select(*ordinary.columns)
     )
     return ordinary.unionByName(hot)
 
 
-def traces(log: EventLog, part_rows: int = PART_ROWS) -> DataFrame:
-    """Ordered activities per case: ``case_id, part, trace``.
+def traces(log: EventLog, part_rows: int | None = None) -> DataFrame:
+    """Ordered activities per case: ``case_id, trace``, one row per case.
 
-    A case of up to ``part_rows`` events is one row with part 0; a longer one goes on in parts
-    1, 2, .., so that no array grows without bound.
+    With ``part_rows``, ``case_id, part, trace``: part 0 has the first ``part_rows`` events of a
+    case, part 1 the next, and so on. Ask for it where a whole case may not fit a row.
     """
-    part = F.expr(f"(pos - 1) div {part_rows}").alias("part")
+    if part_rows is None:
+        if log.rows is not None:
+            return log.rows.where(F.size("trace") > 0)
+        keys, parts = ["case_id"], []
+    else:
+        keys, parts = ["case_id", "part"], [F.expr(f"(pos - 1) div {part_rows}").alias("part")]
     return (
         ordered_events(log)
-        .select("case_id", part, F.struct("pos", "activity").alias("event"))
-        .groupBy("case_id", "part")
+        .select("case_id", *parts, F.struct("pos", "activity").alias("event"))
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("event")).alias("events"))
-        .select("case_id", "part", F.transform("events", lambda e: e["activity"]).alias("trace"))
+        .select(*keys, F.transform("events", lambda e: e["activity"]).alias("trace"))
+    )
+
+
+def _row_steps(rows: DataFrame) -> DataFrame:
+    """Steps inside each row: partly counted before the shuffle, by pair only."""
+    step = F.transform(
+        "trace",
+        lambda a, i: F.struct(
+            a.alias("src"), F.get("trace", i + 1).alias("dst"), (i == 0).cast("long").alias("starts")
+        ),
+    )
+    return rows.select(F.inline(step)).groupBy("src", "dst").agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum("starts").alias("starts")
     )
 
 
 def neighbours(log: EventLog) -> DataFrame:
     """Counted steps ``src, dst, cnt, starts`` before the final sum; dst is null at a case end."""
+    if log.rows is not None:
+        return _row_steps(log.rows)
     split = split_hot_cases(log)
     in_case = Window.partitionBy("case_id").orderBy(*log.order)
     ordinary = split.ordinary.select(
@@ -151,7 +169,7 @@ def _hot_steps(log: EventLog, segments: DataFrame) -> DataFrame:
         "copies",
         F.lead("activity").over(in_segment).alias("next"),
         F.lag("activity").over(in_segment).isNull().alias("opens_segment"),
-    ).join(F.broadcast(seams), ["case_id", "seg"])
+    ).join(seams, ["case_id", "seg"])
     onward = F.struct(
         F.col("activity").alias("src"),
         F.coalesce("next", "after_segment").alias("dst"),

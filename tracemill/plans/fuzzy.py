@@ -62,20 +62,30 @@ class FuzzyBase:
 
     def __init__(self, model: ProcessModel):
         self.model = model
-        pairs = written(correlation(model).where("src <> dst"), "correlation")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """``src, dst, cnt, corr`` of different activities."""
+        return written(correlation(self.model).where("src <> dst"), "correlation")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
         strongest = (
-            pairs.select(F.explode(F.array("src", "dst")).alias("activity"), "corr")
+            self.pairs.select(F.explode(F.array("src", "dst")).alias("activity"), "corr")
             .groupBy("activity")
             .agg(F.max("corr").alias("strongest"))
         )
-        size = model.activities.agg(F.count(F.lit(1)))
-        self.nodes = written(
-            significance(model)
+        size = self.model.activities.agg(F.count(F.lit(1)))
+        return written(
+            significance(self.model)
             .join(strongest, "activity", "left")
             .withColumn("strongest", F.coalesce("strongest", F.lit(0.0)))
             .withColumn("only_node", size.scalar() == 1),
             "fuzzy-nodes",
         )
+
+    @cached_property
+    def links(self) -> DataFrame:
         ends = {
             side: self.nodes.select(
                 F.col("activity").alias(side),
@@ -84,7 +94,7 @@ class FuzzyBase:
             )
             for side in ("src", "dst")
         }
-        self.links = written(pairs.join(ends["src"], "src").join(ends["dst"], "dst"), "fuzzy-links")
+        return self.pairs.join(ends["src"], "src").join(ends["dst"], "dst")
 
 
 class FuzzyRun:
@@ -253,28 +263,27 @@ class FuzzyRun:
         table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return written(table, "clusters")
 
+    @cached_property
+    def _cluster_means(self) -> DataFrame:
+        """``param_id, leader, size, sig``"""
+        members = self.clusters.join(self.live, ["param_id", "activity"])
+        return mean2(members, ["param_id", "leader"], "sig", fmt2, "sig")
+
     @cached_property
     def cluster_nodes(self) -> DataFrame:
         """``param_id, leader, number, size, sig``; numbered from 1 in the order of leaders."""
-        members = self.clusters.join(self.live, ["param_id", "activity"])
-        means = mean2(members, ["param_id", "leader"], ["activity"], "sig", fmt2, "sig")
-        return ranked(means, ["leader"], "number", keys=["param_id"])
+        return ranked(self._cluster_means, ["leader"], "number", keys=["param_id"])
 
-    @property
+    @cached_property
     def cluster_names(self) -> DataFrame:
-        """Member names in order, ``param_id, leader, part, name``; 1,000 members to a part."""
-        part = F.expr("(position - 1) div 1000").alias("part")
-        return (
-            ranked(self.clusters, ["activity"], "position", keys=["param_id", "leader"])
-            .groupBy("param_id", "leader", part)
-            .agg(F.array_join(F.array_sort(F.collect_list("activity")), "-").alias("name"))
-        )
+        """``param_id, leader, position, activity``: the members in label order, from 1."""
+        return ranked(self.clusters, ["activity"], "position", keys=["param_id", "leader"])
 
     @property
     def node_significance(self) -> DataFrame:
         """``param_id, activity, sig, removed`` after clustering, for every activity."""
         final = self.clusters.join(
-            self.cluster_nodes.select("param_id", "leader", F.col("sig").alias("cluster_sig")),
+            self._cluster_means.select("param_id", "leader", F.col("sig").alias("cluster_sig")),
             ["param_id", "leader"],
         )
         return self._all_nodes.join(final, ["param_id", "activity"], "left").select(
@@ -318,10 +327,7 @@ class FuzzyRun:
         single = self._ends.where(f"{plain} and not filtered").select(
             *keys, F.lit(1).cast("long").alias("size"), F.col("corr").alias("value")
         )
-        # Sums in the order of the links: source, then target.
-        grouped = mean2(
-            self._ends.where(f"not ({plain})"), keys, ["src", "dst"], "corr", np2, "value"
-        )
+        grouped = mean2(self._ends.where(f"not ({plain})"), keys, "corr", np2, "value")
         return single.unionByName(grouped).select(
             "param_id",
             F.col("src_end").alias("src"),
@@ -338,7 +344,13 @@ class FuzzyRun:
         return self.live.join(self.clusters, ["param_id", "activity"], "left_anti")
 
     def graph(self, sizes: bool = True) -> ProcessGraph:
-        """Nodes and edges of every setting; ``sizes=False`` leaves out the banded sizes."""
+        """Nodes and edges of every setting; ``sizes=False`` leaves out the banded sizes.
+
+        Nothing runs before the nodes or the edges are asked for, and each is found without the other.
+        """
+        return ProcessGraph(lambda: self._graph_nodes(sizes), lambda: self._graph_edges(sizes))
+
+    def _graph_nodes(self, sizes: bool) -> DataFrame:
         plain = self.plain_nodes.select(
             "param_id",
             F.col("activity").alias("node"),
@@ -347,9 +359,6 @@ class FuzzyRun:
             "freq",
             F.lit(1).cast("long").alias("size"),
         )
-        if sizes:
-            width = band_of("freq", band_cuts(self.base.nodes, "freq")) / 2 + NODE_WIDTH
-            plain = plain.withColumns({"width": width, "height": width / 3})
         grouped = self.cluster_nodes.select(
             "param_id",
             F.col("leader").alias("node"),
@@ -358,13 +367,16 @@ class FuzzyRun:
             "size",
             "number",
         )
-        edges = self.edges
         if sizes:
+            width = band_of("freq", band_cuts(self.base.nodes, "freq")) / 2 + NODE_WIDTH
+            plain = plain.withColumns({"width": width, "height": width / 3})
             grouped = grouped.withColumns(
                 {"width": F.lit(CLUSTER_WIDTH), "height": F.lit(CLUSTER_HEIGHT)}
             )
-            edges = edges.withColumn("penwidth", F.lit(EDGE_WIDTH))
-        return ProcessGraph(plain.unionByName(grouped, allowMissingColumns=True), edges)
+        return plain.unionByName(grouped, allowMissingColumns=True)
+
+    def _graph_edges(self, sizes: bool) -> DataFrame:
+        return self.edges.withColumn("penwidth", F.lit(EDGE_WIDTH)) if sizes else self.edges
 
 
 def fuzzy_graph(
@@ -375,7 +387,8 @@ def fuzzy_graph(
     utility_ratio: float = 0.0,
     sizes: bool = True,
 ) -> ProcessGraph:
-    """The graph of one setting."""
+    """The graph of one setting, which the model remembers."""
     params = FuzzyParams(significance, correlation, edge_cutoff, utility_ratio)
     graph = FuzzyRun(FuzzyBase(model), [params]).graph(sizes)
-    return ProcessGraph(graph.nodes.drop("param_id"), graph.edges.drop("param_id"))
+    model.miner, model.params = "fuzzy", {name: float(getattr(params, name)) for name in _SETTINGS}
+    return ProcessGraph(lambda: graph.nodes.drop("param_id"), lambda: graph.edges.drop("param_id"))

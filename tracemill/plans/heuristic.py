@@ -11,6 +11,7 @@ from tracemill.operators.bands import band_cuts, band_of
 from tracemill.operators.follows import ProcessModel
 from tracemill.operators.graph import ProcessGraph
 from tracemill.plans.params import HeuristicParams, param_rows
+from tracemill.storage import written
 
 # Sizes of nodes and edges.
 NODE_WIDTH = 1.5
@@ -81,23 +82,24 @@ def heuristic_sweep(model: ProcessModel, params: Sequence[HeuristicParams]) -> D
     )
 
 
-def activity_nodes(model: ProcessModel) -> DataFrame:
-    """All activities with their frequency and size."""
-    band = band_of("freq", band_cuts(model.activities, "freq"))
-    width = band / 2 + NODE_WIDTH
+def _plain_nodes(model: ProcessModel) -> DataFrame:
     return model.activities.select(
         F.col("activity").alias("node"),
         F.lit("activity").alias("node_kind"),
         F.concat_ws("\n", "activity", F.col("freq").cast("string")).alias("label"),
         "freq",
-        width.alias("width"),
-        (width / 3).alias("height"),
     )
 
 
+def activity_nodes(model: ProcessModel) -> DataFrame:
+    """All activities with their frequency and size."""
+    width = band_of("freq", band_cuts(model.activities, "freq")) / 2 + NODE_WIDTH
+    return _plain_nodes(model).withColumns({"width": width, "height": width / 3})
+
+
 def dependency_bands(model: ProcessModel) -> list[float]:
     """Cut points over the distinct dependencies of the matrix that are not negative."""
-    cells = dependency_cells(model)
+    cells = written(dependency_cells(model).select("dependency"), "cells")
     seen = cells.where("dependency >= 0").select("dependency")
     size = model.activities.agg(F.count(F.lit(1)).alias("n"))
     zero = (
@@ -128,10 +130,28 @@ def heuristic_graph(
     """Activities and the edges that pass, with start and end.
 
     ``sizes=False`` leaves out the banded columns (node width and height, edge width) and the
-    jobs that compute them.
+    jobs that compute them. Nothing runs before the nodes or the edges are asked for, and each
+    is found without the other. The model remembers the settings.
     """
-    edges = dependency_edges(model, dependency, min_frequency)
-    mined = edges.select(
+    p = HeuristicParams(dependency, min_frequency)
+    model.miner = "heuristic"
+    model.params = {"dependency": float(p.dependency), "min_frequency": float(p.min_frequency)}
+    return ProcessGraph(lambda: _graph_nodes(model, sizes), lambda: _graph_edges(model, p, sizes))
+
+
+def _graph_nodes(model: ProcessModel, sizes: bool) -> DataFrame:
+    nodes = activity_nodes(model) if sizes else _plain_nodes(model)
+    ends = model.dfg.sparkSession.range(1).select(
+        F.inline(F.array(*[
+            F.struct(F.lit(k).alias("node"), F.lit(k).alias("node_kind"), F.lit(k).alias("label"))
+            for k in ("start", "end")
+        ]))
+    )
+    return nodes.unionByName(ends, allowMissingColumns=True)
+
+
+def _graph_edges(model: ProcessModel, p: HeuristicParams, sizes: bool) -> DataFrame:
+    mined = dependency_edges(model, p.dependency, p.min_frequency).select(
         "src", F.lit("activity").alias("src_kind"), "dst", F.lit("activity").alias("dst_kind"),
         F.lit("mined").alias("kind"), "cnt", "dependency",
         F.col("cnt").cast("string").alias("label"),
@@ -139,26 +159,8 @@ def heuristic_graph(
     terminal = terminal_edges(model)
     if sizes:
         width = F.lit(PLAIN_EDGE_WIDTH)
-        if dependency != 0:
+        if p.dependency != 0:
             width = band_of("dependency", dependency_bands(model)) + EDGE_WIDTH
         mined = mined.withColumn("penwidth", width)
         terminal = terminal.withColumn("penwidth", F.lit(PLAIN_EDGE_WIDTH))
-        nodes = activity_nodes(model)
-    else:
-        nodes = model.activities.select(
-            F.col("activity").alias("node"),
-            F.lit("activity").alias("node_kind"),
-            F.concat_ws("\n", "activity", F.col("freq").cast("string")).alias("label"),
-            "freq",
-        )
-    spark = model.dfg.sparkSession
-    ends = spark.range(1).select(
-        F.inline(F.array(*[
-            F.struct(F.lit(k).alias("node"), F.lit(k).alias("node_kind"), F.lit(k).alias("label"))
-            for k in ("start", "end")
-        ]))
-    )
-    return ProcessGraph(
-        nodes=nodes.unionByName(ends, allowMissingColumns=True),
-        edges=mined.unionByName(terminal, allowMissingColumns=True),
-    )
+    return mined.unionByName(terminal, allowMissingColumns=True)

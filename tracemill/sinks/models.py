@@ -13,11 +13,11 @@ from tracemill.plans.fuzzy import fuzzy_graph
 from tracemill.plans.heuristic import heuristic_graph
 from tracemill.storage import written
 
-_TABLES = tuple(f.name for f in fields(ProcessModel) if f.name != "params")
+_TABLES = tuple(f.name for f in fields(ProcessModel) if f.name not in ("params", "miner"))
 
 
 def save_model(model: ProcessModel, path: str, overwrite: bool = False) -> None:
-    """Write the tables of a model, and its settings as rows ``name, value``.
+    """Write the tables of a model, and its settings as rows ``name, value, miner``.
 
     When overwriting, the tables are stored elsewhere first: they may be read from ``path``.
     """
@@ -27,28 +27,31 @@ def save_model(model: ProcessModel, path: str, overwrite: bool = False) -> None:
         tables = {name: written(table, "model") for name, table in tables.items()}
     for name, table in tables.items():
         table.write.mode(mode).parquet(f"{path}/{name}")
-    settings = F.array(
-        *[
-            F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("value"))
-            for k, v in sorted((model.params or {}).items())
-        ]
-    ).cast("array<struct<name:string,value:double>>")
+    settings = [
+        F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("value"), F.lit(model.miner).cast("string").alias("miner"))
+        for k, v in sorted((model.params or {}).items())
+    ]
+    rows = F.array(*settings).cast("array<struct<name:string,value:double,miner:string>>")
     one = model.dfg.sparkSession.range(1)
-    one.select(F.inline(settings)).write.mode(mode).parquet(f"{path}/params")
+    one.select(F.inline(rows)).write.mode(mode).parquet(f"{path}/params")
 
 
 def load_model(spark: SparkSession, path: str) -> ProcessModel:
     """Read a model back, with the settings it was saved with."""
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in _TABLES}
-    params = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/params").collect()}
-    return ProcessModel(**tables, params=params or None)
+    settings = spark.read.parquet(f"{path}/params").collect()  # a row per setting of the miner
+    params = {r["name"]: r["value"] for r in settings}
+    miner = next((r["miner"] for r in settings), None)
+    return ProcessModel(**tables, params=params or None, miner=miner)
 
 
 def redraw(model: ProcessModel, sizes: bool = True) -> ProcessGraph:
-    """The graph of a model with the settings it carries, of either miner."""
+    """The graph of a model as the miner it carries last drew it."""
     params = dict(model.params or {})
-    if "significance" in params or "correlation" in params:
+    if model.miner == "fuzzy":
         return fuzzy_graph(model, **params, sizes=sizes)
+    if model.miner != "heuristic":
+        raise ValueError("no miner has drawn this model yet; set model.miner to 'heuristic' or 'fuzzy'")
     if "min_frequency" in params:
         params["min_frequency"] = int(params["min_frequency"])
     return heuristic_graph(model, **params, sizes=sizes)

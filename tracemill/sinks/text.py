@@ -6,39 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.graph import ProcessGraph
-from tracemill.operators.ordering import PART_ROWS, traces
+from tracemill.operators.ordering import traces
 from tracemill.sources.eventlog import EventLog
-from tracemill.storage import written
 
-
-def trace_lines(log: EventLog, part_rows: int = PART_ROWS) -> DataFrame:
-    """One comma-joined line per case: ``case_id, part, value`` (see ``traces`` for parts)."""
-    return traces(log, part_rows).select(
-        "case_id", "part", F.array_join("trace", ",").alias("value")
-    )
-
-
-def write_traces(log: EventLog, path: str, part_rows: int = PART_ROWS) -> None:
-    """One case per line under ``path``.
-
-    Cases longer than ``part_rows`` events do not go on one line. They are written line after
-    line under ``<path>_long/case_id=..``; the files of that folder, in name order, hold the
-    parts of the case in order.
+# Shapes, styles, colours, and label words of the drawings.
+ACTIVITY_SHAPE = "box"
+ACTIVITY_STYLE = "rounded"
+TERMINAL_SHAPE = "doublecircle"
+CLUSTER_SHAPE = "octagon"
+FILLED = "filled"
+START_COLOUR = "green"
+END_COLOUR = "red"
+NODE_COLOUR = "#FDFFF5"
+CLUSTER_COLOUR = "#6495ED"
+CLUSTER_EDGE_COLOUR = "red"
+SIGNIFICANCE_LABEL = '<%s<br/><font color="red">%s</font>>'
+CLUSTER_LABEL = "Cluster %d\n%d Elements\n~%s"
+
+
+def trace_lines(log: EventLog, part_rows: int | None = None) -> DataFrame:
+    """Comma-joined lines, ``case_id, value`` or ``case_id, part, value`` (see ``traces``)."""
+    found = traces(log, part_rows)
+    return found.select(*found.columns[:-1], F.array_join("trace", ",").alias("value"))
+
+
+def write_traces(log: EventLog, path: str, part_rows: int | None = None) -> None:
+    """One case per line under ``path``, as ``read_traces`` reads it.
+
+    With ``part_rows``, for logs with cases that are too long for a line, every case is written in parts:
+    the case, the number of the part, and the part, separated by tabs; ``read_traces(.., parts=True)``
+    gives the same log. The layout is the caller's choice and never depends on the data.
     """
-    lines = written(trace_lines(log, part_rows), "trace-lines")
-    long_cases = lines.where("part > 0").select("case_id").distinct()
-    if long_cases.isEmpty():
-        lines.select("value").write.text(path)
-        return
-    lines.join(long_cases, "case_id", "left_anti").select("value").write.text(path)
-    (
-        lines.join(long_cases, "case_id", "left_semi")
-        .repartitionByRange("case_id", "part")
-        .sortWithinPartitions("case_id", "part")
-        .select("case_id", "value")
-        .write.partitionBy("case_id")
-        .text(f"{path.rstrip('/')}_long")
-    )
+    lines = trace_lines(log, part_rows)
+    if part_rows is not None:
+        lines = lines.select(F.concat_ws("\t", F.col("case_id").cast("string"), "part", "value").alias("value"))
+    lines.select("value").write.text(path)
 
 
 def _quoted(text: Column) -> Column:
@@ -46,9 +48,17 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit('"'))
 
 
-def _attributes(**values: Column) -> Column:
-    """`` [a="x" b="y"]`` without the attributes that are null."""
-    parts = [F.concat(F.lit(f"{k}="), _quoted(v.cast("string"))) for k, v in values.items()]
+def _html(text: Column) -> Column:
+    """Text inside an HTML-like label."""
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return F.replace(text, F.lit("\n"), F.lit("<br/>"))
+
+
+def _attributes(label: Column, **values: Column) -> Column:
+    """`` [label=.. a="x" b="y"]`` without the attributes that are null; ``label`` is quoted already."""
+    parts = [F.concat(F.lit("label="), label)]
+    parts += [F.concat(F.lit(f"{k}="), _quoted(v.cast("string"))) for k, v in values.items()]
     return F.concat(F.lit(" ["), F.concat_ws(" ", *parts), F.lit("]"))
 
 
@@ -88,12 +98,12 @@ def heuristic_dot(graph: ProcessGraph) -> DataFrame:
     terminal = kind != "activity"
     node = _quoted(_node_id("node", "node_kind"))
     style = _attributes(
-        label=F.col("label"),
+        _quoted(F.col("label")),
         width=F.col("width"),
         height=F.col("height"),
-        shape=F.when(terminal, "doublecircle").otherwise("box"),
-        style=F.when(terminal, "filled").otherwise("rounded"),
-        fillcolor=F.when(kind == "start", "green").when(kind == "end", "red"),
+        shape=F.when(terminal, TERMINAL_SHAPE).otherwise(ACTIVITY_SHAPE),
+        style=F.when(terminal, FILLED).otherwise(ACTIVITY_STYLE),
+        fillcolor=F.when(kind == "start", START_COLOUR).when(kind == "end", END_COLOUR),
     )
     nodes = graph.nodes.select(node.alias("key"), F.concat(node, style).alias("line"))
     return _document(graph.nodes.sparkSession, [nodes, _edges(graph, F.col("label"), None)])
@@ -103,21 +113,21 @@ def fuzzy_dot(graph: ProcessGraph) -> DataFrame:
     """DOT lines of a simplified graph."""
     cluster = F.col("node_kind") == "cluster"
     node = _quoted(_node_id("node", "node_kind"))
+    sig = F.col("sig").cast("string")
     label = F.when(
-        cluster,
-        F.format_string("Cluster %d\n%d Elements\n~%s", "number", "size", F.col("sig").cast("string")),
-    ).otherwise(F.concat_ws("\n", "node", F.col("sig").cast("string")))
+        cluster, _quoted(F.format_string(CLUSTER_LABEL, "number", "size", sig))
+    ).otherwise(F.format_string(SIGNIFICANCE_LABEL, _html(F.col("node")), sig))
     style = _attributes(
-        label=label,
+        label,
         width=F.col("width"),
         height=F.col("height"),
-        shape=F.when(cluster, "octagon").otherwise("box"),
-        style=F.lit("filled"),
-        fillcolor=F.when(cluster, "#6495ED").otherwise("#FDFFF5"),
+        shape=F.when(cluster, CLUSTER_SHAPE).otherwise(ACTIVITY_SHAPE),
+        style=F.lit(FILLED),
+        fillcolor=F.when(cluster, CLUSTER_COLOUR).otherwise(NODE_COLOUR),
     )
     nodes = graph.nodes.select(node.alias("key"), F.concat(node, style).alias("line"))
     at_cluster = (F.col("src_kind") == "cluster") | (F.col("dst_kind") == "cluster")
-    colour = F.when(at_cluster, "red")
+    colour = F.when(at_cluster, CLUSTER_EDGE_COLOUR)
     return _document(graph.nodes.sparkSession, [nodes, _edges(graph, F.col("value"), colour)])
 
 
@@ -125,10 +135,10 @@ def _edges(graph: ProcessGraph, label: Column, colour: Column | None) -> DataFra
     edge = F.concat(
         _quoted(_node_id("src", "src_kind")), F.lit(" -> "), _quoted(_node_id("dst", "dst_kind"))
     )
-    attributes = {"label": label, "penwidth": F.col("penwidth")}
+    attributes = {"penwidth": F.col("penwidth")}
     if colour is not None:
         attributes["color"] = colour
-    return graph.edges.select(edge.alias("key"), F.concat(edge, _attributes(**attributes)).alias("line"))
+    return graph.edges.select(edge.alias("key"), F.concat(edge, _attributes(_quoted(label.cast("string")), **attributes)).alias("line"))
 
 
 def write_dot(lines: DataFrame, path: str) -> None:

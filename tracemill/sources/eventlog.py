@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.errors import MissingColumnError
+from tracemill.storage import written
 
 #: A case with more rows than this is ordered in several tasks.
 HOT_CASE_ROWS = 5_000_000
@@ -25,8 +27,9 @@ class EventLog:
     missing values last. What is still equal after that is the same row, so any order of it
     gives the same result.
 
-    Ordering first counts the rows, and the rows per case when there are many, so a table that
-    is costly to compute is better stored before it becomes a log.
+    Ordering goes through the rows twice: once to find cases that are too long for one task, once
+    for the order. With ``store`` the role columns are written to the shared folder at their first
+    use and read from there, which is worth it for text and for tables that are costly to compute.
     """
 
     def __init__(
@@ -38,6 +41,7 @@ class EventLog:
         tie: Sequence[str] = (),
         ts_format: str | None = None,
         hot_case_rows: int = HOT_CASE_ROWS,
+        store: bool = False,
     ):
         missing = [c for c in (ts, case, activity, *tie) if c not in df.columns]
         if missing:
@@ -48,15 +52,22 @@ class EventLog:
         self.source = df
         self.roles = {"case": case, "ts": ts, "activity": activity, "tie": list(tie)}
         self.hot_case_rows = hot_case_rows
-        self._sizes: DataFrame | None = None
+        self.store = store
+        #: Of a log of traces: ``case_id, trace``, a whole case in each row.
+        self.rows: DataFrame | None = None
         self.tie_columns = [f"tie_{i}" for i in range(len(tie))]
-        self.events = df.select(
+        self._roles = df.select(
             F.col(_quoted(case)).alias("case_id"),
             time.alias("ts"),
             *[F.col(_quoted(c)).alias(t) for c, t in zip(tie, self.tie_columns)],
             F.col(_quoted(activity)).cast("string").alias("activity"),
         ).where("case_id is not null and activity is not null")
 
+    @cached_property
+    def events(self) -> DataFrame:
+        """``case_id, ts, tie_0.., activity``"""
+        return written(self._roles, "events") if self.store else self._roles
+
     @classmethod
     def from_positions(
         cls, df: DataFrame, ts: int = 0, activity: int = 1, case: int = 2, **options
@@ -72,30 +83,23 @@ class EventLog:
     def from_traces(
         cls, df: DataFrame, trace: str = "trace", case: str | None = None, **options
     ) -> EventLog:
-        """One row per case with an array of activities; empty arrays give no events."""
+        """One row per case with an array of activities; empty arrays give no events.
+
+        A case is one row, so steps, starts, and ends are read off each row where it lies; rows are
+        cases of their own even if two share an id. Null activities are left out.
+        """
         if trace not in df.columns:
             raise MissingColumnError(f"no column {trace}; found {', '.join(df.columns)}")
         case_id = F.col(_quoted(case)) if case else F.monotonically_increasing_id()
         one_per_case = df.select(case_id.alias("case"), F.col(_quoted(trace)).alias("trace"))
         events = one_per_case.select("case", F.posexplode("trace").alias("timestamp", "event"))
         log = cls(events, **options)
-        log._sizes = one_per_case.where("trace is not null").select(
-            F.col("case").alias("case_id"), F.size("trace").cast("long").alias("rows")
+        log.rows = one_per_case.where("case is not null").select(
+            F.col("case").alias("case_id"),
+            F.filter(F.col("trace").cast("array<string>"), lambda a: a.isNotNull()).alias("trace"),
         )
         return log
 
-    def case_sizes(self) -> DataFrame:
-        """``case_id, rows``, to be added up per case. Arrays are not taken apart for it."""
-        if self._sizes is not None:
-            return self._sizes
-        return self.events.select("case_id", F.lit(1).cast("long").alias("rows"))
-
-    def row_count(self) -> int:
-        """At least the number of events."""
-        if self._sizes is None:
-            return self.source.count()
-        return self._sizes.agg(F.sum("rows")).first()[0] or 0
-
     @property
     def order_columns(self) -> list[str]:
         return ["ts", *self.tie_columns, "activity"]

@@ -61,48 +61,75 @@ def read_csv(
 ) -> EventLog:
     """A CSV log. Events of a case with equal times keep file order unless ``tie`` is given.
 
-    Without a ``schema``, the time and case columns are read once to see whether they are
-    numbers, so that they sort as numbers; with one, nothing is read ahead.
+    Without a ``schema``, the time, tie, and case columns are read once to see whether they are
+    numbers, so that they sort as numbers; with one, nothing is read ahead. The role columns
+    are stored at their first use, so the text is taken apart once for everything else.
     """
     table = read_csv_table(spark, path, sep, schema, multi_line)
     missing = [c for c in (ts, case, activity, *tie) if c not in table.columns]
     if missing:
         raise MissingColumnError(f"no column {', '.join(missing)}; found {', '.join(table.columns)}")
     if schema is None:
-        numeric = _number_types(table, [ts, case])
-        table = table.withColumns(
-            {c: F.col(_quoted(c)).cast(kind) for c, kind in numeric.items()}
-        )
+        kinds = _column_types(table, case, [ts, *tie])
+        table = table.withColumns({c: F.col(_quoted(c)).cast(kind) for c, kind in kinds.items()})
     if not tie:
         # Ids grow with the position in the file, also across the splits of one file.
         table = table.withColumn(_FILE_ORDER, F.monotonically_increasing_id())
         tie = (_FILE_ORDER,)
-    return EventLog(table, case=case, ts=ts, activity=activity, tie=tie, **options)
-
-
-def _number_types(table: DataFrame, columns: list[str]) -> dict[str, str]:
-    """The widest number type that holds every value of a text column; text ones are left out."""
-    columns = list(dict.fromkeys(columns))
-    checks = []
-    for i, c in enumerate(columns):
-        text = F.col(_quoted(c))
-        for kind in ("bigint", "double"):
-            misfit = text.isNotNull() & text.try_cast(kind).isNull()
-            checks.append(F.max(misfit).alias(f"{kind}_{i}"))
+    return EventLog(table, case=case, ts=ts, activity=activity, tie=tie, **{"store": True, **options})
+
+
+# Text that is a number, and nothing that some parser merely takes for one (1d, 0x1, NaN).
+_WHOLE = r"^[+-]?[0-9]+$"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_CASE_NUMBER = "^(0|-?[1-9][0-9]*)$"
+
+
+def _column_types(table: DataFrame, case: str, ordered: list[str]) -> dict[str, str]:
+    """Number types for the text columns of a log; columns that are no numbers are left out.
+
+    A case becomes a whole number only when that keeps all ids apart: each is written the one
+    usual way and fits. Times and ties become whole numbers, long ones as decimals, else doubles.
+    """
+    checks, choices = [], {}
+
+    def check(column: str, name: str, fits) -> None:
+        checks.append(F.coalesce(F.bool_and(F.col(_quoted(column)).isNull() | fits), F.lit(False)).alias(name))
+
+    def text(column: str):
+        return F.trim(F.col(_quoted(column)))
+
+    for i, c in enumerate(dict.fromkeys(ordered)):
+        whole = text(c).rlike(_WHOLE)
+        choices[c] = [(f"{kind}_{i}", kind) for kind in ("bigint", "decimal(38,0)", "double")]
+        check(c, f"bigint_{i}", whole & text(c).try_cast("bigint").isNotNull())
+        check(c, f"decimal(38,0)_{i}", whole & text(c).try_cast("decimal(38,0)").isNotNull())
+        check(c, f"double_{i}", text(c).rlike(_NUMBER))
+    choices[case] = [("case", "bigint")]
+    ids = F.col(_quoted(case))
+    check(case, "case", ids.rlike(_CASE_NUMBER) & ids.try_cast("bigint").isNotNull())
     found = table.agg(*checks).first()
     types = {}
-    for i, c in enumerate(columns):
-        for kind in ("bigint", "double"):
-            if found[f"{kind}_{i}"] is False:
-                types[c] = kind
-                break
+    for c, kinds in choices.items():
+        types.update({c: kind for name, kind in reversed(kinds) if found[name]})
     return types
 
 
 def read_traces(
-    spark: SparkSession, path: str, sep: str | None = ",", **options
+    spark: SparkSession, path: str, sep: str | None = ",", parts: bool = False, **options
 ) -> EventLog:
-    """One case per line; activities separated by ``sep``, or by white space when it is None."""
+    """One case per line; activities separated by ``sep``, or by white space when it is None.
+
+    ``parts`` reads what ``write_traces`` wrote with ``part_rows``: the case, the number of the part,
+    and the part, separated by tabs.
+    """
+    if parts:
+        split = F.split("value", "\t", 3)
+        lines = spark.read.text(path).where("value <> ''").select(
+            split[0].alias("case"), split[1].cast("bigint").alias("part"), F.split(split[2], ",").alias("trace")
+        )
+        events = lines.select("case", "part", F.posexplode("trace").alias("place", "event"))
+        return EventLog(events, case="case", ts="part", tie=["place"], activity="event", **options)
     lines = spark.read.text(path).where(F.trim("value") != "")
     if sep is None:
         trace = F.split(F.trim("value"), r"\s+")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +27,21 @@ def text_pieces(data: bytes) -> Iterator[bytes]:
         start = stop
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='tracemill-')}/tracemill", "zip", package.parent, package.name
+        )
+        spark.sparkContext.addPyFile(archive)  # Spark copies it to every executor
+        _shipped.add(app)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names near ``names`` that ``df`` does not use (Spark compares without case)."""
     taken = {c.lower() for c in df.columns}
@@ -48,6 +66,7 @@ def per_text(
     Only the id and the text leave the JVM. The work is one pass without a shuffle; a lost task
     is run again from its input split.
     """
+    ship_package(df.sparkSession)
     id_field = T.StructField(id_col, df.schema[id_col].dataType)
     schema = T.StructType([id_field, *(f for f in fields)])
 

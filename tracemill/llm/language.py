@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import fresh, per_text
+from tracemill.llm.common import fresh, per_text, ship_package
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -151,6 +151,8 @@ def keep_identified(
     """The rows of ``docs``, all columns, whose language is known with at least ``min_margin``."""
     content = dictionaries(docs, id_col, text_col, lang_col)
 
+    ship_package(docs.sparkSession)
+
     @F.arrow_udf(T.BooleanType())
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = _classifier(content).predict

@@ -253,3 +253,27 @@ def mixed(
     used = schedule(written(sized, "sized"), n_shards, seed, weights).where(F.col("pass").isNotNull())
     used = written(used.select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("place").alias(place)), "uses")
     return stored.join(used, row).drop(row)
+
+
+#: The same words taken in SQL: targets by filling up, then the stream of each source up to its target.
+#: How the blocks of a stream go to shards does not change what is taken.
+MIXTURE_SQL = r"""
+WITH sized AS (SELECT doc_id, source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+    weighed AS (SELECT *, source_size * 3 AS most,
+        [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM per),
+    levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER
+            (line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / sum(weight) OVER (line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+        FROM weighed WINDOW line AS (ORDER BY most / weight, source NULLS LAST)),
+    fill AS (SELECT level FROM levels WHERE level * weight <= most ORDER BY most / weight, level LIMIT 1),
+    targets AS (SELECT l.source, source_size, least(most::DOUBLE, f.level * weight) AS target
+        FROM levels l, fill f),
+    placed AS (SELECT doc_id, s.source, size, source_size, target, floor(target / nullif(source_size, 0)) AS whole,
+        coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5('7:' || coalesce(doc_id::VARCHAR, '')),
+            doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+        FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * coalesce(whole
+    + CASE WHEN before * 2 + size < (target - whole * source_size) * 2 THEN 1 ELSE 0 END, 0))::BIGINT AS taken
+FROM placed"""

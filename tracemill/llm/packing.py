@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.llm import word_bpe
+from tracemill.llm.common import ship_package
 from tracemill.llm.prefix import running_totals
 from tracemill.storage import written
 
@@ -129,6 +130,7 @@ def token_pieces(
     A document is the ids of its text and an end id; only longer ones are cut, every ``capacity`` tokens.
     ``ids`` are unsigned 32-bit little-endian numbers.
     """
+    ship_package(docs.sparkSession)
     id_field = T.StructField("id", docs.schema[id_col].dataType)
     fields = [f for f in _PIECES if with_ids or f.name != "ids"]
     schema = T.StructType([id_field, *fields])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import fresh, per_text
+from tracemill.llm.common import fresh, per_text, ship_package
 
 WINDOW = 3
 #: Texts at the start of a task on which all rules are timed.
@@ -202,6 +202,8 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null or empty text is rejected (too few words). One pass without a shuffle.
     """
 
+    ship_package(docs.sparkSession)
+
     @F.arrow_udf(T.BooleanType())
     def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cascade = Cascade(BASE_RULES | RULES)

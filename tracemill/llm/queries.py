@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm.language import languages
 from tracemill.llm.licences import licences
-from tracemill.llm.mixing import mixture
+from tracemill.llm.mixing import MIXTURE_SQL, mixture
 from tracemill.llm.packing import packed
 from tracemill.llm.quality import QUALITY_SQL, quality
-from tracemill.llm.sharding import shard_by_bytes
+from tracemill.llm.sharding import BYTE_SHARDS_SQL, shard_by_bytes
 from tracemill.llm.simhash import near_duplicates
 from tracemill.llm.token_counts import token_counts
 from tracemill.llm.vectors import near_duplicate_vectors
@@ -38,4 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mixture": lambda s, d: mixture(_documents(s, d)),
 }
 
-ORACLE: dict[str, str] = {"op9_quality_cascade": QUALITY_SQL}
+#: The others hash, compress, or tokenize; their tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op8_byte_shards": BYTE_SHARDS_SQL,
+    "op9_quality_cascade": QUALITY_SQL,
+    "op10_source_mixture": MIXTURE_SQL,
+}

@@ -50,3 +50,19 @@ def shard_by_bytes(
         (F.col("rank") - F.col("first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+#: The same rows in SQL; the checksum's table comes from its polynomial.
+BYTE_SHARDS_SQL = """
+WITH powers AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+    bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+        lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
+    sized AS (SELECT doc_id, len(b)::BIGINT + 1 AS size, xor(4294967295, list_reduce(b, lambda c, x:
+        xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32 FROM bytes, powers),
+    placed AS (SELECT *, row_number() OVER w - 1 AS rank, sum(size) OVER ()::BIGINT AS total,
+        coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+        FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32)),
+    cut AS (SELECT *, least(15, ((before * 2 + size) * 16) // (2 * total))::INT AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot,
+    NULL::INT AS grown_shard FROM cut"""

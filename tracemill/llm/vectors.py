@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.llm.common import ship_package
 from tracemill.llm.components import components
 from tracemill.llm.prefix import running_totals
 from tracemill.storage import written
@@ -53,6 +54,7 @@ def unit_vectors(
             T.StructField("keys", T.ArrayType(T.LongType())),
         ]
     )
+    ship_package(vectors.sparkSession)
     bits = 1 << np.arange(63, -1, -1, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

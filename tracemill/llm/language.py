@@ -17,19 +17,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import fresh, per_text, ship_package
+from tracemill.llm.common import fresh, per_text, ship_package, text_blocks
 
 UNKNOWN = "und"
 FOLDS = 5
-#: Bound of the training sample: so many rows a language, none longer than so many bytes.
-TRAIN_ROWS = 400
+#: Bound of the training sample: so many rows a language, none longer than so many bytes, and so
+#: many languages, those with the most rows.
+TRAIN_ROWS = 100
 TRAIN_TEXT_BYTES = 8_192
+TRAIN_LANGUAGES = 64
 #: Bytes of a dictionary.
 DICTIONARY_BYTES = 96 << 10
 CHUNK_BYTES = 2_048
 LEVEL = 6
 #: Relative margins below this are too narrow to decide.
-MIN_MARGIN = 0.005
+MIN_MARGIN = 0.002
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -46,16 +48,26 @@ def dictionaries(
     """A dictionary per language, from at most ``rows`` labelled rows each (the documented bound).
 
     The rows are those with the smallest hashes of their text, chosen among all labelled rows that are
-    not held out and not longer than :data:`TRAIN_TEXT_BYTES`; the first ``rows`` of each
-    partition are picked before the shuffle, so a language with most of the rows is no large group.
+    not held out and not longer than :data:`TRAIN_TEXT_BYTES`. The number of different texts of each
+    language is estimated first; only texts whose hash is below four times the share that is wanted are
+    compared, so what is gathered does not grow with the table.
     """
     labelled = docs.select(
         docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")
     ).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND length(trim(text)) > 0")
     labelled = labelled.where(~held_out(F.col("id"))).where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    first = Window.partitionBy("lang").orderBy("hash", "text")
+    # 53 bits of the hash, as a number in [0, 1)
+    place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    labelled = labelled.select("lang", "text", place.alias("place"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("place").alias("texts"))
+    largest = counts.orderBy(F.desc("texts"), "lang").limit(TRAIN_LANGUAGES)
+    share = F.lit(4.0 * rows) / F.col("texts")
+    wanted = F.broadcast(largest.select("lang", share.alias("share")))  # a row per language
+    first = Window.partitionBy("lang").orderBy("place", "text")
     sample = (
-        labelled.select("lang", "text", F.xxhash64("text").alias("hash"))
+        labelled.join(wanted, "lang")
+        .where(F.col("place") < F.col("share"))
+        .select("lang", "text", "place")
         .distinct()
         .withColumn("rank", F.row_number().over(first))
         .where(F.col("rank") <= rows)
@@ -157,7 +169,7 @@ def keep_identified(
     def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = _classifier(content).predict
         for texts in batches:
-            found = [predict(t) for t in texts.to_pylist()]
+            found = [predict(t) for block in text_blocks(texts) for t in block.to_pylist()]
             yield pa.array([lang != UNKNOWN and margin >= min_margin for lang, margin in found], pa.bool_())
 
     (flag,) = fresh(docs, "is_identified")

@@ -9,7 +9,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tracemill.llm import language, licences, quality, word_bpe  # noqa: E402
+from tracemill.llm import common, language, licences, quality, word_bpe  # noqa: E402
 from tracemill.llm.token_counts import token_counts  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -42,6 +42,7 @@ def test_ids_are_the_librarys(bpe):
 
 
 def test_counts_over_small_blocks_and_full_caches(bpe, monkeypatch):
+    monkeypatch.setattr(common, "BLOCK_BYTES", 64)
     monkeypatch.setattr(word_bpe, "BLOCK_BYTES", 64)
     monkeypatch.setattr(word_bpe, "CACHED_PIECES", 3)
     monkeypatch.setattr(word_bpe, "CACHED_WORDS", 2)

@@ -7,13 +7,32 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a text that are split into words at a time.
 PIECE_BYTES = 1 << 20
+#: Texts of a batch are taken up in blocks of about so many bytes; one longer text is a block of its own.
+BLOCK_BYTES = 4 << 20
+
+
+def text_blocks(texts: pa.Array, size: int | None = None) -> Iterator[pa.Array]:
+    """``texts`` in slices of about ``size`` bytes (:data:`BLOCK_BYTES`), which bounds what a worker holds as Python objects.
+
+    What a block leaves in the memory pool goes back to the system before the next.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, size = 0, size or BLOCK_BYTES
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield texts.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
+        start = stop
 
 
 def text_pieces(data: bytes) -> Iterator[bytes]:
@@ -61,7 +80,7 @@ def per_text(
     fields: list[T.StructField],
     compute: Callable[[pa.Array], Iterable[pa.Array]],
 ) -> DataFrame:
-    """(id, fields): ``compute`` maps an Arrow array of texts (null: empty) to one array per field.
+    """(id, fields): ``compute`` maps an Arrow array of texts (null: empty), a block, to one array per field.
 
     Only the id and the text leave the JVM. The work is one pass without a shuffle; a lost task
     is run again from its input split.
@@ -72,11 +91,11 @@ def per_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                texts = batch.column(1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *compute(texts)], names=[f.name for f in schema]
-                )
+            start = 0
+            for texts in text_blocks(batch.column(1)):
+                ids = batch.column(0).slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, *compute(texts)], names=[f.name for f in schema])
+                start += len(texts)
 
     picked = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
     return picked.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import fresh, per_text, ship_package
+from tracemill.llm.common import fresh, per_text, ship_package, text_blocks
 
 WINDOW = 3
 #: Texts at the start of a task on which all rules are timed.
@@ -178,8 +178,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each give a row; an empty table gives no rows; other columns are ignored.
     """
 
+    of_task: list[Cascade] = []  # filled in a task: one sample for all its blocks
+
     def compute(texts: pa.Array) -> list[pa.Array]:
-        cascade = Cascade(RULES)
+        if not of_task:
+            of_task.append(Cascade(RULES))
+        cascade = of_task[0]
         rows: list[list] = [[] for _ in range(len(_COUNTS) + 2)]
         for text in texts.to_pylist():
             counted = Text(text)
@@ -208,7 +212,10 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cascade = Cascade(BASE_RULES | RULES)
         for texts in batches:
-            yield pa.array([t is not None and not cascade.rejects(t) for t in texts.to_pylist()], pa.bool_())
+            found = [
+                t is not None and not cascade.rejects(t) for block in text_blocks(texts) for t in block.to_pylist()
+            ]
+            yield pa.array(found, pa.bool_())
 
     (flag,) = fresh(docs, "is_good")
     return docs.withColumn(flag, good(docs[text_col])).where(F.col(flag)).select(*docs.columns)

@@ -25,12 +25,14 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from tracemill.llm.common import text_blocks
+
 #: Pieces and merged words up to this length are remembered, so many at a time.
 CACHED_CHARS = 48
-CACHED_PIECES = 400_000
-CACHED_WORDS = 250_000
-#: Texts are taken in blocks of about so many bytes; one longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+CACHED_PIECES = 300_000
+CACHED_WORDS = 200_000
+#: Larger blocks have fewer distinct pieces a byte, smaller ones need less memory.
+BLOCK_BYTES = 8 << 20
 
 #: Characters that the direct way may meet: Latin letters and common marks.
 _PLAIN_RANGES = ((0x21, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC))
@@ -58,17 +60,6 @@ def whole_tokens(tokenizer: Tokenizer, word_end: str) -> dict[str, int]:
     return proved
 
 
-def blocks(texts: pa.Array) -> Iterator[pa.Array]:
-    """``texts`` in slices of about :data:`BLOCK_BYTES`."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(texts):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
-        yield texts.slice(start, stop - start)
-        start = stop
-
-
 class WordBpe:
     """Counts and ids of texts for one vocabulary file (``tokenizers`` JSON)."""
 
@@ -169,7 +160,7 @@ class WordBpe:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; a null counts as empty."""
         found = [np.zeros(0, np.int64)]
-        for block in blocks(texts):
+        for block in text_blocks(texts, BLOCK_BYTES):
             places, at, packed = self._looked_up(block)
             sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
             ends = np.concatenate([[0], np.cumsum(sizes[at])])
@@ -179,7 +170,7 @@ class WordBpe:
 
     def ids(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, as unsigned 32-bit little-endian numbers."""
-        for block in blocks(texts):
+        for block in text_blocks(texts, BLOCK_BYTES):
             places, at, packed = self._looked_up(block)
             sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
             firsts = np.cumsum(sizes) - sizes

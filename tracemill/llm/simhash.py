@@ -184,20 +184,24 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the row with the smallest id.
 
-    All columns pass through. Of repeated rows with one id a single one stays. Rows without an id
-    stay only if no other row of their group has one, and then one row per such group and text.
+    All columns pass through. What goes is taken out by id, usually few against what stays, so Spark may
+    broadcast it. Of rows that share an id a single one stays. Rows without an id stay only if no
+    other row of their group has one, and then one row per text.
     """
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    key, times = fresh(docs, "kept_id", "kept_times")
-    kept = written(kept.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(times)), "kept")
+    (key,) = fresh(docs, "row_id")
+    is_kept = F.col(id_col).eqNullSafe(F.col("component_id"))
+    ids = found.groupBy(F.col(id_col).alias(key)).agg(
+        F.count("*").alias("times"), F.count_if(is_kept).alias("kept")
+    )
+    ids = written(ids.where("kept = 0 OR times > 1"), "ids")
 
-    def rows(which: DataFrame) -> DataFrame:
-        return docs.join(which, docs[id_col].eqNullSafe(which[key]), "left_semi")
+    def of(which: DataFrame, how: str) -> DataFrame:
+        return docs.join(which, docs[id_col].eqNullSafe(which[key]), how)
 
-    alone, repeated = kept.where(F.col(times) == 1), kept.where(F.col(times) > 1)
-    result = rows(alone)
+    result = of(ids.select(key), "left_anti")
+    repeated = ids.where("kept > 0").select(key)
     if not repeated.isEmpty():
-        same = [id_col] if kept.where(F.col(key).isNull()).isEmpty() else [id_col, text_col]
-        result = result.unionByName(rows(repeated).dropDuplicates(same))
+        same = [id_col, text_col] if repeated.where(F.col(key).isNull()).count() else [id_col]
+        result = result.unionByName(of(repeated, "left_semi").dropDuplicates(same))
     return result

@@ -21,11 +21,13 @@ from pyspark.sql import types as T
 from tracemill.llm.common import ship_package
 from tracemill.llm.components import components
 from tracemill.llm.prefix import running_totals
-from tracemill.storage import written
+from tracemill.storage import Collected, written
 
 THRESHOLD = 0.9
 PASSES = 20
 WINDOW = 16
+#: Passes that are dealt out in one shuffle; it moves so many copies of the vectors at a time.
+PASSES_AT_ONCE = 5
 #: Vectors per block when the links of a component are counted.
 BLOCK = 1024
 SEED = 11
@@ -33,18 +35,26 @@ SEED = 11
 _SLACK = 1e-9
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of unit vectors from their bytes; all have one length."""
-    if not len(column):
-        return np.zeros((0, 0))
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _units(values: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision, from the bytes of vectors of one length."""
+    x = np.frombuffer(b"".join(values), kind).reshape(len(values), -1).astype(np.float64)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def unit_vectors(
+def _kind(vectors: DataFrame, vector_col: str) -> str:
+    """How components are stored: as wide as they came."""
+    element = vectors.schema[vector_col].dataType.elementType
+    return "<f4" if isinstance(element, T.FloatType) else "<f8"
+
+
+def usable_vectors(
     vectors: DataFrame, passes: int, seed: int, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """(``row``, ``id``, ``dim``, ``unit`` as bytes of doubles, ``keys`` of all passes); unit and keys are
-    null for a vector that is null, empty, zero, or has null or non-finite components."""
+    """(``row``, ``id``, ``dim``, ``unit`` as bytes, ``keys`` of all passes); unit and keys are null for a
+    vector that is null, empty, zero, or has null or non-finite components.
+
+    Components of floats are stored as they came; doubles are divided by the largest first, so that no
+    square over- or underflows. Whoever reads them scales them to length one."""
     schema = T.StructType(
         [
             T.StructField("row", T.LongType()),
@@ -56,6 +66,7 @@ def unit_vectors(
     )
     ship_package(vectors.sparkSession)
     bits = 1 << np.arange(63, -1, -1, dtype=np.uint64)
+    kind = _kind(vectors, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -67,8 +78,8 @@ def unit_vectors(
                     x = np.array(values, np.float64)
                     size = np.abs(x).max()
                     if np.isfinite(size) and size > 0:
-                        x = x / size  # before squaring, so that no square over- or underflows
-                        unit = x / np.sqrt(x @ x)
+                        stored = (x if kind == "<f4" else x / size).astype(kind).tobytes()
+                        unit = _units([stored], kind)[0]
                 if unit is None:
                     units.append(None), keys.append(None), dims.append(None)
                     continue
@@ -76,7 +87,7 @@ def unit_vectors(
                     draw = np.random.default_rng([seed, len(unit)])
                     planes[len(unit)] = draw.standard_normal((passes * 64, len(unit)))
                 signs = (planes[len(unit)] @ unit > 0).reshape(passes, 64)
-                units.append(unit.tobytes())
+                units.append(stored)
                 keys.append((signs * bits).sum(axis=1, dtype=np.uint64).view(np.int64).tolist())
                 dims.append(len(unit))
             yield pa.RecordBatch.from_arrays(
@@ -115,17 +126,19 @@ class _Forest:
         return a != b
 
 
-def window_pairs(units: DataFrame, window: int, threshold: float) -> DataFrame:
-    """(``a``, ``b``): rows at or above the threshold that meet in a window of some pass, as a forest.
+def window_pairs(
+    units: DataFrame, kind: str, passes: range, window: int, threshold: float
+) -> DataFrame:
+    """(``a``, ``b``): rows at or above the threshold that meet in a window of ``passes``, as a forest.
 
-    All passes are dealt out by ranges in one shuffle. Of the verified pairs of a task only those that
+    The passes are dealt out by ranges in one shuffle. Of the verified pairs of a task only those that
     join two of its trees are returned, which are fewer than its rows.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
-        kinds = np.zeros((0, 2), np.int64)  # pass and dimension
+        before = np.zeros((0, 2), np.int64)  # pass and dimension of the rows carried on
         rows, matrix = np.zeros(0, np.int64), None
         for batch in batches:
             if not batch.num_rows:
@@ -136,9 +149,9 @@ def window_pairs(units: DataFrame, window: int, threshold: float) -> DataFrame:
             starts = np.flatnonzero(np.any(new_kinds[1:] != new_kinds[:-1], axis=1)) + 1
             found: list[tuple[int, int]] = []
             for part in np.split(np.arange(len(new_rows)), starts):
-                block = np.frombuffer(b"".join(units_[part[0] : part[-1] + 1]), np.float64).reshape(len(part), -1)
-                kind = new_kinds[part[0]]
-                follows = matrix is not None and len(rows) and (kinds[-1] == kind).all()
+                block = _units(units_[part[0] : part[-1] + 1], kind)
+                now = new_kinds[part[0]]
+                follows = matrix is not None and (before[-1] == now).all()
                 z = np.concatenate([matrix, block]) if follows else block
                 r = np.concatenate([rows, new_rows[part]]) if follows else new_rows[part]
                 old = len(r) - len(part)
@@ -149,20 +162,23 @@ def window_pairs(units: DataFrame, window: int, threshold: float) -> DataFrame:
                         a, b = int(r[first + i]), int(r[first + i + gap])
                         if forest.joins(a, b):
                             found.append((a, b))
-                rows, matrix, kinds = r[-window:].copy(), z[-window:].copy(), np.array([kind])
+                rows, matrix, before = r[-window:].copy(), z[-window:].copy(), np.array([now])
             if found:
                 ends = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     each = units.where("unit IS NOT NULL").select(
-        "row", F.posexplode("keys").alias("pass", "key"), F.col("dim").cast("long").alias("dim"), "unit"
+        "row",
+        F.posexplode(F.slice("keys", passes.start + 1, len(passes))).alias("pass", "key"),
+        F.col("dim").cast("long").alias("dim"),
+        "unit",
     )
     order = ["dim", "pass", "key", "row"]
     dealt = each.repartitionByRange(*order).sortWithinPartitions(*order)
     return dealt.select("row", F.col("pass").cast("long"), "dim", "unit").mapInArrow(run, schema)
 
 
-def _angles(members: DataFrame) -> DataFrame:
+def _angles(members: DataFrame, kind: str) -> DataFrame:
     """(``root``, ``row``, ``angle``): from each member to the mean direction of its component."""
     sums = T.StructType(
         [T.StructField("root", T.LongType()), T.StructField("sum", T.ArrayType(T.DoubleType()))]
@@ -176,7 +192,7 @@ def _angles(members: DataFrame) -> DataFrame:
             units = batch.column(1).to_pylist()
             lists = [np.zeros(0)] * len(roots)
             for i, unit in zip(at.tolist(), units, strict=True):
-                x = np.frombuffer(unit, np.float64)
+                x = _units([unit], kind)[0]
                 lists[i] = lists[i] + x if len(lists[i]) else x
             yield pa.RecordBatch.from_arrays(
                 [pa.array(roots), pa.array([x.tolist() for x in lists], pa.list_(pa.float64()))], names=["root", "sum"]
@@ -193,7 +209,7 @@ def _angles(members: DataFrame) -> DataFrame:
             c = np.array(centre)
             size = np.sqrt(c @ c)
             # the angle of two unit vectors from their difference and sum keeps all digits
-            x, y = np.frombuffer(unit, np.float64), c / size if size > 0 else c
+            x, y = _units([unit], kind)[0], c / size if size > 0 else c
             out.append(float(2 * np.arctan2(np.linalg.norm(x - y), np.linalg.norm(x + y))) if size > 0 else np.pi)
         return pa.array(out, pa.float64())
 
@@ -201,7 +217,7 @@ def _angles(members: DataFrame) -> DataFrame:
     return joined.select("root", "row", angle("unit", "centre").alias("angle"))
 
 
-def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
+def _counted(members: DataFrame, kind: str, threshold: float, block: int) -> DataFrame:
     """(``row``, ``n_links``): links of each member inside its component, counted block against block.
 
     A component is cut into blocks; each pair of blocks is one group of at most two blocks of vectors.
@@ -218,7 +234,7 @@ def _counted(members: DataFrame, threshold: float, block: int) -> DataFrame:
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        matrix = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group), -1)
+        matrix = _units(list(group["unit"]), kind)
         own_block = group["own"].to_numpy()
         left, right = matrix[own_block == low], matrix[own_block == high]
         close = left @ right.T >= threshold
@@ -254,16 +270,24 @@ def near_duplicate_vectors(
     vectors of their own; rows that share the smallest id of a component are all kept. A null id is never
     the smallest, and such a row is kept only if its component has no id. An empty table gives no rows.
     """
-    units = written(unit_vectors(vectors, passes, seed, id_col, vector_col), "units")
-    joined = components(window_pairs(units, window, threshold)).withColumnRenamed("node", "row")
+    kind = _kind(vectors, vector_col)
+    units = written(usable_vectors(vectors, passes, seed, id_col, vector_col), "units")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    found = Collected(vectors.sparkSession, schema, "pairs")
+    for first in range(0, passes, PASSES_AT_ONCE):
+        some = range(first, min(passes, first + PASSES_AT_ONCE))
+        found.add(window_pairs(units, kind, some, window, threshold))
+    joined = components(found.table()).withColumnRenamed("node", "row")
     members = written(units.join(joined, "row").select("root", "row", "id", "unit"), "members")
-    spread = _angles(members).groupBy("root").agg(F.max("angle").alias("spread"), F.count("*").alias("size"))
+    # Stored before it is summed, so that a component with many of the vectors may be split in the join.
+    angles = written(_angles(members, kind), "angles")
+    spread = angles.groupBy("root").agg(F.max("angle").alias("spread"), F.count("*").alias("size"))
     first = members.groupBy("root").agg(F.min("id").alias("first"))
     tight = F.col("spread") * 2 + _SLACK <= float(np.arccos(threshold))
     stats = written(spread.join(first, "root").withColumn("tight", tight), "groups")
 
     loose = members.join(stats.where("NOT tight").select("root"), "root", "left_semi").select("root", "row", "unit")
-    counted = _counted(loose, threshold, block)
+    counted = _counted(loose, kind, threshold, block)
     known = members.select("root", "row").join(stats, "root").join(counted, "row", "left")
     known = known.select(
         "row", F.when(F.col("tight"), F.col("size") - 1).otherwise(F.col("n_links")).alias("n"), "root", "first"

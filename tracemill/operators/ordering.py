@@ -114,15 +114,12 @@ def traces(log: EventLog, part_rows: int | None = None) -> DataFrame:
 
 
 def _row_steps(rows: DataFrame) -> DataFrame:
-    """Steps inside each row: partly counted before the shuffle, by pair only."""
-    step = F.transform(
-        "trace",
-        lambda a, i: F.struct(
-            a.alias("src"), F.get("trace", i + 1).alias("dst"), (i == 0).cast("long").alias("starts")
-        ),
-    )
-    return rows.select(F.inline(step)).groupBy("src", "dst").agg(
-        F.count(F.lit(1)).alias("cnt"), F.sum("starts").alias("starts")
+    """Steps inside each row: each activity beside the next, counted before the shuffle by pair."""
+    after = F.concat(F.slice("trace", 2, F.size("trace")), F.array(F.lit(None).cast("string")))
+    zipped = F.arrays_zip(F.col("trace").alias("src"), after.alias("dst"))
+    steps = rows.where(F.size("trace") > 0).select(F.posexplode(zipped).alias("place", "step"))
+    return steps.groupBy(F.col("step.src").alias("src"), F.col("step.dst").alias("dst")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum((F.col("place") == 0).cast("long")).alias("starts")
     )
 
 

@@ -213,7 +213,8 @@ def _angles(members: DataFrame, kind: str) -> DataFrame:
             out.append(float(2 * np.arctan2(np.linalg.norm(x - y), np.linalg.norm(x + y))) if size > 0 else np.pi)
         return pa.array(out, pa.float64())
 
-    joined = members.join(centres, "root")
+    # Stored, so that Spark knows how few there are, and the join below may split a large component.
+    joined = members.join(written(centres, "centres"), "root")
     return joined.select("root", "row", angle("unit", "centre").alias("angle"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.llm.chats import chats
 from tracemill.llm.language import languages
 from tracemill.llm.licences import licences
 from tracemill.llm.mixing import MIXTURE_SQL, mixture
@@ -26,6 +27,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": lambda s, d: token_counts(_documents(s, d), VOCABULARY, limit=2048),
+    "op2_chat_formatting": lambda s, d: chats(s.read.parquet(f"{d}/conversations.parquet")),
     "op3_simhash_near_duplicates": lambda s, d: near_duplicates(_documents(s, d)),
     "op4_licence_scan": lambda s, d: licences(_documents(s, d)),
     "op5_language_by_compression": lambda s, d: languages(_documents(s, d)),

@@ -201,6 +201,30 @@ def test_vectors_of_the_given_table(spark):
     assert sum(found[i + 10_000].component_id <= i and found[i].n_links >= 1 for i in close) > 0.97 * len(close)
 
 
+def pair_among_copies(dim, copies):
+    """y and z at a cosine of 0.92, and on the way from one to the other copies of x at 0.8 to both."""
+    base = np.linalg.qr(np.random.default_rng(2).standard_normal((dim, dim)))[0]
+    half = float(np.arccos(0.92)) / 2
+    y, z = (np.cos(half) * base[0] + s * np.sin(half) * base[1] for s in (1, -1))
+    tilt = 0.8 / np.cos(half)
+    x = tilt * base[0] + np.sqrt(1 - tilt**2) * base[2]
+    return [v.tolist() for v in (y, z, *[x] * copies)]
+
+
+def test_copies_of_a_vector_take_no_window(spark):
+    rows = [(1000 * dim + i, v) for dim in range(8, 24) for i, v in enumerate(pair_among_copies(dim, 40))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {r.vec_id: r for r in vectors.near_duplicate_vectors(df, passes=1, window=2).collect()}
+    for first in range(8000, 24_000, 1000):
+        found = [(got[first + i].component_id - first, got[first + i].n_links) for i in (0, 1, 2, 41)]
+        assert found == [(0, 1), (0, 1), (2, 39), (2, 39)]
+
+
+def test_passes_follow_the_number_of_vectors():
+    counts = [vectors.planned_passes(n) for n in (0, 1, 14_000, 1_000_000, 10_000_000)]
+    assert counts[:3] == [20, 20, 20] and 40 < counts[3] < counts[4] < 120
+
+
 # -- packing -------------------------------------------------------------------------------
 
 

@@ -5,6 +5,10 @@ every vector is compared with the next few. Vectors at a small angle share long
 meet in some pass. Pairs at the threshold are united across passes into components. Passes find which
 vectors belong together; inside a component the links of every vector are then counted exactly, so a
 window's bound loses none of them.
+
+Equal vectors are one before the passes, so copies take no place in a window. The number of passes follows
+the number of distinct vectors and the recall that is asked for, and more are made while they still join
+components.
 """
 
 from __future__ import annotations
@@ -24,7 +28,10 @@ from tracemill.llm.prefix import running_totals
 from tracemill.storage import Collected, written
 
 THRESHOLD = 0.9
+#: Fewest passes; tables of more than some fifteen thousand distinct vectors take more.
 PASSES = 20
+#: Share of isolated pairs at the threshold that the passes are planned to find.
+RECALL = 0.99
 WINDOW = 16
 #: Passes that are dealt out in one shuffle; it moves so many copies of the vectors at a time.
 PASSES_AT_ONCE = 5
@@ -47,11 +54,27 @@ def _kind(vectors: DataFrame, vector_col: str) -> str:
     return "<f4" if isinstance(element, T.FloatType) else "<f8"
 
 
-def usable_vectors(
-    vectors: DataFrame, passes: int, seed: int, id_col: str = "vec_id", vector_col: str = "embedding"
-) -> DataFrame:
-    """(``row``, ``id``, ``dim``, ``unit`` as bytes, ``keys`` of all passes); unit and keys are null for a
-    vector that is null, empty, zero, or has null or non-finite components.
+def _chance(distinct: int, window: int, threshold: float) -> float:
+    """Estimate of how likely one pass brings an isolated pair at the threshold into a window.
+
+    Two vectors agree in a hyperplane bit with probability 1 - angle / pi, and meet when they agree in as many
+    first bits as leave ``window`` of ``distinct`` vectors.
+    """
+    agree = 1 - float(np.arccos(threshold)) / np.pi
+    return agree ** max(0.0, float(np.log2(max(distinct, 1) / window)))
+
+
+def planned_passes(
+    distinct: int, recall: float = RECALL, window: int = WINDOW, threshold: float = THRESHOLD, least: int = PASSES
+) -> int:
+    """Passes, at least ``least``, that find a share ``recall`` of isolated pairs at the threshold."""
+    chance = _chance(distinct, window, threshold)
+    return least if chance >= 1 else max(least, int(np.ceil(np.log1p(-recall) / np.log1p(-chance))))
+
+
+def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(``row``, ``id``, ``dim``, ``unit`` as bytes); dim and unit are null for a vector that is null, empty,
+    zero, or has null or non-finite components.
 
     Components of floats are stored as they came; doubles are divided by the largest first, so that no
     square over- or underflows. Whoever reads them scales them to length one."""
@@ -61,40 +84,24 @@ def usable_vectors(
             T.StructField("id", vectors.schema[id_col].dataType),
             T.StructField("dim", T.IntegerType()),
             T.StructField("unit", T.BinaryType()),
-            T.StructField("keys", T.ArrayType(T.LongType())),
         ]
     )
     ship_package(vectors.sparkSession)
-    bits = 1 << np.arange(63, -1, -1, dtype=np.uint64)
     kind = _kind(vectors, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            units, keys, dims = [], [], []
+            units, dims = [], []
             for values in batch.column(2).to_pylist():
-                unit = None
+                stored = None
                 if values and None not in values:
                     x = np.array(values, np.float64)
                     size = np.abs(x).max()
                     if np.isfinite(size) and size > 0:
                         stored = (x if kind == "<f4" else x / size).astype(kind).tobytes()
-                        unit = _units([stored], kind)[0]
-                if unit is None:
-                    units.append(None), keys.append(None), dims.append(None)
-                    continue
-                if len(unit) not in planes:
-                    draw = np.random.default_rng([seed, len(unit)])
-                    planes[len(unit)] = draw.standard_normal((passes * 64, len(unit)))
-                signs = (planes[len(unit)] @ unit > 0).reshape(passes, 64)
-                units.append(stored)
-                keys.append((signs * bits).sum(axis=1, dtype=np.uint64).view(np.int64).tolist())
-                dims.append(len(unit))
+                units.append(stored), dims.append(None if stored is None else len(values))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(dims, pa.int32()),
-                    pa.array(units, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                ],
+                [batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(units, pa.binary())],
                 names=schema.names,
             )
 
@@ -104,6 +111,27 @@ def usable_vectors(
     return rows.mapInArrow(run, schema)
 
 
+def pass_keys(units: DataFrame, kind: str, passes: range, seed: int) -> DataFrame:
+    """(``row``, ``dim``, ``unit``, ``keys``): the 64 hyperplane bits of each of ``passes``."""
+    bits = 1 << np.arange(63, -1, -1, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys = []
+            for dim, unit in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if dim not in planes:
+                    draws = [np.random.default_rng([seed, dim, p]).standard_normal((64, dim)) for p in passes]
+                    planes[dim] = np.concatenate(draws)
+                signs = (planes[dim] @ _units([unit], kind)[0] > 0).reshape(len(passes), 64)
+                keys.append((signs * bits).sum(axis=1, dtype=np.uint64).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["row", "dim", "unit", "keys"]
+            )
+
+    return units.select("row", "dim", "unit").mapInArrow(run, "row long, dim int, unit binary, keys array<long>")
+
+
 class _Forest:
     """Union-find over the rows of one task; tells which pairs join two trees."""
 
@@ -127,7 +155,7 @@ class _Forest:
 
 
 def window_pairs(
-    units: DataFrame, kind: str, passes: range, window: int, threshold: float
+    units: DataFrame, kind: str, passes: range, window: int, threshold: float, seed: int
 ) -> DataFrame:
     """(``a``, ``b``): rows at or above the threshold that meet in a window of ``passes``, as a forest.
 
@@ -167,9 +195,9 @@ def window_pairs(
                 ends = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-    each = units.where("unit IS NOT NULL").select(
+    each = pass_keys(units, kind, passes, seed).select(
         "row",
-        F.posexplode(F.slice("keys", passes.start + 1, len(passes))).alias("pass", "key"),
+        F.posexplode("keys").alias("pass", "key"),
         F.col("dim").cast("long").alias("dim"),
         "unit",
     )
@@ -254,7 +282,7 @@ def _counted(members: DataFrame, kind: str, threshold: float, block: int) -> Dat
 
 def near_duplicate_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD,
-    passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, seed: int = SEED,
+    passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, seed: int = SEED, recall: float = RECALL,
 ) -> DataFrame:
     """(id, ``n_links``, ``component_id``, ``kept``) of every vector.
 
@@ -263,8 +291,10 @@ def near_duplicate_vectors(
     that any two must be linked (angles to it sum up to an upper bound of the angle between), they are
     counted without comparing; other components are compared block against block.
 
-    A pair can be missed only if it meets in no pass and no chain of found pairs connects it; see the
-    README for the measured recall.
+    ``passes`` are the fewest; :func:`planned_passes` says how many a table takes for ``recall``. After them
+    :data:`PASSES_AT_ONCE` more are made, and again while what they newly join shows that more than a share
+    ``1 - recall`` of all joins is missing. A pair can be missed only if it meets in no pass and no chain of
+    found pairs connects it; see the README for the measured recall.
 
     Edge cases: vectors that are null, empty, zero, or hold null or non-finite components have no links
     and are their own component. Vectors of different lengths are never linked. Repeated rows are
@@ -272,13 +302,38 @@ def near_duplicate_vectors(
     the smallest, and such a row is kept only if its component has no id. An empty table gives no rows.
     """
     kind = _kind(vectors, vector_col)
-    units = written(usable_vectors(vectors, passes, seed, id_col, vector_col), "units")
+    units = written(usable_vectors(vectors, id_col, vector_col), "units")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     found = Collected(vectors.sparkSession, schema, "pairs")
-    for first in range(0, passes, PASSES_AT_ONCE):
-        some = range(first, min(passes, first + PASSES_AT_ONCE))
-        found.add(window_pairs(units, kind, some, window, threshold))
-    joined = components(found.table()).withColumnRenamed("node", "row")
+    usable = units.where("unit IS NOT NULL")
+    same = usable.select("row", F.sha2("unit", 256).alias("same"))  # 64 digits instead of a vector
+    firsts = written(same.groupBy("same").agg(F.min("row").alias("b")), "firsts")
+    found.add(same.join(firsts, "same").where("row <> b").select(F.col("row").alias("a"), "b"))
+    first_rows = firsts.select(F.col("b").alias("row"))
+    distinct = written(usable.join(first_rows, "row", "left_semi").select("row", "dim", "unit"), "distinct")
+
+    n = firsts.count()
+    planned = planned_passes(n, recall, window, threshold, passes)
+    for first in range(0, planned, PASSES_AT_ONCE):
+        some = range(first, min(planned, first + PASSES_AT_ONCE))
+        found.add(window_pairs(distinct, kind, some, window, threshold, seed))
+    joined = components(found.table())
+    chance = 1 - (1 - _chance(n, window, threshold)) ** PASSES_AT_ONCE
+    while True:
+        some = range(planned, planned + PASSES_AT_ONCE)
+        planned = some.stop
+        met = window_pairs(distinct, kind, some, window, threshold, seed)
+        for end in ("a", "b"):
+            root = joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            met = met.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        new = found.add(met.where("root_a <> root_b").select("a", "b")).count()
+        if new == 0:
+            break
+        joined = components(found.table())
+        joins = joined.where("node <> root").count()
+        if new * (1 - chance) <= (1 - recall) * joins * chance:
+            break
+    joined = joined.withColumnRenamed("node", "row")
     members = written(units.join(joined, "row").select("root", "row", "id", "unit"), "members")
     # Stored before it is summed, so that a component with many of the vectors may be split in the join.
     angles = written(_angles(members, kind), "angles")

@@ -1,11 +1,13 @@
 """Text operators that work row by row: token counts, licences, languages, quality."""
 
 import collections
+import random
 import re
 import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -138,6 +140,22 @@ def test_languages_of_held_out_documents(spark):
     assert again == {r.doc_id: (r.lang_pred, r.score) for r in rows}
 
 
+def test_every_labelled_language_is_learned(spark):
+    """More languages than 64, and one whose texts are all long."""
+    rnd = random.Random(8)
+    words = [["".join(chr(97 + rnd.randrange(26)) for _ in range(6)) for _ in range(30)] for _ in range(80)]
+
+    def say(k, n):
+        return " ".join(rnd.choice(words[k]) for _ in range(n))
+
+    rows = [(f"{k}-{i}", say(k, 3000 if k == 79 else 60), f"l{k:02}") for k in range(80) for i in range(8)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    learned = [r[0] for r in table.where(~language.held_out(F.col("doc_id"))).select("lang").distinct().collect()]
+    found = {r.doc_id: r.lang_pred for r in language.languages(table).collect()}
+    assert sorted(language.dictionaries(table)) == sorted(learned) and len(learned) > 64 and "l79" in learned
+    assert all(found[i] == lang for i, _, lang in rows if lang in learned)
+
+
 def test_languages_of_odd_rows(spark):
     schema = "doc_id long, text string, lang string, score string, is_identified int"
     en, fr = "the cat and the dog of the house " * 5, "le chat et les chiens de la maison " * 5

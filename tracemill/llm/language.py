@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -21,11 +22,9 @@ from tracemill.llm.common import fresh, per_text, ship_package, text_blocks
 
 UNKNOWN = "und"
 FOLDS = 5
-#: Bound of the training sample: so many rows a language, none longer than so many bytes, and so
-#: many languages, those with the most rows.
+#: Bound of the training sample: so many rows a language, and of each so many bytes from its start.
 TRAIN_ROWS = 100
 TRAIN_TEXT_BYTES = 8_192
-TRAIN_LANGUAGES = 64
 #: Bytes of a dictionary.
 DICTIONARY_BYTES = 96 << 10
 CHUNK_BYTES = 2_048
@@ -48,21 +47,22 @@ def dictionaries(
     """A dictionary per language, from at most ``rows`` labelled rows each (the documented bound).
 
     The rows are those with the smallest hashes of their text, chosen among all labelled rows that are
-    not held out and not longer than :data:`TRAIN_TEXT_BYTES`. The number of different texts of each
-    language is estimated first; only texts whose hash is below four times the share that is wanted are
-    compared, so what is gathered does not grow with the table.
+    not held out; of a longer one the first :data:`TRAIN_TEXT_BYTES` are taken. The number of different texts
+    of each language is estimated first; only texts whose hash is below four times the share that is wanted
+    are compared, so what is gathered does not grow with the table. Every language has a dictionary, made where
+    its sample is; only dictionaries, of :data:`DICTIONARY_BYTES` at most, reach the driver.
     """
     labelled = docs.select(
         docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")
     ).where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND length(trim(text)) > 0")
-    labelled = labelled.where(~held_out(F.col("id"))).where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
+    labelled = labelled.where(~held_out(F.col("id")))
     # 53 bits of the hash, as a number in [0, 1)
     place = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    labelled = labelled.select("lang", "text", place.alias("place"))
+    start = F.substring(F.ltrim("text", F.lit(" \t\r\n")), 1, TRAIN_TEXT_BYTES)  # as many characters; cut to bytes below
+    labelled = labelled.select("lang", start.alias("text"), place.alias("place"))
     counts = labelled.groupBy("lang").agg(F.approx_count_distinct("place").alias("texts"))
-    largest = counts.orderBy(F.desc("texts"), "lang").limit(TRAIN_LANGUAGES)
     share = F.lit(4.0 * rows) / F.col("texts")
-    wanted = F.broadcast(largest.select("lang", share.alias("share")))  # a row per language
+    wanted = F.broadcast(counts.select("lang", share.alias("share")))  # a row per language
     first = Window.partitionBy("lang").orderBy("place", "text")
     sample = (
         labelled.join(wanted, "lang")
@@ -73,11 +73,19 @@ def dictionaries(
         .where(F.col("rank") <= rows)
         .select("lang", "rank", "text")
     )
-    lines: dict[str, dict[bytes, None]] = {}  # distinct, in order: a passage many texts share counts once
-    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["rank"])):
-        text = row["text"].lower().encode("utf-8", "surrogatepass")
-        lines.setdefault(row["lang"], {}).update(dict.fromkeys(text.split(b"\n")))
-    return {lang: b"\n".join(found)[:DICTIONARY_BYTES] for lang, found in lines.items()}
+    ship_package(docs.sparkSession)
+    text_bytes, dictionary_bytes = TRAIN_TEXT_BYTES, DICTIONARY_BYTES
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        lines: dict[bytes, None] = {}  # distinct, in order: a passage many texts share counts once
+        for text in group.sort_values("rank")["text"]:
+            start = text.encode("utf-8", "surrogatepass")[:text_bytes].decode("utf-8", "ignore")
+            lines.update(dict.fromkeys(start.lower().encode().split(b"\n")))
+        content = b"\n".join(lines)[:dictionary_bytes]
+        return pd.DataFrame({"lang": group["lang"].iloc[:1], "content": [content]})
+
+    learned = sample.groupBy("lang").applyInPandas(learn, "lang string, content binary")
+    return {row["lang"]: bytes(row["content"]) for row in learned.collect()}
 
 
 class Classifier:

@@ -129,6 +129,22 @@ def test_near_duplicates_of_odd_rows(spark, monkeypatch):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_text(spark):
+    """Of each group one row stays, also where ids repeat or are missing."""
+
+    def say(k):
+        return " ".join(f"{k}w{i}" for i in range(200))
+
+    rows = [
+        (1, say("a")), (2, say("b")), (2, say("a")), (3, say("c")), (3, say("d")), (3, say("d")),
+        (None, say("e")), (None, say("e") + " "), (None, say("c")), (None, say("f")), (4, say("f").upper()),
+    ]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        got = sorted((r.doc_id or 0, r.text.strip().lower()) for r in kept)
+        assert got == [(0, say("e")), (1, say("a")), (2, say("b")), (3, say("c")), (3, say("d")), (4, say("f"))]
+
+
 def test_fingerprints_do_not_depend_on_pieces(monkeypatch):
     from tracemill.llm import common
 

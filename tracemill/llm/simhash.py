@@ -184,24 +184,32 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the row with the smallest id.
 
-    All columns pass through. What goes is taken out by id, usually few against what stays, so Spark may
-    broadcast it. Of rows that share an id a single one stays. Rows without an id stay only if no
-    other row of their group has one, and then one row per text.
+    Rows are judged by id and a hash of the text, so that different texts of one id, or of none, go each with
+    its own group. Of rows of a group that share the smallest id the text with the smallest hash stays, and of
+    equal texts any one. A row without an id stays only if no other row of its group has one.
+
+    All columns pass through. What goes is taken out by id and hash, usually few against what stays, so Spark
+    may broadcast it.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    (key,) = fresh(docs, "row_id")
-    is_kept = F.col(id_col).eqNullSafe(F.col("component_id"))
-    ids = found.groupBy(F.col(id_col).alias(key)).agg(
-        F.count("*").alias("times"), F.count_if(is_kept).alias("kept")
+    digest = F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
+    late = F.col(id_col).isNull().alias("late")  # such a row is never the smallest beside one with an id
+    row = F.struct(late, F.col(id_col).alias("id"), F.unhex(digest).alias("digest"))
+    found = near_duplicates(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text")
+    same = F.col("row.id").eqNullSafe(F.col("component_id.id"))
+    same &= F.col("row.digest") == F.col("component_id.digest")
+    id_name, digest_name = fresh(docs, "row_id", "row_digest")
+    rows = found.groupBy(F.col("row.id").alias(id_name), F.col("row.digest").alias(digest_name)).agg(
+        F.count("*").alias("times"), F.count_if(same).alias("kept")
     )
-    ids = written(ids.where("kept = 0 OR times > 1"), "ids")
+    rows = written(rows.where("kept = 0 OR times > 1"), "ids")
 
     def of(which: DataFrame, how: str) -> DataFrame:
-        return docs.join(which, docs[id_col].eqNullSafe(which[key]), how)
+        met = docs[id_col].eqNullSafe(which[id_name]) & (F.unhex(digest) == which[digest_name])
+        return docs.join(which, met, how)
 
-    result = of(ids.select(key), "left_anti")
-    repeated = ids.where("kept > 0").select(key)
+    result = of(rows.select(id_name, digest_name), "left_anti")
+    repeated = rows.where("kept > 0").select(id_name, digest_name)
     if not repeated.isEmpty():
-        same = [id_col, text_col] if repeated.where(F.col(key).isNull()).count() else [id_col]
-        result = result.unionByName(of(repeated, "left_semi").dropDuplicates(same))
+        once = of(repeated, "left_semi").withColumn(digest_name, digest).dropDuplicates([id_col, digest_name])
+        result = result.unionByName(once.drop(digest_name))
     return result

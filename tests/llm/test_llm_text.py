@@ -127,6 +127,21 @@ def test_licence_spans():
 # -- languages -----------------------------------------------------------------------------
 
 
+def test_a_whole_notice_after_a_partial_copy():
+    """An earlier piece of a notice directly before the notice takes nothing from it."""
+    label, notice = licences.TEMPLATES[1]
+    words = notice.split()
+    n = len(words)
+    edited = [*words[: n // 2], "zebra", *words[n // 2 + 1 :]]
+    for piece in (words[: n * 7 // 12], words[n // 3 : n // 2], words[-n // 4 :], []):
+        scan = licences.scanner().scan(" ".join(piece + edited).encode())
+        spans = licences.scanner().spans(" ".join(piece + edited).encode())
+        (share,) = [c for name, _, _, c in spans if name == label]
+        assert share > 0.95 and label in scan[5] and scan[6] > 0.95
+    spans = [x for x in licences.scanner().spans(" ".join(edited * 3).encode()) if x[0] == label]
+    assert len(spans) == 3
+
+
 def test_languages_of_held_out_documents(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in table.select("doc_id", "lang").collect()}

@@ -9,6 +9,7 @@ template and the text, into spans, and a template is found where a span covers e
 
 from __future__ import annotations
 
+import bisect
 import functools
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -208,14 +209,20 @@ class Scanner:
         return [(self.template_labels[t], a, b, c) for t, a, b, c in self._spans(matches)]
 
     def _spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Chains of matches, in order in text and template, that cover enough of a template."""
-        open_chains: dict[int, list[int]] = {}  # template: [text start, text end, template end, covered]
-        found = []
+        """Chains of matches, in order in text and template, that cover enough of a template.
+
+        A match extends every chain that it follows and starts one of its own; a chain that it does not extend stays
+        open as long as its end is near. Of chains that end at one place of text and template the best is kept, and
+        of complete ones that overlap in the text the one that covers most.
+        """
+        # per template, (text end, template end) of each open chain: (covered, text start)
+        open_chains: dict[int, dict[tuple[int, int], tuple[int, int]]] = {}
+        complete: dict[int, list[tuple[int, int, int]]] = {}  # (covered, text start, text end)
 
-        def close(template: int, chain: list[int]) -> None:
-            share = chain[3] / self.template_words[template]
-            if share >= MIN_COVER:
-                found.append((template, chain[0], chain[1], share))
+        def keep(template: int, ended: dict[tuple[int, int], tuple[int, int]]) -> None:
+            for (stop, _), (covered, start) in ended.items():
+                if covered / self.template_words[template] >= MIN_COVER:
+                    complete.setdefault(template, []).append((covered, start, stop))
 
         for end, size, state in matches:
             by_template: dict[int, list[int]] = {}
@@ -223,24 +230,33 @@ class Scanner:
                 if place >= size:
                     by_template.setdefault(template, []).append(place)
             for template, places in by_template.items():
-                chain = open_chains.get(template)
-                if chain is not None and end - size - chain[1] <= MAX_GAP:
-                    # words already covered count once; the rest must come later in the template
-                    for place in places:
-                        fresh = min(size, end - chain[1], place - chain[2])
-                        if fresh > 0 and place - fresh - chain[2] <= MAX_GAP:
-                            chain[1:] = [end, place, chain[3] + fresh]
-                            break
-                    else:
-                        if size > chain[3]:
-                            close(template, chain)
-                            open_chains[template] = [end - size, end, places[0], size]
-                    continue
-                if chain is not None:
-                    close(template, chain)
-                open_chains[template] = [end - size, end, places[0], size]
-        for template, chain in open_chains.items():
-            close(template, chain)
+                chains = open_chains.get(template, {})
+                near = {at: c for at, c in chains.items() if end - size - at[0] <= MAX_GAP}
+                keep(template, {at: c for at, c in chains.items() if at not in near})
+                added: dict[tuple[int, int], tuple[int, int]] = {}
+                for place in places:
+                    best = (size, end - size)
+                    for (stop, last), (covered, start) in near.items():
+                        # words already covered count once; the rest must come later in the template
+                        fresh = min(size, end - stop, place - last)
+                        if fresh > 0 and place - fresh - last <= MAX_GAP and covered + fresh >= best[0]:
+                            if covered + fresh > best[0] or start < best[1]:
+                                best = (covered + fresh, start)
+                    added[end, place] = best
+                open_chains[template] = near | added
+        for template, chains in open_chains.items():
+            keep(template, chains)
+        found = []
+        for template, ended in complete.items():
+            starts: list[int] = []
+            taken: list[tuple[int, int, int]] = []  # in order, without overlaps
+            for covered, start, stop in sorted(ended, key=lambda c: (-c[0], c[1], c[2])):
+                at = bisect.bisect_left(starts, start)
+                free = (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or stop <= starts[at])
+                if free:
+                    starts.insert(at, start)
+                    taken.insert(at, (start, stop, covered))
+            found += [(template, a, b, c / self.template_words[template]) for a, b, c in taken]
         return found
 
     def _chained(self, matches: list[tuple[int, int, int]]) -> dict[str, float]:

@@ -1,0 +1,121 @@
+"""The Merkle manifest against a plain tree in lists."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tracemill.llm import merkle
+
+SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, g string, node long, Place int"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf_of(row, more=0):
+    doc_id, source, lang, n_chars, text = row[:5]
+    values = [doc_id, source, lang, None if n_chars is None else n_chars + more, text]
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def levels_of(leaves):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        levels.append([sha("".join(below[i : i + 2])) for i in range(0, len(below), 2)])
+    return levels
+
+
+def climb(levels, place, digest):
+    """The last node from ``digest`` at ``place``, and the siblings met."""
+    siblings = []
+    for nodes in levels[:-1]:
+        run = nodes[place // 2 * 2 : place // 2 * 2 + 2]
+        siblings += [x for i, x in enumerate(run) if i != place % 2]
+        run[place % 2] = digest
+        digest, place = sha("".join(run)), place // 2
+    return digest, siblings
+
+
+def plain_manifest(rows):
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[2], []).append(row)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {}
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(r)))
+        trees[g] = levels_of([leaf_of(r) for r in groups[g]])
+    crown = levels_of([trees[g][-1][0] for g in names])
+    out = []
+    for place_of_group, g in enumerate(names):
+        for place, row in enumerate(groups[g]):
+            tampered = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0
+            start = leaf_of(row, 1) if tampered else leaf_of(row)
+            top, siblings = climb(trees[g], place, start)
+            folded, above = climb(crown, place_of_group, top)
+            root = crown[-1][0]
+            proof = sha("".join(siblings + above))
+            out.append((row[0], leaf_of(row), trees[g][-1][0], root, proof, folded, folded == root))
+    return sorted(out, key=str)
+
+
+def some_rows(n, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        lang = rnd.choice(["en", "en", "en", "", "ünd", None])
+        rows.append((i, rnd.choice(["a", None]), lang, rnd.choice([5, None, 9**18]), rnd.choice(["", "x" * i, None, "é\n"])))
+    return rows
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], SCHEMA)
+
+
+@pytest.mark.parametrize(("n", "block_levels"), [(1, 10), (2, 1), (97, 10), (97, 1), (130, 2), (300, 3)])
+def test_manifest_is_that_of_a_plain_tree(spark, n, block_levels):
+    rows = some_rows(n, n)
+    got = merkle.tampered_manifest(table(spark, rows), block_levels).collect()
+    assert sorted(map(tuple, got), key=str) == plain_manifest(rows)
+
+
+def test_manifest_of_odd_rows(spark):
+    """Null ids, repeated rows, rows of one id, a lone group, the largest number of characters."""
+    rows = [
+        (None, "a", "en", 1, "x"), (None, None, None, None, None), (None, None, None, None, None),
+        (7, "a", "en", 1, "x"), (7, "a", "en", 1, "x"), (7, "a", "en", 1, "y"), (3, "b", "de", 2**63 - 1, "z" * 3_000_000),
+        *((i, "c", "en", i, "") for i in range(8, 60)),
+    ]
+    got = merkle.tampered_manifest(table(spark, rows), 2).collect()
+    assert sorted(map(tuple, got), key=str) == plain_manifest(rows)
+    one = [r for r in rows if r[2] == "de"]
+    assert [tuple(r) for r in merkle.tampered_manifest(table(spark, one)).collect()] == plain_manifest(one)
+
+
+def test_manifest_of_no_rows(spark):
+    found = merkle.tampered_manifest(table(spark, []))
+    assert found.collect() == [] and found.columns[0] == "doc_id"
+
+
+def test_versions_copy_their_ancestors_only(spark):
+    """A version holds one node per level of its own; with the shared ones it is the whole tampered tree."""
+    rows = [(i, "a", "en", i, "t") for i in range(50)]
+    found = merkle.manifest(table(spark, rows), {"text": F.lit("other")}, F.col("doc_id") == 21, block_levels=2)
+    versions = [r for r in found.collect() if r.copied is not None]
+    assert [r.doc_id for r in versions] == [21]
+    tampered = [(*r[:4], "other") if r[0] == 21 else r for r in rows]
+    levels = levels_of([leaf_of(r) for r in tampered])
+    own = [levels[k][21 >> k] for k in range(len(levels))]
+    assert [node.hex() for node in versions[0].copied] == own
+    assert versions[0].folded_root == levels[-1][0] and not versions[0].verified
+
+
+def test_a_change_that_changes_nothing_makes_no_version(spark):
+    rows = [(i, "a", "en", i, "t") for i in range(5)]
+    found = merkle.manifest(table(spark, rows), {"text": F.lit("t")}, F.lit(True)).collect()
+    assert all(r.verified and r.copied is None for r in found) and len(found) == 5

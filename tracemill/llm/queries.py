@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm.chats import chats
+from tracemill.llm.codes import CODES_SQL, codes
+from tracemill.llm.differencing import packed_evenly
 from tracemill.llm.language import languages
 from tracemill.llm.licences import licences
+from tracemill.llm.merkle import MANIFEST_SQL, tampered_manifest
 from tracemill.llm.mixing import MIXTURE_SQL, mixture
 from tracemill.llm.packing import packed
 from tracemill.llm.quality import QUALITY_SQL, quality
@@ -38,6 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_shards": lambda s, d: shard_by_bytes(_documents(s, d), n_shards=16),
     "op9_quality_cascade": lambda s, d: quality(_documents(s, d)),
     "op10_source_mixture": lambda s, d: mixture(_documents(s, d)),
+    "op11_merkle_manifest": lambda s, d: tampered_manifest(_documents(s, d)),
+    "op12_vector_codes": lambda s, d: codes(s.read.parquet(f"{d}/embeddings.parquet")),
+    "op13_differencing_packing": lambda s, d: packed_evenly(_documents(s, d), VOCABULARY, capacity=4096),
 }
 
 #: The others hash, compress, or tokenize; their tests hold them against brute force.
@@ -45,4 +51,6 @@ ORACLE: dict[str, str] = {
     "op8_byte_shards": BYTE_SHARDS_SQL,
     "op9_quality_cascade": QUALITY_SQL,
     "op10_source_mixture": MIXTURE_SQL,
+    "op11_merkle_manifest": MANIFEST_SQL,
+    "op12_vector_codes": CODES_SQL,
 }

@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import string
 import struct
 from collections.abc import Iterator
 
@@ -82,10 +83,16 @@ class WordBpe:
             bytes(back[c] for c in word).decode("utf-8", "replace"): struct.pack("<I", number)
             for word, number in whole.items()
         }
+        #: Marks that may end a word of ASCII letters and are split off it; none if such letters are not all plain.
+        self._tails = {
+            c for c in string.punctuation if self._find(f"a{c}") == ["a", c] and not self._odd.search(f"{c}{string.ascii_letters}")
+        }
         self._words: dict[str, bytes] = dict(self._whole)
         self._pieces: dict[str, bytes] = {}
 
     def _spelled(self, word: str) -> str:
+        if word.isascii() and word.isalpha():  # such bytes stand for themselves
+            return word
         return word.encode().decode("latin-1").translate(self._letters)
 
     def _is_plain(self, c: str) -> bool:
@@ -100,8 +107,8 @@ class WordBpe:
         )
 
     def _merge(self, spelled: str) -> bytes:
-        tokens = self._tokenize(spelled)
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        ids = [t.id for t in self._tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         """Packed ids of one plain lower-case word: proved, merged before, or merged now."""
@@ -127,11 +134,15 @@ class WordBpe:
 
     def _piece(self, piece: str) -> bytes:
         """Packed ids of a piece without ASCII white space."""
+        if self._tails and piece.isascii() and piece.isalpha():
+            return self._word(piece.lower())
         if self._odd.search(piece) or (self._marks and "|" in piece and self._marks.search(piece)):
             return self._odd_piece(piece)
         lower = piece.lower()
         if lower.isalpha():
             return self._word(lower)
+        if lower[-1:] in self._tails and lower[:-1].isalpha():
+            return self._word(lower[:-1]) + self._word(lower[-1])
         return b"".join([self._word(w) for w in self._find(lower)])
 
     def pieces(self, pieces: list[str]) -> list[bytes]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tracemill.llm import mixing, packing, prefix, sharding, simhash, vectors, word_bpe  # noqa: E402
+from tracemill.llm import common, mixing, packing, prefix, sharding, simhash, vectors, word_bpe  # noqa: E402
 from tracemill.llm.components import components  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -480,3 +480,58 @@ def test_pipeline_stages(spark, tmp_path):
     whole = {(r.doc_id, r.piece, r.ids_crc32, r.length) for r in corpus_pipeline.run(spark, SF_DIR).collect()}
     assert whole == {(r.doc_id, r.piece, r.ids_crc32, r.length) for r in docs.collect()}
     assert {r.doc_id for r in docs.collect()} == set(mixed)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, very long texts, columns that hide places; then an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(120).collect()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _metadata string, row_place int"
+    rows = [(*(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")), "m", 1) for r in given]
+    long = " ".join(f"{r.text}" for r in given if r.lang == "en" and r.text)
+    rows += rows[:7] + [(None, *rows[9][1:]), (None, *rows[9][1:]), (None, None, None, None, None, None, None)]
+    rows += [(900, None, "en", "a", 0, "m", 1), (901, "", "en", "a", 0, "m", 1), (902, long * 3, "en", None, 0, "m", 1)]
+    for name, table in (("rows", rows), ("none", [])):
+        docs = spark.createDataFrame(table, schema)
+        docs.write.parquet(str(tmp_path / name / "in"))
+        docs = spark.read.parquet(str(tmp_path / name / "in"))
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+            out = stage(spark, docs, SF_DIR)
+            if number < 4:
+                assert out.columns == docs.columns
+            out.write.parquet(str(tmp_path / name / str(number)))
+            docs = spark.read.parquet(str(tmp_path / name / str(number)))
+            if number < 3:
+                assert not collections.Counter((r.doc_id, r.text) for r in docs.collect()) - before
+            if number == 2:
+                prints = [plain_print(r.text) for r in docs.collect()]
+                was = {plain_print(t) for _, t in before}
+                roots = smallest_reachable(was, near(sorted(was)))
+                assert sorted(roots[p] for p in prints) == sorted(set(roots.values()))
+        assert (docs.count() > 50) == bool(table)
+
+
+def test_shards_in_order(spark):
+    df = spark.range(500).selectExpr("id", "CAST(id % 3 AS INT) AS shard", "xxhash64(id) AS place")
+    for partitions in ("1", "4", "40"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            got = [(r.shard, r.place) for r in mixing.in_shard_order(df, "shard", "place", 3).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == sorted(got) and len(got) == 500
+
+
+def test_rows_of_files_are_known_by_their_place(spark, tmp_path):
+    spark.range(50).selectExpr("id % 5 AS id").repartition(4).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for df, stored in ((common.with_row(table, "r", in_files=True), False), (common.with_row(table, "r"), True)):
+        assert df.select("r").distinct().count() == 50
+        first = sorted(map(str, df.collect()))
+        assert first == sorted(map(str, df.where("id >= 0").collect()))
+    clash = table.withColumn("_METADATA", F.lit(1))
+    assert common.with_row(clash, "r", in_files=True).select("r").distinct().count() == 50
+    made = spark.range(7).withColumn("x", F.lit(1))
+    assert common.with_row(made, "r", in_files=True).select("r").distinct().count() == 7

@@ -10,10 +10,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.storage import written
+
 #: Bytes of a text that are split into words at a time.
 PIECE_BYTES = 1 << 20
 #: Texts of a batch are taken up in blocks of about so many bytes; one longer text is a block of its own.
@@ -73,6 +76,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_row(docs: DataFrame, name: str, in_files: bool = False) -> DataFrame:
+    """``docs`` with a column ``name`` that tells all rows apart and is the same whenever the table is read.
+
+    ``in_files`` promises that ``docs`` reads files, each row once, such as ``spark.read.parquet`` with selections and
+    filters: then a row is known by its file (as two hashes of the path) and its place there, and nothing is stored. Otherwise,
+    or where the reader does not tell the place or a column of ``docs`` hides it, ``docs`` is stored with row numbers.
+    """
+    if in_files and "_metadata" not in (c.lower() for c in docs.columns):
+        path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        file = F.struct(F.xxhash64(path).alias("a"), F.xxhash64(F.lit("path"), path).alias("b"), place.alias("c"))
+        try:
+            return docs.select("*", file.alias(name))
+        except AnalysisException:
+            pass  # no files that tell places
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def per_text(
     df: DataFrame,
     id_col: str,

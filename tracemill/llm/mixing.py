@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import fresh
+from tracemill.llm.common import fresh, with_row
 from tracemill.llm.prefix import running_totals
 from tracemill.storage import written
 
@@ -237,22 +237,40 @@ def mixture(
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    n_shards: int = 16, seed: int = 7, weights: tuple[int, ...] = WEIGHTS,
+    n_shards: int = 16, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, in_files: bool = False,
 ) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, as often as they are used, plus shard and place.
 
     The added columns are ``mix_shard`` and ``mix_place`` (with ``_`` appended if taken); ordering a shard
-    by place gives its shuffle. ``docs`` is stored once with its row numbers, then joined by them.
+    by place gives its shuffle. Texts are read twice and shuffled once, to meet the uses of their rows, which are
+    told apart by place (see :func:`with_row`, also for ``in_files``).
+
+    Edge cases: a null text has no words and is never taken, as every document without words. A null source is a source
+    of its own. Null ids share one place in the order; repeated rows are rows of their own. An empty table, or one
+    without words, gives no rows.
     """
     row, shard, place = fresh(docs, "mix_row", "mix_shard", "mix_place")
-    stored = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    sized = stored.select(
+    placed = with_row(docs, row, in_files)
+    sized = placed.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"), F.col(row).alias("row"),
     )
     used = schedule(written(sized, "sized"), n_shards, seed, weights).where(F.col("pass").isNotNull())
     used = written(used.select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("place").alias(place)), "uses")
-    return stored.join(used, row).drop(row)
+    return placed.join(used.hint("shuffle_hash"), row).drop(row)
+
+
+def in_shard_order(mix: DataFrame, shard: str, place: str, n_shards: int = 16) -> DataFrame:
+    """``mix`` with whole shards one after the other, each in the order of its places.
+
+    A shard is laid out over a fixed number of partitions by the upper bits of the place, a hash, so nothing is
+    sampled. Their number follows ``spark.sql.shuffle.partitions``.
+    """
+    wanted = int(mix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(0, -(-wanted // n_shards) - 1).bit_length()
+    piece = F.shiftright(F.shiftright(place, 1), 63 - bits) + (1 << bits >> 1)  # 0 to 2 ** bits - 1
+    number = (F.col(shard) * (1 << bits) + (piece if bits else F.lit(0))).cast("int")
+    return mix.repartitionById(n_shards << bits, number).sortWithinPartitions(shard, place)
 
 
 #: The same words taken in SQL: targets by filling up, then the stream of each source up to its target.

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import fresh, per_text, text_pieces
+from tracemill.llm.common import fresh, per_text, text_pieces, with_row
 from tracemill.llm.components import components
 from tracemill.storage import written
 
@@ -181,35 +181,25 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", in_files: bool = False
+) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the row with the smallest id.
 
-    Rows are judged by id and a hash of the text, so that different texts of one id, or of none, go each with
-    its own group. Of rows of a group that share the smallest id the text with the smallest hash stays, and of
-    equal texts any one. A row without an id stays only if no other row of its group has one.
+    Rows are judged one by one, by their place (see :func:`with_row`, also for ``in_files``): different texts of one
+    id, or of none, go each with its own group. Of rows of a group that share the smallest id, one stays. A row without an
+    id stays only if no other row of its group has one.
+
+    All columns pass through. Texts are read twice and shuffled once, at every size, to meet the rows that go; these
+    are ids of places, so what a task holds of them is small.
 
-    All columns pass through. What goes is taken out by id and hash, usually few against what stays, so Spark
-    may broadcast it.
+    Edge cases: a null or empty text is near every other such one, so one of them stays. Repeated rows leave one row. An
+    empty table gives no rows.
     """
-    digest = F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
-    late = F.col(id_col).isNull().alias("late")  # such a row is never the smallest beside one with an id
-    row = F.struct(late, F.col(id_col).alias("id"), F.unhex(digest).alias("digest"))
-    found = near_duplicates(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text")
-    same = F.col("row.id").eqNullSafe(F.col("component_id.id"))
-    same &= F.col("row.digest") == F.col("component_id.digest")
-    id_name, digest_name = fresh(docs, "row_id", "row_digest")
-    rows = found.groupBy(F.col("row.id").alias(id_name), F.col("row.digest").alias(digest_name)).agg(
-        F.count("*").alias("times"), F.count_if(same).alias("kept")
-    )
-    rows = written(rows.where("kept = 0 OR times > 1"), "ids")
-
-    def of(which: DataFrame, how: str) -> DataFrame:
-        met = docs[id_col].eqNullSafe(which[id_name]) & (F.unhex(digest) == which[digest_name])
-        return docs.join(which, met, how)
-
-    result = of(rows.select(id_name, digest_name), "left_anti")
-    repeated = rows.where("kept > 0").select(id_name, digest_name)
-    if not repeated.isEmpty():
-        once = of(repeated, "left_semi").withColumn(digest_name, digest).dropDuplicates([id_col, digest_name])
-        result = result.unionByName(once.drop(digest_name))
-    return result
+    place = fresh(docs, "row_place")[0]
+    placed = with_row(docs, place, in_files)
+    # a row without an id is never the smallest beside one with an id
+    row = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col(place).alias("place"))
+    found = near_duplicates(placed.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text")
+    gone = found.where(F.col("row") != F.col("component_id")).select(F.col("row.place").alias(place))
+    return placed.join(written(gone, "gone").hint("shuffle_hash"), place, "left_anti").drop(place)

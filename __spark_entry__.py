@@ -209,6 +209,27 @@ def _csv_of(table: str, roles: dict[str, str], **options):
     return run
 
 
+def _csv_folder(spark, sf_dir):
+    """The events in three folders, the later the larger, all at one time: names order the files, not sizes."""
+    path = new_dir(spark, "csv-log")
+    part = F.expr("CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END")
+    events = _table(spark, sf_dir, "events").select(
+        "event_id", part.alias("part"), F.lit("t").alias("timestamp"), F.col("event_type").alias("event"),
+        F.col("user_id").alias("case"),
+    )
+    for folder in range(3):
+        own = events.where(F.col("part") == folder).repartitionByRange("event_id").sortWithinPartitions("event_id")
+        own.select("timestamp", "event", "case").write.option("header", True).csv(f"{path}/{folder}")
+    return tm.directly_follows(tm.read_csv(spark, f"{path}/*", sep=","))
+
+
+_query(
+    "csv_log_folder",
+    _csv_folder,
+    """WITH ord AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY
+        CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END, event_id) AS dst FROM events)
+        SELECT src, dst, count(*) AS cnt FROM ord WHERE dst IS NOT NULL GROUP BY ALL""",
+)
 # Case ids of 21 digits that a double cannot tell apart.
 _query(
     "csv_log_long_ids",

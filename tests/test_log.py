@@ -174,6 +174,28 @@ def test_csv_keeps_file_order_of_ties_and_sorts_numbers_as_numbers(spark, tmp_pa
         read_csv(spark, str(path))
 
 
+@pytest.mark.parametrize("store", [True, False])
+def test_csv_files_follow_their_names_not_their_sizes(spark, tmp_path, store):
+    """Equal times in files of uneven size, one of them cut into several splits, one with a header only."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    sizes = {"a.csv": 3, "b.csv": 400, "c d.csv": 0, "e.csv": 40}
+    want = []
+    for name, n in sizes.items():
+        labels = [f"{name[0]}{i}" for i in range(n)]
+        (folder / name).write_text("\n".join(["timestamp,event,case", *(f"7,{label},1" for label in labels)]) + "\n")
+        want += labels
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        log = read_csv(spark, str(folder), sep=",", store=store)
+        assert [a for _, a in sorted(tuple(r) for r in ordered_events(log).select("pos", "activity").collect())] == want
+        if store:
+            assert dict(log.events.dtypes)["tie_0"] == "bigint"  # numbers are shuffled, not paths
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_csv_number_columns(spark, tmp_path):
     path = tmp_path / "log.csv"
     path.write_text('timestamp,event,case\n1.5,"b, then ""c""",1\n1.25,a,1\n10,z,1\n')

@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemill.errors import MissingColumnError
 from tracemill.storage import written
@@ -30,6 +31,8 @@ class EventLog:
     Ordering goes through the rows twice: once to find cases that are too long for one task, once
     for the order. With ``store`` the role columns are written to the shared folder at their first
     use and read from there, which is worth it for text and for tables that are costly to compute.
+    ``ranked_tie`` names a tie column of few long values (such as paths): of a stored log its values are
+    replaced by their ranks, so that rows carry a number when they are shuffled.
     """
 
     def __init__(
@@ -42,6 +45,7 @@ class EventLog:
         ts_format: str | None = None,
         hot_case_rows: int = HOT_CASE_ROWS,
         store: bool = False,
+        ranked_tie: str | None = None,
     ):
         missing = [c for c in (ts, case, activity, *tie) if c not in df.columns]
         if missing:
@@ -53,6 +57,7 @@ class EventLog:
         self.roles = {"case": case, "ts": ts, "activity": activity, "tie": list(tie)}
         self.hot_case_rows = hot_case_rows
         self.store = store
+        self._ranked = f"tie_{list(tie).index(ranked_tie)}" if ranked_tie else None
         #: Of a log of traces: ``case_id, trace``, a whole case in each row.
         self.rows: DataFrame | None = None
         self.tie_columns = [f"tie_{i}" for i in range(len(tie))]
@@ -66,7 +71,14 @@ class EventLog:
     @cached_property
     def events(self) -> DataFrame:
         """``case_id, ts, tie_0.., activity``"""
-        return written(self._roles, "events") if self.store else self._roles
+        if not self.store:
+            return self._roles
+        stored = written(self._roles, "events")
+        if self._ranked is None:
+            return stored
+        rank = F.row_number().over(Window.orderBy(self._ranked)).cast("long")  # over the few distinct values
+        ranks = written(stored.select(self._ranked).distinct().withColumn("rank", rank), "ranks")
+        return stored.join(ranks, self._ranked).withColumn(self._ranked, F.col("rank")).select(*stored.columns)
 
     @classmethod
     def from_positions(

@@ -12,7 +12,7 @@ from tracemill.errors import DelimiterError, MissingColumnError
 from tracemill.sources.eventlog import EventLog, _quoted
 
 _HEAD_CHARS = 1024
-_FILE_ORDER = "_file_order"
+_FILE, _BLOCK, _LINE = "_file", "_block", "_line"
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
@@ -59,7 +59,8 @@ def read_csv(
     multi_line: bool = False,
     **options,
 ) -> EventLog:
-    """A CSV log. Events of a case with equal times keep file order unless ``tie`` is given.
+    """A CSV log. Events of a case with equal times keep file order unless ``tie`` is given: the files in the
+    order of their paths, whatever their sizes, and the lines of each as they stand.
 
     Without a ``schema``, the time, tie, and case columns are read once to see whether they are
     numbers, so that they sort as numbers; with one, nothing is read ahead. The role columns
@@ -73,9 +74,13 @@ def read_csv(
         kinds = _column_types(table, case, [ts, *tie])
         table = table.withColumns({c: F.col(_quoted(c)).cast(kind) for c, kind in kinds.items()})
     if not tie:
-        # Ids grow with the position in the file, also across the splits of one file.
-        table = table.withColumn(_FILE_ORDER, F.monotonically_increasing_id())
-        tie = (_FILE_ORDER,)
+        # Spark deals out files by size, so a row's place is its file, the split it came with, and, as a split is
+        # read by one task from its start to its end, an id that grows within the task.
+        places = {_FILE: F.input_file_name(), _BLOCK: F.input_file_block_start(), _LINE: F.monotonically_increasing_id()}
+        table = table.withColumns(places)
+        tie = (_FILE, _BLOCK, _LINE)
+        if options.setdefault("store", True):
+            options["ranked_tie"] = _FILE
     return EventLog(table, case=case, ts=ts, activity=activity, tie=tie, **{"store": True, **options})
 
 

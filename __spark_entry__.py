@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 import tracemill as tm
 from tracemill.functions import fmt2, np2
+from tracemill.operators.leaders import clusters
 from tracemill.operators.ranking import ranked
 from tracemill.storage import new_dir
 
@@ -736,6 +737,29 @@ for _name, _p in (("banded", MAIN), ("banded", GRID[0]), ("conversations", (0.5,
         lambda s, d, n=_name, p=_p: tm.fuzzy_graph(_model(s, d, n), *p, sizes=False).nodes,
         _sql_fuzzy(_name, [_p]) + "SELECT * EXCLUDE (param_id) FROM graph_nodes",
     )
+
+
+def _chained_orders(spark, sf_dir):
+    """Clusters of orders, each linked to the next one but where a customer number breaks the chain."""
+    label = F.lpad(F.col("o_orderkey").cast("string"), 12, "0")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", label.alias("activity"))
+    orders = ranked(orders, ["o_orderkey"], "place")
+    before = orders.select((F.col("place") + 1).alias("place"), F.col("activity").alias("a"))
+    linked = orders.where("o_custkey % 251 <> 0").join(before, "place")
+    seeds = orders.select(F.lit(0).alias("param_id"), "activity")
+    links = linked.select(F.lit(0).alias("param_id"), "a", F.col("activity").alias("b"))
+    return clusters(seeds, links).select("activity", "leader")
+
+
+_query(
+    "clusters_chained_orders",
+    _chained_orders,
+    """WITH ranked AS (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS activity, o_orderkey AS k,
+            lag(lpad(o_orderkey::VARCHAR, 12, '0')) OVER (ORDER BY o_orderkey) AS before, o_custkey % 251 = 0 AS cut FROM orders),
+        runs AS (SELECT *, sum(cut::INT) OVER (ORDER BY k) AS run FROM ranked),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k) AS place FROM runs)
+    SELECT activity, CASE WHEN place % 2 = 1 THEN activity ELSE before END AS leader FROM placed""",
+)
 _query(
     "fuzzy_graph_sized_nodes_banded",
     lambda s, d: tm.fuzzy_graph(_model(s, d, "banded"), *MAIN).nodes,

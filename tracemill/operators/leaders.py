@@ -5,9 +5,12 @@ leader; it claims every node linked to it that is still free. So the leaders are
 lexicographically first maximal independent set of the seeds, and every other node belongs to
 the smallest leader it is linked to.
 
-The set is found in rounds. A seed leads when no smaller seed linked to it is still open, and drops
-when a linked one leads; seeds that drop are out of the way of those that waited for them. The number
-of rounds is the longest wait for a wait, which is short unless links form chains in label order.
+The set is found in rounds over *conditions*: a seed leads when each smaller seed linked to it does not. A
+condition whose seed is decided is met, and goes, or decides against its owner; a seed without conditions leads.
+A seed with one condition left is a function of one other seed, equal to it or its opposite. Such functions are
+composed by pointer doubling, so that a chain of any length ends in a number of steps that is its logarithm, and they
+take the place of their seeds in all other conditions. So the rounds are as many as the longest wait among seeds that
+wait for several others at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 
 from tracemill.storage import Collected, written
 
+_DECIDED = "param_id {0}, activity string, leads boolean"
+_FUNCTION = "param_id {0}, activity string, root string, opposite boolean"
+
 
 def leaders(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """Leaders among ``seeds(param_id, activity)`` under ``links(param_id, a, b)``.
@@ -32,24 +38,96 @@ def leaders(seeds: DataFrame, links: DataFrame) -> DataFrame:
         .join(smaller, ["param_id", "a"], "left_semi")
         .join(larger, ["param_id", "b"], "left_semi")
     )
-    pairs = written(pairs, "seed-links")
-    found = Collected(seeds.sparkSession, open_seeds.schema, "leaders")
-    while not pairs.isEmpty():
-        waits = pairs.select("param_id", F.col("b").alias("activity"))
-        lead = found.add(open_seeds.join(waits, ["param_id", "activity"], "left_anti"))
-        drops = pairs.join(_as(lead, "a"), ["param_id", "a"], "left_semi").select(
-            "param_id", F.col("b").alias("activity")
+    # ``activity`` leads only if ``other`` does as ``must`` says
+    conditions = pairs.select(
+        "param_id", F.col("b").alias("activity"), F.col("a").alias("other"), F.lit(False).alias("must")
+    )
+    conditions = written(conditions, "conditions")
+    spark, kind = seeds.sparkSession, open_seeds.schema["param_id"].dataType.simpleString()
+    decided = Collected(spark, _DECIDED.format(kind), "decided")
+    functions = Collected(spark, _FUNCTION.format(kind), "functions")
+    free = open_seeds.join(conditions, ["param_id", "activity"], "left_anti")
+    new, some_functions, waiting = decided.add(free.withColumn("leads", F.lit(True))), False, True
+    while waiting:
+        state = written(_state(conditions, new), "seed-states")
+        counts = {r["kind"]: r["count"] for r in state.groupBy("kind").count().collect()}  # three kinds at most
+        before, new = new, decided.add(state.where("kind = 'decided'").select("param_id", "activity", "leads"))
+        jumps = None
+        if "function" in counts:
+            jumps = functions.add(_composed(state.where("kind = 'function'").select(
+                "param_id", "activity", F.col("low.other").alias("root"), (~F.col("low.must")).alias("opposite")
+            )))
+            some_functions = True
+        waiting = "waiting" in counts
+        if waiting:
+            conditions = written(_reduced(conditions, state, before, jumps), "conditions")
+    lead = decided.table()
+    if some_functions:
+        ends = _composed(functions.table()).withColumnRenamed("activity", "own")
+        roots = lead.withColumnRenamed("activity", "root")
+        found = ends.join(roots, ["param_id", "root"]).select(
+            "param_id", F.col("own").alias("activity"), (F.col("leads") != F.col("opposite")).alias("leads")
+        )
+        lead = lead.unionByName(found)
+    return lead.where("leads").select("param_id", "activity")
+
+
+def _state(conditions: DataFrame, new: DataFrame) -> DataFrame:
+    """Per seed with conditions whether it is decided, a function of another one, or waiting, given what is ``new``."""
+    known = new.select("param_id", F.col("activity").alias("other"), "leads")
+    met = conditions.join(known, ["param_id", "other"], "left")
+    still = F.when(F.col("leads").isNull(), F.struct("other", "must"))
+    per_seed = met.groupBy("param_id", "activity").agg(
+        F.coalesce(F.bool_or(F.col("leads") != F.col("must")), F.lit(False)).alias("broken"),
+        F.min(still).alias("low"),
+        F.max(still).alias("high"),
+    )
+    both = (F.col("low.other") == F.col("high.other")) & (F.col("low.must") != F.col("high.must"))
+    over = F.col("broken") | F.col("low").isNull() | both
+    kind = F.when(over, "decided").when(F.col("low") == F.col("high"), "function").otherwise("waiting")
+    leads = ~F.col("broken") & F.col("low").isNull()
+    return per_seed.select("param_id", "activity", kind.alias("kind"), leads.alias("leads"), "low")
+
+
+def _composed(functions: DataFrame) -> DataFrame:
+    """``functions`` (``activity``, ``root``, ``opposite``) with roots that are no functions themselves.
+
+    Roots are smaller than their seeds, so there are no circles; each step doubles the way.
+    """
+    functions = written(functions, "functions")
+    while True:
+        on = functions.select(
+            "param_id", F.col("activity").alias("root"), F.col("root").alias("beyond"), F.col("opposite").alias("turned")
         )
-        drops = written(drops.distinct(), "drops")
-        pairs = written(
-            pairs.join(_as(drops, "b"), ["param_id", "b"], "left_anti").join(
-                _as(drops, "a"), ["param_id", "a"], "left_anti"
+        if functions.join(on, ["param_id", "root"], "left_semi").isEmpty():
+            return functions
+        functions = written(
+            functions.join(on, ["param_id", "root"], "left").select(
+                "param_id",
+                "activity",
+                F.coalesce("beyond", "root").alias("root"),
+                (F.col("opposite") != F.coalesce("turned", F.lit(False))).alias("opposite"),
             ),
-            "seed-links",
+            "functions",
         )
-        done = lead.unionByName(drops)
-        open_seeds = written(open_seeds.join(done, ["param_id", "activity"], "left_anti"), "open-seeds")
-    return found.table().unionByName(open_seeds)  # what is still open waits for nothing
+
+
+def _reduced(
+    conditions: DataFrame, state: DataFrame, known: DataFrame, functions: DataFrame | None
+) -> DataFrame:
+    """The conditions of seeds that wait, without those that are met, about the roots of functions."""
+    waiting = state.where("kind = 'waiting'").select("param_id", "activity")
+    left = conditions.join(waiting, ["param_id", "activity"], "left_semi").join(
+        known.select("param_id", F.col("activity").alias("other")), ["param_id", "other"], "left_anti"
+    )
+    if functions is None:
+        return left
+    functions = functions.withColumnRenamed("activity", "other")
+    must = F.col("must") != F.coalesce("opposite", F.lit(False))
+    left = left.join(functions, ["param_id", "other"], "left").select(
+        "param_id", "activity", F.coalesce("root", "other").alias("other"), must.alias("must")
+    )
+    return left.distinct()
 
 
 def _as(seeds: DataFrame, end: str) -> DataFrame:

@@ -231,6 +231,24 @@ _query(
         CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END, event_id) AS dst FROM events)
         SELECT src, dst, count(*) AS cnt FROM ord WHERE dst IS NOT NULL GROUP BY ALL""",
 )
+def _escaped_traces(spark, sf_dir):
+    """Orders whose labels end in separators, written as lines and read back."""
+    path = new_dir(spark, "escaped-traces")
+    odd = F.expr("element_at(array(',', '\\t', '\\n', '\\\\', ''), CAST(o_orderkey % 5 AS INT) + 1)")
+    orders = _table(spark, sf_dir, "orders").withColumn("label", F.concat("o_orderpriority", odd))
+    log = tm.EventLog(orders, case="o_custkey", ts="o_orderdate", activity="label", tie=["o_orderkey"])
+    tm.write_traces(log, path, escape=True)
+    return tm.directly_follows(tm.read_traces(spark, path, escaped=True))
+
+
+_query(
+    "escaped_traces_orders",
+    _escaped_traces,
+    """WITH odd AS (SELECT *, o_orderpriority || [',', chr(9), chr(10), chr(92), ''][(o_orderkey % 5 + 1)::INT] AS label
+            FROM orders),
+        ord AS (SELECT label AS src, lead(label) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM odd)
+        SELECT src, dst, count(*) AS cnt FROM ord WHERE dst IS NOT NULL GROUP BY ALL""",
+)
 # Case ids of 21 digits that a double cannot tell apart.
 _query(
     "csv_log_long_ids",

@@ -136,3 +136,30 @@ def test_save_and_load(spark, tmp_path):
     again = load_model(spark, str(tmp_path / "m"))
     assert again.miner == "fuzzy" and again.params["edge_cutoff"] == 0.3
     assert rows(redraw(again, sizes=False).nodes, "node") == nodes
+
+
+def test_an_interrupted_save_leaves_the_old_model(spark, tmp_path, monkeypatch):
+    """A save that stops between its tables, or just before it is put in force, is as if it had not begun."""
+    from tracemill.sinks import models
+
+    path = str(tmp_path / "m")
+    old = model_of(spark, LOGS["parcel"])
+    save_model(old, path)
+    new = model_of(spark, LOGS["shift"])
+    broken = model_of(spark, LOGS["shift"])
+    broken.starts = broken.starts.selectExpr("activity", "raise_error('stop') AS cases")
+    with pytest.raises(Exception, match="stop"):
+        save_model(broken, path, overwrite=True)
+    with monkeypatch.context() as m:
+        m.setattr(models, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("stop")))
+        with pytest.raises(RuntimeError, match="stop"):
+            save_model(new, path, overwrite=True)
+    kept = load_model(spark, path)
+    assert rows(kept.dfg, *kept.dfg.columns) == rows(old.dfg, *old.dfg.columns)
+    for _ in range(3):
+        save_model(new, path, overwrite=True)
+        now = load_model(spark, path)
+        assert rows(now.dfg, *now.dfg.columns) == rows(new.dfg, *new.dfg.columns)
+    assert len([p for p in (tmp_path / "m").iterdir() if p.name.startswith("version-")]) == 2  # in force, and before it
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, str(tmp_path / "none"))

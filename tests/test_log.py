@@ -22,7 +22,7 @@ from tracemill import (
     vocabulary,
     write_traces,
 )
-from tracemill.operators.ordering import split_hot_cases
+from tracemill.operators.ordering import hot_cases, split_hot_cases
 from tracemill.operators.ranking import ranked
 
 
@@ -299,3 +299,40 @@ def test_timestamps_keep_their_type(spark):
         "case long, timestamp timestamp_ntz, event string")
     assert dict(EventLog(df).events.dtypes)["ts"] == "timestamp_ntz"
     assert rows(directly_follows(EventLog(df)), "src", "dst") == [("a", "b")]
+
+
+@pytest.mark.parametrize(("limit", "buckets"), [(30, 4096), (30, 3), (1, 4096), (10**6, 4096), (99, 1)])
+def test_hot_cases_are_those_of_an_exact_count(spark, limit, buckets):
+    events = spark.range(3000).selectExpr("CAST(IF(id % 3 = 0, 7, id % 211) AS STRING) AS case_id", "id")
+    found = hot_cases(events, limit, buckets)
+    counts = Counter(r.case_id for r in events.collect())
+    want = {(c, n) for c, n in counts.items() if n > limit}
+    assert (set() if found is None else {tuple(r) for r in found.collect()}) == want
+    assert hot_cases(events.where("id < 0"), limit, buckets) is None
+
+
+def test_cases_are_not_counted_one_by_one(spark):
+    """A log without a bucket over the limit has one exchange by case: the one that orders it."""
+    log = EventLog(spark.range(1000).selectExpr("id % 50 AS c", "id AS t", "'a' AS e"), case="c", ts="t", activity="e")
+    directly_follows(log)
+    assert split_hot_cases(log).segments is None and split_hot_cases(log).ordinary is log.events
+    plan = directly_follows(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(case_id") == 1
+
+
+ODD_LABELS = ["", " ", ",", "\\", "\\c", "\\\\t", "a,b", "\t", "x\n", "\r\n", ";", "a;", "\\,", ",\\", "plain", "é,\u2028", "c" * 9000 + "," * 9000]
+
+
+@pytest.mark.parametrize("part_rows", [None, 1, 4])
+def test_escaped_traces_round_trip(spark, tmp_path, part_rows):
+    """Labels made of separators, escapes, and line ends come back as they were."""
+    r = random.Random(6)
+    cases = [[label] for label in ODD_LABELS] + [[r.choice(ODD_LABELS) for _ in range(r.randrange(1, 9))] for _ in range(60)]
+    rows_in = [(f"{c}\t,\\", i, label) for c, trace in enumerate(cases) for i, label in enumerate(trace)]
+    log = EventLog(spark.createDataFrame(rows_in, "c string, t int, e string"), case="c", ts="t", activity="e")
+    write_traces(log, str(tmp_path / "out"), part_rows=part_rows, escape=True)
+    back = read_traces(spark, str(tmp_path / "out"), parts=part_rows is not None, escaped=True)
+    found = [(r.case_id, tuple(r.trace)) for r in traces(back).collect()]
+    assert sorted(t for _, t in found) == sorted(map(tuple, cases))
+    if part_rows is not None:
+        assert dict(found) == {f"{c}\t,\\": tuple(t) for c, t in enumerate(cases)}

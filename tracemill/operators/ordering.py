@@ -21,6 +21,9 @@ from tracemill.sources.eventlog import EventLog
 from tracemill.storage import written
 
 COPIES_PER_ROW = 10_000
+#: Buckets that cases are counted in, and how many times finer than the longest possible cases they must be.
+CASE_BUCKETS = 4096
+FINER = 8
 
 
 @dataclass
@@ -32,19 +35,39 @@ class SplitLog:
 
 
 def split_hot_cases(log: EventLog) -> SplitLog:
-    """Find the hot cases, with one count per case."""
+    """Find the hot cases."""
     if not hasattr(log, "_split"):
         log._split = _split(log)
     return log._split
 
 
+def hot_cases(events: DataFrame, limit: int, buckets: int = CASE_BUCKETS) -> DataFrame | None:
+    """(``case_id``, ``rows``) of the cases with more than ``limit`` rows, stored; None if there are none.
+
+    Rows are counted per bucket of the case's hash first, a few numbers per task. No case has more rows than its bucket,
+    so only those of buckets over the limit are counted one by one. Where the log is so long that most
+    buckets would be, buckets are made finer first.
+    """
+    bucket = F.pmod(F.xxhash64("case_id"), F.lit(buckets)).alias("bucket")
+    sizes = events.groupBy(bucket).agg(F.count(F.lit(1)).alias("rows"))
+    largest, total = sizes.agg(F.max("rows"), F.sum("rows")).first()
+    if not total or largest <= limit:
+        return None
+    if (finer := FINER * (total // limit)) > buckets:
+        return hot_cases(events, limit, finer)
+    full = written(sizes.where(F.col("rows") > limit).select("bucket"), "buckets")  # total / limit of them at most
+    some = events.select("case_id", bucket).join(full, "bucket", "left_semi")
+    counts = some.groupBy("case_id").agg(F.count(F.lit(1)).alias("rows"))
+    hot = written(counts.where(F.col("rows") > limit), "hot-cases")
+    return None if hot.isEmpty() else hot
+
+
 def _split(log: EventLog) -> SplitLog:
     limit = log.hot_case_rows
-    sizes = log.events.groupBy("case_id").agg(F.count(F.lit(1)).alias("rows"))
-    hot = written(sizes.where(F.col("rows") > limit), "hot-cases")
-    hot_rows = hot.agg(F.sum("rows")).first()[0]
-    if not hot_rows:
+    hot = hot_cases(log.events, limit)
+    if hot is None:
         return SplitLog(log.events, None)
+    hot_rows = hot.agg(F.sum("rows")).first()[0]
     # The marks are stored, so Spark knows their size and broadcasts them only when they are few.
     ordinary = log.events.join(hot.select("case_id"), "case_id", "left_anti")
     hot_events = log.events.join(hot.select("case_id"), "case_id", "left_semi")

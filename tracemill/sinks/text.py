@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.operators.graph import ProcessGraph
 from tracemill.operators.ordering import traces
 from tracemill.sources.eventlog import EventLog
+from tracemill.sources.files import ESCAPES, LINE_END
 
 # Shapes, styles, colours, and label words of the drawings.
 ACTIVITY_SHAPE = "box"
@@ -24,22 +25,40 @@ SIGNIFICANCE_LABEL = '<%s<br/><font color="red">%s</font>>'
 CLUSTER_LABEL = "Cluster %d\n%d Elements\n~%s"
 
 
-def trace_lines(log: EventLog, part_rows: int | None = None) -> DataFrame:
-    """Comma-joined lines, ``case_id, value`` or ``case_id, part, value`` (see ``traces``)."""
+def trace_lines(log: EventLog, part_rows: int | None = None, escape: bool = False) -> DataFrame:
+    """Comma-joined lines, ``case_id, value`` or ``case_id, part, value`` (see ``traces``).
+
+    ``escape`` writes commas, tabs, line ends and backslashes in labels as a backslash and a letter (a second backslash), and
+    ends every line with a semicolon, so that any label comes back from ``read_traces(.., escaped=True)``.
+    """
     found = traces(log, part_rows)
-    return found.select(*found.columns[:-1], F.array_join("trace", ",").alias("value"))
+    trace = F.transform("trace", escaped) if escape else F.col("trace")
+    line = F.array_join(trace, ",")
+    if escape:
+        line = F.concat(line, F.lit(LINE_END))
+    return found.select(*found.columns[:-1], line.alias("value"))
+
+
+def escaped(label: Column) -> Column:
+    """``label`` without characters that end labels or lines; :func:`tracemill.sources.files.unescaped` undoes it."""
+    label = F.replace(label, F.lit("\\"), F.lit("\\\\"))
+    for char, sign in ESCAPES.items():
+        label = F.replace(label, F.lit(char), F.lit("\\" + sign))
+    return label
 
 
-def write_traces(log: EventLog, path: str, part_rows: int | None = None) -> None:
+def write_traces(log: EventLog, path: str, part_rows: int | None = None, escape: bool = False) -> None:
     """One case per line under ``path``, as ``read_traces`` reads it.
 
     With ``part_rows``, for logs with cases that are too long for a line, every case is written in parts:
     the case, the number of the part, and the part, separated by tabs; ``read_traces(.., parts=True)``
-    gives the same log. The layout is the caller's choice and never depends on the data.
+    gives the same log. The layout is the caller's choice and never depends on the data. ``escape`` keeps labels (and, in
+    parts, cases) apart that hold separators, for ``read_traces(.., escaped=True)``.
     """
-    lines = trace_lines(log, part_rows)
+    lines = trace_lines(log, part_rows, escape)
     if part_rows is not None:
-        lines = lines.select(F.concat_ws("\t", F.col("case_id").cast("string"), "part", "value").alias("value"))
+        case = F.col("case_id").cast("string")
+        lines = lines.select(F.concat_ws("\t", escaped(case) if escape else case, "part", "value").alias("value"))
     lines.select("value").write.text(path)
 
 

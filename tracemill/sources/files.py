@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -120,21 +120,48 @@ def _column_types(table: DataFrame, case: str, ordered: list[str]) -> dict[str,
     return types
 
 
+#: What stands after a backslash for a character that ends labels, parts, or lines.
+ESCAPES = {",": "c", "\t": "t", "\n": "n", "\r": "r"}
+#: The end of an escaped line, so that a label at its end, and an empty one, is not taken for blank space.
+LINE_END = ";"
+
+
+def unescaped(label: Column) -> Column:
+    """A label as it was before :func:`tracemill.sinks.text.escaped`."""
+
+    def undone(part: Column) -> Column:
+        for char, sign in ESCAPES.items():
+            part = F.replace(part, F.lit("\\" + sign), F.lit(char))
+        return part
+
+    # between escaped backslashes, a backslash begins another escape
+    return F.array_join(F.transform(F.split(label, r"\\\\", -1), undone), "\\")
+
+
+def _labels(line: Column) -> Column:
+    return F.transform(F.split(F.substring(line, F.lit(1), F.length(line) - 1), ",", -1), unescaped)
+
+
 def read_traces(
-    spark: SparkSession, path: str, sep: str | None = ",", parts: bool = False, **options
+    spark: SparkSession, path: str, sep: str | None = ",", parts: bool = False, escaped: bool = False, **options
 ) -> EventLog:
     """One case per line; activities separated by ``sep``, or by white space when it is None.
 
     ``parts`` reads what ``write_traces`` wrote with ``part_rows``: the case, the number of the part,
-    and the part, separated by tabs.
+    and the part, separated by tabs. ``escaped`` reads what it wrote with ``escape``; ``sep`` is then the comma.
     """
     if parts:
         split = F.split("value", "\t", 3)
         lines = spark.read.text(path).where("value <> ''").select(
-            split[0].alias("case"), split[1].cast("bigint").alias("part"), F.split(split[2], ",").alias("trace")
+            (unescaped(split[0]) if escaped else split[0]).alias("case"),
+            split[1].cast("bigint").alias("part"),
+            (_labels(split[2]) if escaped else F.split(split[2], ",")).alias("trace"),
         )
         events = lines.select("case", "part", F.posexplode("trace").alias("place", "event"))
         return EventLog(events, case="case", ts="part", tie=["place"], activity="event", **options)
+    if escaped:
+        lines = spark.read.text(path).where("value <> ''")
+        return EventLog.from_traces(lines.select(_labels(F.col("value")).alias("trace")), **options)
     lines = spark.read.text(path).where(F.trim("value") != "")
     if sep is None:
         trace = F.split(F.trim("value"), r"\s+")

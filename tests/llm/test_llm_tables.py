@@ -403,6 +403,48 @@ def test_mixture(spark):
     assert {r.taken for r in mixing.mixture(df.where("text = ''")).collect()} <= {0}
 
 
+def exact_totals(low, high, total):
+    """Blocks of all sources that each shard gets, by halving the shards."""
+    if high - low == 1:
+        return [total]
+    middle = (low + high + 1) // 2
+    left = total * (middle - low) // (high - low)
+    return exact_totals(low, middle, left) + exact_totals(middle, high, total - left)
+
+
+@pytest.mark.parametrize("shards", [3, 8])
+def test_the_tree_deals_every_block_to_one_shard(spark, shards):
+    """Blocks of a source are disjoint between shards, and every shard gets its exact quota of all blocks."""
+    rnd = random.Random(shards)
+    rows = [(i, i, rnd.choice(["a", "a", "b", "c", None]), rnd.randrange(1, 9)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "row long, id long, source string, size long")
+    uses = mixing.schedule(df, n_shards=shards, seed=5).collect()
+    home, words = collections.defaultdict(set), collections.Counter()
+    for r in uses:
+        assert (r["pass"] is None) == (r.block is None) == (r.shard is None) == (r.place is None)
+        if r.block is not None:
+            home[r.source, r.block].add(r.shard)
+            words[r.source] += r.size
+    assert all(len(s) == 1 for s in home.values())
+    for source in {r[2] for r in rows}:  # a source's blocks are all there, and cut across shards
+        blocks = sorted(b for s, b in home if s == source)
+        assert blocks == list(range(len(blocks))) and len({min(home[source, b]) for b in blocks}) == shards
+    got = collections.Counter(min(s) for s in home.values())
+    assert [got[i] for i in range(shards)] == exact_totals(0, shards, len(home))
+    found = mixing.mixture(df.selectExpr("id AS doc_id", "repeat('w ', CAST(size AS INT)) AS text", "source"), n_shards=shards, seed=5)
+    assert sum(r.taken for r in found.collect()) == sum(words.values())
+
+
+@pytest.mark.parametrize("shards", [2, 6])
+def test_what_the_tree_does_not_deal_is_not_taken(spark, shards, monkeypatch):
+    df = spark.createDataFrame(mix_rows(), "doc_id long, text string, source string")
+    whole = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a, **k: whole(*a, **k).where("shard > 0"))
+    part = sum(r.taken for r in mixing.mixture(df, n_shards=shards).collect())
+    monkeypatch.setattr(mixing, "split_quotas", whole)
+    assert 0 < part < sum(r.taken for r in mixing.mixture(df, n_shards=shards).collect())
+
+
 @pytest.mark.parametrize("shards", [1, 2, 5, 8])
 def test_quotas_are_split_exactly(spark, shards):
     blocks = {0: 1, 1: 40, 2: 300, 3: 0, 4: 7}

@@ -7,6 +7,7 @@ import zlib
 
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -155,6 +156,33 @@ def test_languages_of_held_out_documents(spark):
     assert again == {r.doc_id: (r.lang_pred, r.score) for r in rows}
 
 
+def test_languages_are_those_of_plain_compression(spark):
+    """Every text against every dictionary, chunk by chunk, with the library alone."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    learned = language.dictionaries(table)
+    kind = zstandard.DICT_TYPE_RAWCONTENT
+    for r in language.languages(table).collect():
+        data = texts[r.doc_id].lower().encode()
+        chunks = [data[i : i + language.CHUNK_BYTES] for i in range(0, len(data), language.CHUNK_BYTES)]
+        sizes = {}
+        for lang, content in learned.items():
+            plain = zstandard.ZstdCompressor(
+                level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=kind),
+                write_checksum=False, write_content_size=False, write_dict_id=False,
+            )
+            sizes[lang] = sum(len(plain.compress(c)) for c in chunks)
+        best = min(sizes, key=lambda lang: (sizes[lang], lang))
+        second = min(n for lang, n in sizes.items() if lang != best)
+        assert r.lang_pred == best and r.score == pytest.approx(1 - sizes[best] / second)
+        assert r.rejected == (r.score < language.MIN_MARGIN)
+
+
+@pytest.mark.parametrize("text", ["½ 2²", "①②③", "12 34 !!", "٣٤", "_", "⅓Ⅷ½", "\u0301", "😀"])
+def test_texts_without_letters_have_no_language(text):
+    assert language.Classifier({"en": b"the house" * 9, "fr": b"la maison" * 9}).predict(text) == ("und", 0.0)
+
+
 def test_every_labelled_language_is_learned(spark):
     """More languages than 64, and one whose texts are all long."""
     rnd = random.Random(8)

@@ -8,7 +8,6 @@ texts whose distance is narrow are rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,7 +31,10 @@ LEVEL = 6
 #: Relative margins below this are too narrow to decide.
 MIN_MARGIN = 0.002
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character of ``text`` is a letter in Unicode; digits in circles, fractions and the like are none."""
+    return any(map(str.isalpha, text))
 
 
 def held_out(id_col: Column) -> Column:
@@ -110,7 +112,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, relative margin); unknown without a letter or without any language."""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return UNKNOWN, 0.0
         ranked = sorted(zip(self.sizes(text), self.languages, strict=True))
         if len(ranked) == 1:
@@ -168,7 +170,12 @@ def keep_identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     min_margin: float = MIN_MARGIN,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with at least ``min_margin``."""
+    """The rows of ``docs``, all columns, whose language is known with at least ``min_margin``.
+
+    Edge cases: a null or empty text, or one without a letter, goes, and every row when nothing is labelled; with one
+    language no margin is narrow. Null ids are kept by their text like others, and repeated rows stay as often as they
+    come. An empty table gives no rows.
+    """
     content = dictionaries(docs, id_col, text_col, lang_col)
 
     ship_package(docs.sparkSession)

@@ -147,10 +147,10 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
 def schedule(
     rows: DataFrame, n_shards: int = 16, seed: int = 7, weights: tuple[int, ...] = WEIGHTS
 ) -> DataFrame:
-    """(``row``, ``id``, ``source``, ``size``, ``source_size``, ``target``, ``pass``, ``shard``, ``place``).
+    """(``row``, ``id``, ``source``, ``size``, ``source_size``, ``target``, ``pass``, ``block``, ``shard``, ``place``).
 
     ``rows`` has (``row``, ``id``, ``source``, ``size``) with ``row`` unique. One result row per use of
-    a document; a document that is not used has one row with a null ``pass``, ``shard`` and ``place``.
+    a document; a document that is not used has one row with a null ``pass``, ``block``, ``shard`` and ``place``.
     ``place`` orders a shard. In its last pass a source takes the documents whose middle lies before what
     is left of the target, so it misses the target by half a document at most.
     """
@@ -194,12 +194,12 @@ def schedule(
     used = placed.withColumn("pass", F.explode(passes))
     middle = F.col("pass") * F.col("source_size") + F.col("before") + F.col("size") / 2
     block = F.least(F.col("blocks") - 1, F.floor(F.try_divide(middle * F.col("blocks"), F.col("target"))))
-    used = used.withColumn("block", block)
+    used = used.withColumn("block", F.when(F.col("pass").isNotNull(), block))
     homes = homes.select(F.col("number").alias("n"), F.col("block").alias("k"), "shard")
     home = (F.col("number") == F.col("n")) & (F.col("block") == F.col("k"))
     place = F.when(F.col("pass").isNotNull(), F.xxhash64(F.lit(seed), "key", "pass", "row"))
     return used.join(homes, home, "left").select(
-        "row", "id", "source", "size", "source_size", "target", "pass", "shard", place.alias("place")
+        "row", "id", "source", "size", "source_size", "target", "pass", "block", "shard", place.alias("place")
     )
 
 
@@ -214,8 +214,8 @@ def mixture(
 ) -> DataFrame:
     """(id, ``size``, ``source_size``, ``target``, ``taken``) of every row of ``docs``.
 
-    ``taken`` is the words the mix takes of the row, repeats counted: its size times its uses, at most
-    three. Only ids, sources and sizes are shuffled.
+    ``taken`` is the words that the shards get of the row, repeats counted: its size once for every use whose block the
+    tree has dealt to a shard, at most three times. Only ids, sources and sizes are shuffled.
 
     Edge cases: a null text has no words; documents without words are never taken. A null source is a
     source of its own, after all others. Null ids share one place in the order. Repeated rows are rows
@@ -228,7 +228,7 @@ def mixture(
         F.monotonically_increasing_id().alias("row"),
     )
     used = schedule(written(sized, "sized"), n_shards, seed, weights)
-    taken = F.sum(F.when(F.col("pass").isNotNull(), F.col("size")).otherwise(0))
+    taken = F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(0))
     rows = used.groupBy("row").agg(
         *(F.first(c).alias(c) for c in ("id", "size", "source_size", "target")), taken.alias("taken")
     )
@@ -255,7 +255,7 @@ def mixed(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"), F.col(row).alias("row"),
     )
-    used = schedule(written(sized, "sized"), n_shards, seed, weights).where(F.col("pass").isNotNull())
+    used = schedule(written(sized, "sized"), n_shards, seed, weights).where(F.col("shard").isNotNull())
     used = written(used.select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("place").alias(place)), "uses")
     return placed.join(used.hint("shuffle_hash"), row).drop(row)
 
@@ -274,7 +274,8 @@ def in_shard_order(mix: DataFrame, shard: str, place: str, n_shards: int = 16) -
 
 
 #: The same words taken in SQL: targets by filling up, then the stream of each source up to its target.
-#: How the blocks of a stream go to shards does not change what is taken.
+#: The tree deals every block of a stream to one shard, whatever it draws, so all of the stream is taken; which
+#: shard gets a block depends on hashes that SQL lacks, and is tested against the exact quotas.
 MIXTURE_SQL = r"""
 WITH sized AS (SELECT doc_id, source,
         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),

@@ -111,23 +111,36 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.mapInArrow(run, schema)
 
 
+#: Rows that are multiplied at a time.
+PRODUCT_ROWS = 1024
+
+
+def _by_dim(dims: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each dimension, so many at a time."""
+    for dim in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == dim)
+        for at in range(0, len(rows), PRODUCT_ROWS):
+            yield dim, rows[at : at + PRODUCT_ROWS]
+
+
 def pass_keys(units: DataFrame, kind: str, passes: range, seed: int) -> DataFrame:
     """(``row``, ``dim``, ``unit``, ``keys``): the 64 hyperplane bits of each of ``passes``."""
-    bits = 1 << np.arange(63, -1, -1, dtype=np.uint64)
+    n = len(passes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            keys = []
-            for dim, unit in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            dims, units_ = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            keys = np.zeros((batch.num_rows, n), np.int64)
+            for dim, rows in _by_dim(dims):
                 if dim not in planes:
                     draws = [np.random.default_rng([seed, dim, p]).standard_normal((64, dim)) for p in passes]
                     planes[dim] = np.concatenate(draws)
-                signs = (planes[dim] @ _units([unit], kind)[0] > 0).reshape(len(passes), 64)
-                keys.append((signs * bits).sum(axis=1, dtype=np.uint64).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["row", "dim", "unit", "keys"]
-            )
+                signs = _units([units_[i] for i in rows], kind) @ planes[dim].T > 0
+                packed = np.packbits(signs.reshape(len(rows), n, 64), axis=2)  # the first plane is the highest bit
+                keys[rows] = packed.view(">u8")[..., 0].astype(np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, n, dtype=np.int32), keys.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["row", "dim", "unit", "keys"])
 
     return units.select("row", "dim", "unit").mapInArrow(run, "row long, dim int, unit binary, keys array<long>")
 
@@ -219,9 +232,13 @@ def _angles(members: DataFrame, kind: str) -> DataFrame:
             roots, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
             units = batch.column(1).to_pylist()
             lists = [np.zeros(0)] * len(roots)
-            for i, unit in zip(at.tolist(), units, strict=True):
-                x = _units([unit], kind)[0]
-                lists[i] = lists[i] + x if len(lists[i]) else x
+            dims = np.array([len(unit) for unit in units])  # one for all members of a root
+            for _, rows in _by_dim(dims):
+                x, own = _units([units[i] for i in rows], kind), at[rows]
+                order = np.argsort(own, kind="stable")
+                firsts = np.flatnonzero(np.diff(own[order], prepend=-1))
+                for i, total in zip(own[order][firsts].tolist(), np.add.reduceat(x[order], firsts), strict=True):
+                    lists[i] = lists[i] + total if len(lists[i]) else total
             yield pa.RecordBatch.from_arrays(
                 [pa.array(roots), pa.array([x.tolist() for x in lists], pa.list_(pa.float64()))], names=["root", "sum"]
             )
@@ -232,13 +249,17 @@ def _angles(members: DataFrame, kind: str) -> DataFrame:
 
     @F.arrow_udf(T.DoubleType())
     def angle(units: pa.Array, directions: pa.Array) -> pa.Array:
-        out = []
-        for unit, centre in zip(units.to_pylist(), directions.to_pylist(), strict=True):
-            c = np.array(centre)
-            size = np.sqrt(c @ c)
+        out = np.zeros(len(units))
+        flat, starts = directions.flatten().to_numpy(zero_copy_only=False), np.diff(directions.offsets.to_numpy())
+        ends = np.cumsum(starts)
+        units_ = units.to_pylist()
+        for dim, rows in _by_dim(starts):
+            c = flat[(ends[rows] - dim)[:, None] + np.arange(dim)]
+            size = np.sqrt(np.einsum("ij,ij->i", c, c))[:, None]
             # the angle of two unit vectors from their difference and sum keeps all digits
-            x, y = _units([unit], kind)[0], c / size if size > 0 else c
-            out.append(float(2 * np.arctan2(np.linalg.norm(x - y), np.linalg.norm(x + y))) if size > 0 else np.pi)
+            x, y = _units([units_[i] for i in rows], kind), c / np.where(size > 0, size, 1)
+            found = 2 * np.arctan2(np.linalg.norm(x - y, axis=1), np.linalg.norm(x + y, axis=1))
+            out[rows] = np.where(size[:, 0] > 0, found, np.pi)
         return pa.array(out, pa.float64())
 
     # Stored, so that Spark knows how few there are, and the join below may split a large component.

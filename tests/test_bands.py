@@ -4,6 +4,7 @@ import pytest
 
 from fixtures import rows
 from tracemill import frequency_bands
+from tracemill.operators.bands import band_cuts
 
 SHAPES = {
     "even": lambda r: list(range(100)),
@@ -32,6 +33,28 @@ def test_bands(spark, shape):
     assert sorted(set(bands)) == [float(k) for k in range(min(8, len(set(values))))]
 
 
+@pytest.mark.parametrize("shape", SHAPES)
+def test_runs_of_many_values_give_the_same_cuts(spark, shape):
+    """Runs that a boundary cuts are read; the rest are known by their moments."""
+    values = [float(v) for v in SHAPES[shape](random.Random(5))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert band_cuts(df, "v", runs=9) == band_cuts(df, "v")
+
+
+def test_rounds_read_nothing_where_a_run_is_a_value(spark, monkeypatch):
+    from tracemill.operators import bands
+
+    def no_reading(*_):
+        raise AssertionError("read")
+
+    df = spark.range(3000).selectExpr("cast(id * id as double) v")
+    cuts = band_cuts(df, "v", runs=50)
+    monkeypatch.setattr(bands._Histogram, "_read", no_reading)
+    assert band_cuts(df, "v") == cuts
+    with pytest.raises(AssertionError, match="read"):
+        band_cuts(df, "v", runs=50)
+
+
 def test_even_values_fill_bands_evenly(spark):
     df = spark.range(800).selectExpr("cast(id as double) v")
     sizes = [n for _, n in rows(frequency_bands(df, "v").groupBy("band").count(), "band", "count")]

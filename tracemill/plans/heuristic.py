@@ -99,14 +99,16 @@ def activity_nodes(model: ProcessModel) -> DataFrame:
 
 def dependency_bands(model: ProcessModel) -> list[float]:
     """Cut points over the distinct dependencies of the matrix that are not negative."""
-    cells = written(dependency_cells(model).select("dependency"), "cells")
-    seen = cells.where("dependency >= 0").select("dependency")
+    cells = dependency_cells(model).groupBy("dependency").agg(F.count(F.lit(1)).alias("n"))
+    cells = written(cells, "cells")
     size = model.activities.agg(F.count(F.lit(1)).alias("n"))
     zero = (
-        size.where(F.col("n") * F.col("n") > cells.agg(F.count(F.lit(1))).scalar())
+        size.where(F.col("n") * F.col("n") > cells.agg(F.sum("n")).scalar())
         .select(F.lit(0.0).alias("dependency"))
     )
-    return band_cuts(seen.unionByName(zero).distinct(), "dependency")
+    seen = cells.where("dependency > 0").select("dependency")
+    zero = zero.unionByName(cells.where("dependency = 0").select("dependency")).limit(1)
+    return band_cuts(seen.unionByName(zero), "dependency")
 
 
 def terminal_edges(model: ProcessModel) -> DataFrame:

@@ -922,6 +922,35 @@ _query(
 )
 
 
+# Two sides of a ladder whose rungs are all orders, in key order: every step forks.
+def _ladder(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey").distinct()
+    ranks = ranked(orders, ["o_orderkey"], "rank")
+    after = ranks.select((F.col("rank") - 1).alias("rank"), F.col("o_orderkey").alias("b"))
+    up = ranks.join(after, "rank").select(F.col("o_orderkey").alias("a"), "b")
+    ends = up.selectExpr("inline(array(struct(a as x, b as y), struct(-a as x, -b as y)))")
+    across = orders.selectExpr("inline(array(struct(o_orderkey as x, -o_orderkey as y), struct(-o_orderkey as x, o_orderkey as y)))")
+    node = lambda c: F.col(c).cast("string")
+    kind = F.lit("activity")
+    graph = tm.ProcessGraph(
+        orders.selectExpr("explode(array(o_orderkey, -o_orderkey)) as node").select(node("node").alias("node"), kind.alias("node_kind")),
+        ends.union(across).select(
+            node("x").alias("src"), kind.alias("src_kind"), node("y").alias("dst"), kind.alias("dst_kind")
+        ),
+    )
+    middle = orders.agg(F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY o_orderkey) as bigint)").alias("m"))
+    return tm.reachable(graph, graph.nodes.join(middle, F.col("node") == F.col("m").cast("string")))
+
+
+_query(
+    "reachable_ladder_orders",
+    _ladder,
+    """WITH middle AS (SELECT quantile_disc(o_orderkey, 0.5) AS m FROM orders),
+        sides AS (SELECT o_orderkey, unnest([o_orderkey, -o_orderkey]) AS node FROM orders)
+        SELECT node::VARCHAR AS node, 'activity' AS node_kind, o_orderkey >= m AS reached FROM sides, middle""",
+)
+
+
 def _rounding(spark, sf_dir):
     x = (F.col("l_quantity") / 200).alias("x")
     shares = _table(spark, sf_dir, "lineitem").select(x).groupBy("x").agg(F.count(F.lit(1)).alias("n"))

@@ -62,6 +62,42 @@ def test_reachable(spark, plain_rounds):
         assert got == [(f"n{i:02d}", i in seen) for i in range(n)]
 
 
+@pytest.mark.parametrize("both_ways", [False, True])
+def test_a_ladder_takes_few_rounds(spark, monkeypatch, both_ways):
+    """Every step forks and joins: no path is plain, and single edges would take a round per rung."""
+    from tracemill import storage
+    from tracemill.operators import graph as module
+
+    rungs, stored = 1500, []
+    monkeypatch.setattr(storage, "new_dir", lambda s, label, f=storage.new_dir: stored.append(label) or f(s, label))
+    adds = []
+    add = module.Collected.add
+    monkeypatch.setattr(module.Collected, "add", lambda self, df: adds.append(1) or add(self, df))
+    side = "concat(s, lpad(i, 5, '0'))"
+    nodes = spark.range(rungs).selectExpr("id as i", "explode(array('l', 'r')) as s")
+    up = nodes.where(f"i < {rungs - 1}").selectExpr(f"{side} as src", "concat(s, lpad(i + 1, 5, '0')) as dst")
+    across = nodes if both_ways else nodes.where("s = 'l'")
+    across = across.selectExpr(f"{side} as src", "concat(if(s = 'l', 'r', 'l'), lpad(i, 5, '0')) as dst")
+    edges = up.union(across).selectExpr("src", "'activity' as src_kind", "dst", "'activity' as dst_kind")
+    g = ProcessGraph(nodes.selectExpr(f"{side} as node", "'activity' as node_kind"), edges)
+    middle = rungs // 2 if both_ways else 0
+    found = reachable(g, g.nodes.where(f"node = 'l{middle:05d}'")).where("reached").count()
+    assert found == 2 * (rungs - middle)
+    assert len(adds) + len(stored) < 90
+
+
+def test_shortcuts_are_ways(spark):
+    from tracemill.operators.graph import _jumps
+
+    r = random.Random(4)
+    links = sorted({(r.randrange(30), r.randrange(30)) for _ in range(45)})
+    reach = {a: {b for x, b in links if x == a} for a in range(30)}
+    for _ in range(30):
+        reach = {a: s.union(*(reach[b] for b in s)) for a, s in reach.items()}
+    jumps = _jumps(spark.createDataFrame(links, "a int, b int"), fan=3).collect()
+    assert jumps and all(b in reach[a] for a, b in jumps)
+
+
 def test_degrees_and_summary(spark):
     g = graph_of(spark, 4, [(0, 1), (0, 2), (1, 2)])
     assert rows(degrees(g), "node", "in_degree", "out_degree") == [

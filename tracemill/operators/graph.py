@@ -8,6 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemill.storage import Collected, written
 
@@ -73,6 +74,8 @@ def summary(graph: ProcessGraph) -> DataFrame:
 
 #: Rounds along single edges before whole paths are followed at once.
 PLAIN_ROUNDS = 8
+#: Shortcuts per node and length, where paths fork at every step.
+FAN = 4
 
 
 def reachable(
@@ -81,8 +84,10 @@ def reachable(
     """Nodes with ``reached``: can they be got to from ``roots`` (default: all source nodes)?
 
     Each round joins the nodes reached last to the edges, until nothing is new. After some rounds, paths
-    without forks and joins are followed to their ends at once, so that rounds grow with the forks
-    along a path and not with its length.
+    without forks and joins are followed to their ends at once. After as many again, shortcuts of doubling
+    length lead from every node that is left to a few of those behind it, so that rounds grow with the
+    logarithm of the longest way also where every step forks. A shortcut stands for a way along edges, and the
+    rounds still follow every edge, so the answer does not depend on the shortcuts; only their number does.
     """
     if roots is None:
         roots = source_nodes(graph)
@@ -95,9 +100,13 @@ def reachable(
     links = written(links.where("a <> b").distinct(), "links")
     seen = Collected(links.sparkSession, links.select("a").schema, "seen")
     new = seen.add(start.select(F.struct("node_kind", "node").alias("a")))
-    rounds, paths = 0, None
+    rounds, paths, jumps = 0, None, None
     while not new.isEmpty():
-        onward = links.join(new, "a", "left_semi").select(F.col("b").alias("a"))
+        if rounds >= 2 * plain_rounds and jumps is None:
+            links = _left(links, seen.table())
+            jumps = _jumps(links)
+        onward = (links if jumps is None else links.unionByName(jumps)).join(new, "a", "left_semi")
+        onward = onward.select(F.col("b").alias("a"))
         if rounds >= plain_rounds:
             paths = _paths(links) if paths is None else paths
             onward = onward.unionByName(_along(paths, new))
@@ -109,6 +118,33 @@ def reachable(
     )
 
 
+def _left(links: DataFrame, seen: DataFrame) -> DataFrame:
+    """The edges to nodes that have not been reached."""
+    return written(links.join(seen.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "links")
+
+
+def _jumps(links: DataFrame, fan: int = FAN) -> DataFrame:
+    """``a, b``: up to ``fan`` nodes behind each node, for every length 2, 4, 8, .. of the way to them.
+
+    Which ones is settled by hashes of node, length and target, so a node goes another way at every length
+    and closed ways do not hold it. There are ``fan`` rows per node and length at most.
+    """
+    jumps = Collected(links.sparkSession, links.schema, "jumps")
+
+    def some(ways: DataFrame, level: int) -> DataFrame:
+        by_hash = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(level)), "b")
+        return ways.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= fan).drop("n")
+
+    last = written(some(links, 0), "jumps")
+    for level in range(1, links.select("a").distinct().count().bit_length() + 1):
+        further = last.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        twice = last.join(further, "b").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+        last = jumps.add(some(twice, level))
+        if last.isEmpty():
+            break
+    return jumps.table()
+
+
 def _paths(links: DataFrame) -> DataFrame:
     """``a, path, left``: nodes on a path without forks and joins, the path's end, and the steps to it.
 

@@ -194,3 +194,28 @@ def test_clusters_against_sequential_rule(spark, seed):
     got = rows(found, "param_id", "activity", "leader")
     for i, g in enumerate(graphs):
         assert {a: s for p, a, s in got if p == i} == sequential(*g)
+
+
+def test_a_sweep_stores_each_outcome_once(spark, bases):
+    """Of 101 neighbouring settings, links are stored once per set of live nodes and outcomes once per outcome."""
+    base, traces = bases["parcel"], LOGS["parcel"]
+    params = [FuzzyParams(0.6, c / 100, 0.4, 0.5) for c in range(101)]
+    params += [FuzzyParams(0.6, 0.3, e / 50, 0.5) for e in range(51)]
+    run = FuzzyRun(base, params)
+    live = {i: frozenset() for i in range(len(params))}
+    for i, activity in rows(run.live, "param_id", "activity"):
+        live[i] |= {activity}
+    assert len(run._link_members) <= len(set(live.values())) < 10
+    assert len(run._members) < 80
+    stored = run._links.scaled.groupBy("param_id").count().count()
+    assert stored <= len(run._link_members)
+    some = [0, 1, 17, 30, 31, 55, 100, 101, 121, 122, 151]
+    edges = rows(run.edges, "param_id", "src", "src_kind", "dst", "dst_kind", "value", "links")
+    for i in some[::3]:
+        alone = rows(FuzzyRun(base, [params[i]]).edges, "src", "src_kind", "dst", "dst_kind", "value", "links")
+        assert [e[1:] for e in edges if e[0] == i] == alone
+    owner = rows(run.clusters, "param_id", "activity", "leader")
+    for i in some:
+        p = params[i]
+        own = brute(traces, p.significance, p.correlation, p.edge_cutoff, p.utility_ratio)[2]
+        assert {a: s for q, a, s in owner if q == i} == own

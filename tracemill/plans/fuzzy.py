@@ -2,14 +2,16 @@
 edges between plain nodes are filtered.
 
 ``FuzzyBase`` holds what does not depend on the settings. ``FuzzyRun`` answers any number of
-settings at once; every table carries ``param_id``. No step pairs all activities: pairs that never
+settings at once; every table carries ``param_id``. Settings that no value of the log tells apart are
+mined once, and pairs are stored once for all settings that differ in the edge cutoff, or in how they
+cluster. No step pairs all activities: pairs that never
 occur have correlation 0, and their part in the edge filter follows from how many activities
 share each of the at most 101 significance values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Hashable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -97,18 +99,30 @@ class FuzzyBase:
         return self.pairs.join(ends["src"], "src").join(ends["dst"], "dst")
 
 
-class FuzzyRun:
-    """All tables of the miner for a list of settings."""
+def _expanded(table: DataFrame, members: list[list[int]]) -> DataFrame:
+    """``table`` with a copy of the rows of class ``param_id`` for each of its members."""
+    if all(m == [i] for i, m in enumerate(members)):
+        return table
+    ids = ", ".join(f"array({', '.join(f'{i}L' for i in m)})" for m in members)
+    return table.withColumn("param_id", F.expr(f"explode(array({ids})[cast(param_id as int)])"))
+
+
+def _classes(keys: Sequence[Hashable]) -> list[list[int]]:
+    """The places of equal keys, in the order of their first ones."""
+    places: dict[Hashable, list[int]] = {}
+    for i, key in enumerate(keys):
+        places.setdefault(key, []).append(i)
+    return list(places.values())
+
+
+class _Nodes:
+    """The nodes that go, stay, and begin clusters, under each setting."""
 
     def __init__(self, base: FuzzyBase, params: Sequence[FuzzyParams]):
-        if not params:
-            raise ValueError("no settings given")
         self.base = base
         self.params = list(params)
         self._rows = param_rows(self.params)
 
-    # -- nodes ---------------------------------------------------------------
-
     @cached_property
     def _all_nodes(self) -> DataFrame:
         per_param = self.base.nodes.select("*", F.inline(self._rows))
@@ -131,7 +145,9 @@ class FuzzyRun:
             "param_id", "activity"
         )
 
-    # -- edge filter ---------------------------------------------------------
+
+class _Links(_Nodes):
+    """Pairs between live nodes and their utility, before the edge cutoff."""
 
     @property
     def _live_links(self) -> DataFrame:
@@ -198,27 +214,41 @@ class FuzzyRun:
         )
 
     @cached_property
-    def links(self) -> DataFrame:
-        """``param_id, src, dst, cnt, corr, util, norm`` of the pairs between live nodes."""
+    def scaled(self) -> DataFrame:
+        """``param_id, src, dst, cnt, corr, util, scaled``: the place of ``util`` in its target's bounds."""
+        columns = ("param_id", "src", "dst", "cnt", "corr")
         if not any(p.filters_edges for p in self.params):
-            plain = self._live_links
-            zero = F.lit(0.0)
-            return written(
-                plain.select(*self._link_columns, zero.alias("util"), zero.alias("norm")), "links"
-            )
+            none = F.lit(None).cast("double").alias("scaled")
+            return written(self._live_links.select(*columns, F.lit(0.0).alias("util"), none), "links")
         above = F.col("util") - F.col("min_util")
         span = F.col("max_util") - F.col("min_util")
         scaled = F.when((above != 0) & (span != 0), np2(above / span))
-        keeps = (scaled >= F.col("edge_cutoff")) & (scaled > 0) & (F.col("corr") > 0)
-        keeps = keeps & ~F.expr("utility_ratio = 0 and edge_cutoff = 0")
         return written(
             self.utility.join(self.utility_bounds, ["param_id", "dst"]).select(
-                *self._link_columns, "util", F.when(keeps, scaled).otherwise(0.0).alias("norm")
+                *columns, "util", scaled.alias("scaled")
             ),
             "links",
         )
 
-    _link_columns = ("param_id", "src", "dst", "cnt", "corr", "src_sig", "dst_sig", *_SETTINGS)
+
+class _Mined(_Nodes):
+    """All tables for settings that differ in their outcome; ``of_links`` has the settings of each class of links."""
+
+    def __init__(self, base: FuzzyBase, params: Sequence[FuzzyParams], links: _Links, of_links: list[list[int]]):
+        super().__init__(base, params)
+        self._links, self._of_links = links, of_links
+
+    @property
+    def links(self) -> DataFrame:
+        """``param_id, src, dst, cnt, corr, util, norm`` and settings, of the pairs between live nodes."""
+        scaled, cutoff = F.col("scaled"), F.col("edge_cutoff")
+        keeps = (scaled >= cutoff) & (scaled > 0) & (F.col("corr") > 0)
+        keeps = keeps & ~F.expr("utility_ratio = 0 and edge_cutoff = 0")
+        each = _expanded(self._links.scaled, self._of_links)
+        settings = self._rows[F.col("param_id").cast("int")]
+        return each.select("*", *(settings[name].alias(name) for name in _SETTINGS)).withColumn(
+            "norm", F.when(keeps, scaled).otherwise(0.0)
+        )
 
     @property
     def normalised(self) -> DataFrame:
@@ -343,14 +373,7 @@ class FuzzyRun:
         """``param_id, activity, freq, sig`` of live nodes in no cluster."""
         return self.live.join(self.clusters, ["param_id", "activity"], "left_anti")
 
-    def graph(self, sizes: bool = True) -> ProcessGraph:
-        """Nodes and edges of every setting; ``sizes=False`` leaves out the banded sizes.
-
-        Nothing runs before the nodes or the edges are asked for, and each is found without the other.
-        """
-        return ProcessGraph(lambda: self._graph_nodes(sizes), lambda: self._graph_edges(sizes))
-
-    def _graph_nodes(self, sizes: bool) -> DataFrame:
+    def graph_nodes(self, sizes: bool) -> DataFrame:
         plain = self.plain_nodes.select(
             "param_id",
             F.col("activity").alias("node"),
@@ -375,10 +398,148 @@ class FuzzyRun:
             )
         return plain.unionByName(grouped, allowMissingColumns=True)
 
-    def _graph_edges(self, sizes: bool) -> DataFrame:
+    def graph_edges(self, sizes: bool) -> DataFrame:
         return self.edges.withColumn("penwidth", F.lit(EDGE_WIDTH)) if sizes else self.edges
 
 
+class FuzzyRun:
+    """All tables of the miner for a list of settings.
+
+    What a setting does follows from which nodes go, which begin clusters, and which correlations reach its
+    threshold. These values have two decimals, so at most 10,201 pairs of them (one row each) tell all settings
+    apart; settings with one outcome are mined and stored once, and their rows are copied only in the output.
+    """
+
+    def __init__(self, base: FuzzyBase, params: Sequence[FuzzyParams]):
+        if not params:
+            raise ValueError("no settings given")
+        self.base = base
+        self.params = list(params)
+
+    @cached_property
+    def _keys(self) -> list[tuple[Hashable, Hashable]]:
+        """Per setting, what its links depend on, and what else its outcome depends on."""
+        if len(self.params) == 1:
+            return [(0, 0)]
+        values = self.base.nodes.select("sig", "strongest", "only_node").distinct().collect()
+        shares = [c for (c,) in self.base.pairs.select("corr").distinct().collect()]
+        keys = []
+        for p in self.params:
+            low = [sig < p.significance for sig, _, _ in values]
+            gone = bytes(
+                only or (below and strongest < p.correlation)
+                for (_, strongest, only), below in zip(values, low, strict=True)
+            )
+            links = (gone, p.utility_ratio, p.filters_edges)
+            seeds = bytes(below and not out for below, out in zip(low, gone, strict=True))
+            weak = sum(c < p.correlation for c in shares)
+            keys.append((links, (seeds, p.edge_cutoff, p.correlation == 0, weak)))
+        return keys
+
+    @cached_property
+    def _members(self) -> list[list[int]]:
+        """The settings of each outcome."""
+        return _classes(self._keys)
+
+    @cached_property
+    def _link_members(self) -> list[list[int]]:
+        """The settings of each class of links."""
+        return _classes([links for links, _ in self._keys])
+
+    @cached_property
+    def _links(self) -> _Links:
+        return _Links(self.base, [self.params[m[0]] for m in self._link_members])
+
+    @cached_property
+    def _mined(self) -> _Mined:
+        first = [m[0] for m in self._members]
+        of_links = _classes([self._keys[i][0] for i in first])
+        return _Mined(self.base, [self.params[i] for i in first], self._links, of_links)
+
+    def _all(self, table: DataFrame) -> DataFrame:
+        return _expanded(table, self._members)
+
+    @property
+    def removed(self) -> DataFrame:
+        """``param_id, activity``"""
+        return self._all(self._mined.removed)
+
+    @property
+    def live(self) -> DataFrame:
+        """``param_id, activity, freq, sig`` of the nodes that stay."""
+        return self._all(self._mined.live)
+
+    @property
+    def seeds(self) -> DataFrame:
+        """``param_id, activity`` of the nodes that stay but are below the significance."""
+        return self._all(self._mined.seeds)
+
+    @property
+    def utility(self) -> DataFrame:
+        """``param_id, src, dst, cnt, corr, util`` of the pairs that occur between live nodes."""
+        utility = self._links.utility.select("param_id", "src", "dst", "cnt", "corr", "util")
+        return _expanded(utility, self._link_members)
+
+    @property
+    def utility_bounds(self) -> DataFrame:
+        """``param_id, dst, max_util, min_util`` over all live sources of a target."""
+        return _expanded(self._links.utility_bounds, self._link_members)
+
+    @property
+    def links(self) -> DataFrame:
+        """``param_id, src, dst, cnt, corr, util, norm`` of the pairs between live nodes."""
+        return self._all(self._mined.links.select("param_id", "src", "dst", "cnt", "corr", "util", "norm"))
+
+    @property
+    def normalised(self) -> DataFrame:
+        """``param_id, src, dst, util, norm``"""
+        return self._all(self._mined.normalised)
+
+    @property
+    def filtered(self) -> DataFrame:
+        """``param_id, src, dst`` that the filter takes out of the edges between plain nodes."""
+        return self._all(self._mined.filtered)
+
+    @property
+    def clusters(self) -> DataFrame:
+        """``param_id, activity, leader`` of the clustered nodes."""
+        return self._all(self._mined.clusters)
+
+    @property
+    def cluster_nodes(self) -> DataFrame:
+        """``param_id, leader, number, size, sig``; numbered from 1 in the order of leaders."""
+        return self._all(self._mined.cluster_nodes)
+
+    @property
+    def cluster_names(self) -> DataFrame:
+        """``param_id, leader, position, activity``: the members in label order, from 1."""
+        return self._all(self._mined.cluster_names)
+
+    @property
+    def node_significance(self) -> DataFrame:
+        """``param_id, activity, sig, removed`` after clustering, for every activity."""
+        return self._all(self._mined.node_significance)
+
+    @property
+    def edges(self) -> DataFrame:
+        """``param_id, src, src_kind, dst, dst_kind, value, links``; a cluster goes by its leader."""
+        return self._all(self._mined.edges)
+
+    @property
+    def plain_nodes(self) -> DataFrame:
+        """``param_id, activity, freq, sig`` of live nodes in no cluster."""
+        return self._all(self._mined.plain_nodes)
+
+    def graph(self, sizes: bool = True) -> ProcessGraph:
+        """Nodes and edges of every setting; ``sizes=False`` leaves out the banded sizes.
+
+        Nothing runs before the nodes or the edges are asked for, and each is found without the other.
+        """
+        return ProcessGraph(
+            lambda: self._all(self._mined.graph_nodes(sizes)), lambda: self._all(self._mined.graph_edges(sizes))
+        )
+
+
 def fuzzy_graph(
     model: ProcessModel,
     significance: float = 0.0,

@@ -562,6 +562,23 @@ for _name in ("lineitem", "conversations", "banded"):
     )
 
 
+def _saved_sweep(spark, sf_dir):
+    path = new_dir(spark, "model")
+    tm.save_model(_model(spark, sf_dir, "words"), path)
+    return tm.heuristic_sweep(tm.load_model(spark, path), [tm.HeuristicParams(t, 2) for t in (0.6, 0.75, 0.9)])
+
+
+_query(
+    "heuristic_sweep_saved_words",
+    _saved_sweep,
+    _sql_log("words") + _SQL_DEP + """, params(param_id, threshold, min_frequency) AS
+        (VALUES (0, 0.6::DOUBLE, 2), (1, 0.75::DOUBLE, 2), (2, 0.9::DOUBLE, 2))
+        SELECT param_id::BIGINT AS param_id, threshold, min_frequency::BIGINT AS min_frequency,
+            src, dst, cnt, dependency
+        FROM params JOIN dep ON dependency >= threshold AND cnt >= min_frequency""",
+)
+
+
 # -- fuzzy miner -------------------------------------------------------------------
 
 MAIN = (0.3, 0.1, 0.4, 0.5)

@@ -4,12 +4,15 @@ import pytest
 
 from fixtures import LOGS, model_of, rows
 from tracemill import (
+    HeuristicParams,
     ProcessGraph,
+    dependency_edges,
     degrees,
     fuzzy_dot,
     fuzzy_graph,
     heuristic_dot,
     heuristic_graph,
+    heuristic_sweep,
     load_model,
     reachable,
     redraw,
@@ -174,6 +177,37 @@ def test_save_and_load(spark, tmp_path):
     assert rows(redraw(again, sizes=False).nodes, "node") == nodes
 
 
+def test_a_threshold_reads_only_the_pairs_that_reach_it(spark, tmp_path):
+    """Files of pairs hold ranges of dependencies that do not overlap, and the filter reaches their statistics."""
+    import pyarrow.parquet as pq
+
+    r = random.Random(3)
+    model = model_of(spark, [[r.choice("abcdefghij") for _ in range(r.randint(1, 9))] for _ in range(60)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        save_model(model, str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = load_model(spark, str(tmp_path / "m"))
+    ranges = []
+    for file in (tmp_path / "m").glob("version-*/pairs/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = meta.schema.names.index("dependency")
+        found = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+        ranges += [(x.min, x.max) for x in found]
+    ranges.sort()
+    assert len(ranges) > 2 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    for threshold in (-0.5, 0.0, 0.3, 0.9):
+        fresh, loaded = (dependency_edges(m, threshold, 1) for m in (model, back))
+        assert rows(fresh, *fresh.columns) == rows(loaded, *fresh.columns)
+        plan = loaded._jdf.queryExecution().toString()
+        assert f"GreaterThanOrEqual(dependency,{threshold})" in plan and "Exchange" not in plan
+    settings = [HeuristicParams(t, 1) for t in (0.2, 0.4)]
+    fresh, loaded = (heuristic_sweep(m, settings) for m in (model, back))
+    assert rows(fresh, *fresh.columns) == rows(loaded, *fresh.columns)
+    assert "GreaterThanOrEqual(dependency,0.2)" in loaded._jdf.queryExecution().toString()
+
+
 def test_an_interrupted_save_leaves_the_old_model(spark, tmp_path, monkeypatch):
     """A save that stops between its tables, or just before it is put in force, is as if it had not begun."""
     from tracemill.sinks import models

@@ -70,7 +70,8 @@ def _per_case(log: EventLog, of_row, of_events) -> DataFrame:
 @dataclass
 class ProcessModel:
     """What both miners start from. ``miner`` and ``params`` are the miner and the settings that
-    last drew a graph from it; they are kept on saving."""
+    last drew a graph from it; they are kept on saving. A model that was loaded has ``pairs``: the pairs that
+    occur, with their dependency and in its order, so that a threshold reads only what reaches it."""
 
     activities: DataFrame
     dfg: DataFrame
@@ -78,6 +79,7 @@ class ProcessModel:
     ends: DataFrame
     params: dict[str, float] | None = None
     miner: str | None = None
+    pairs: DataFrame | None = None
 
 
 def base_model(log: EventLog) -> ProcessModel:

@@ -56,6 +56,8 @@ def zero_cells(model: ProcessModel) -> DataFrame:
 
 def dependencies(model: ProcessModel) -> DataFrame:
     """``src, dst, cnt, dependency`` of the pairs that occur."""
+    if model.pairs is not None:
+        return model.pairs
     return dependency_cells(model).where("cnt > 0").select("src", "dst", "cnt", "dependency")
 
 
@@ -75,7 +77,8 @@ def heuristic_sweep(model: ProcessModel, params: Sequence[HeuristicParams]) -> D
         param_rows(params),
         lambda p: (F.col("dep") >= p["dependency"]) & (F.col("cnt") >= p["min_frequency"]),
     )
-    pairs = dependencies(model).withColumnRenamed("dependency", "dep")
+    lowest = min((float(p.dependency) for p in params), default=0.0)
+    pairs = dependencies(model).where(F.col("dependency") >= F.lit(lowest)).withColumnRenamed("dependency", "dep")
     return pairs.select("src", "dst", "cnt", "dep", F.inline(fits)).select(
         "param_id", F.col("dependency").alias("threshold"), "min_frequency",
         "src", "dst", "cnt", F.col("dep").alias("dependency"),

@@ -759,6 +759,19 @@ _query(
     lambda s, d: _run(s, d, "banded", GRID).graph(sizes=False).edges,
     _sql_fuzzy("banded", GRID) + "SELECT * FROM edges",
 )
+# Neighbouring settings, most of which have the outcome of another one.
+NEIGHBOURS = [(0.5, c / 100, 0.4, 0.5) for c in range(31)] + [(0.5, 0.1, e / 10, 0.5) for e in range(11)]
+for _what in ("normalised_utility", "cluster_members"):
+    _query(
+        f"fuzzy_sweep_neighbours_{_what}",
+        lambda s, d, p=_FUZZY[_what][0]: p(_run(s, d, "conversations", NEIGHBOURS)),
+        _sql_fuzzy("conversations", NEIGHBOURS) + _FUZZY[_what][1],
+    )
+    _query(
+        f"fuzzy_sweep_neighbours_{_what}_banded",
+        lambda s, d, p=_FUZZY[_what][0]: p(_run(s, d, "banded", NEIGHBOURS)),
+        _sql_fuzzy("banded", NEIGHBOURS) + _FUZZY[_what][1],
+    )
 
 for _name, _p in (("banded", MAIN), ("banded", GRID[0]), ("conversations", (0.5, 0.2, 0.1, 0.5)), ("lineitem", (0.5, 0.3, 0.2, 0.3))):
     _tag = f"{_name}_" + "_".join(str(v).replace(".", "") for v in _p)

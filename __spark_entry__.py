@@ -14,6 +14,7 @@ Logs (case / order / activity):
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1006,11 +1007,17 @@ _query(
 
 # -- text operators and the pipeline on them -------------------------------------------
 
+# Its own absence, and that of a library it needs, leaves the text part out.
+_TEXT_PART = ("corpus_pipeline", "tracemill.llm")
+_TEXT_LIBRARIES = ("numpy", "pandas", "public_tokenizers", "pyarrow", "regex", "tokenizers", "xxhash", "zstandard")
+
 try:
     import corpus_pipeline
     from tracemill.llm import queries as text_queries
-except ModuleNotFoundError as missing:  # only their own absence is expected
-    if missing.name not in ("corpus_pipeline", "tracemill.llm"):
+except ModuleNotFoundError as missing:
+    if missing.name in _TEXT_LIBRARIES:
+        warnings.warn(f"no text operators: {missing.name} is not installed", stacklevel=2)
+    elif missing.name not in _TEXT_PART:
         raise
 else:
     _QUERIES.update(text_queries.QUERIES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.bands import band_cuts, band_of
@@ -23,19 +23,28 @@ def dependency_cells(model: ProcessModel) -> DataFrame:
     """``src, dst, cnt, rev, dependency`` for pairs seen in either direction.
 
     All other cells of the dependency matrix are 0, so this is the whole matrix; ``zero_cells``
-    counts what is left out. Both directions of a pair come together in one grouping, without a
-    join.
+    counts what is left out. Both directions of a pair come together in one grouping by its two
+    activities in label order, without a join, and part only after it: every pair is shuffled once.
     """
+    forward = F.col("src") <= F.col("dst")
     zero = F.lit(0).cast("long")
-    both = F.array(
-        F.struct(F.col("src"), F.col("dst"), F.col("cnt"), zero.alias("rev")),
-        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), zero.alias("cnt"), F.col("cnt").alias("rev")),
-    )
-    cells = (
-        model.dfg.select(F.inline(both))
-        .groupBy("src", "dst")
-        .agg(F.sum("cnt").alias("cnt"), F.sum("rev").alias("rev"))
+    ways = model.dfg.select(
+        F.least("src", "dst").alias("low"),
+        F.greatest("src", "dst").alias("high"),
+        F.when(forward, F.col("cnt")).otherwise(zero).alias("up"),
+        F.when(forward, zero).otherwise(F.col("cnt")).alias("down"),
     )
+    both = ways.groupBy("low", "high").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    same = F.col("low") == F.col("high")
+
+    def cell(src: str, dst: str, cnt: str, rev: str) -> Column:
+        return F.struct(
+            F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(cnt).alias("cnt"), F.col(rev).alias("rev")
+        )
+
+    to_itself = F.array(cell("low", "high", "up", "up"))
+    to_other = F.array(cell("low", "high", "up", "down"), cell("high", "low", "down", "up"))
+    cells = both.select(F.inline(F.when(same, to_itself).otherwise(to_other)))
     cnt, rev = F.col("cnt"), F.col("rev")
     dependency = F.when(F.col("src") == F.col("dst"), cnt / (cnt + 1)).otherwise(
         (cnt - rev) / (cnt + rev + 1)

@@ -13,7 +13,7 @@ from tracemill.operators.graph import ProcessGraph
 from tracemill.plans.fuzzy import fuzzy_graph
 from tracemill.plans.heuristic import dependencies, heuristic_graph
 
-_TABLES = tuple(f.name for f in fields(ProcessModel) if f.name not in ("params", "miner", "pairs"))
+_TABLES = tuple(f.name for f in fields(ProcessModel) if f.name not in ("dfg", "params", "miner"))
 
 #: A model's folder holds versions, and the file that names the one in force.
 _CURRENT = "CURRENT"
@@ -21,7 +21,7 @@ _VERSION = "version-"
 
 
 def save_model(model: ProcessModel, path: str, overwrite: bool = False) -> None:
-    """Write the tables of a model, its pairs by dependency, and its settings as rows ``name, value, miner``.
+    """Write the tables of a model, its pairs once, by dependency, and its settings as rows ``name, value, miner``.
 
     All of it goes into a version of its own under ``path``. The version is in force once the file that names it is
     put in place by a rename, after everything is written; so whoever loads gets the old model or the new one, and
@@ -33,10 +33,10 @@ def save_model(model: ProcessModel, path: str, overwrite: bool = False) -> None:
     if old is not None and not overwrite:
         raise FileExistsError(f"{path} is there already; overwrite=True puts a new version in force")
     version = _VERSION + uuid.uuid4().hex
-    for name in _TABLES:
-        getattr(model, name).write.parquet(f"{path}/{version}/{name}")
     by_dependency = dependencies(model).repartitionByRange("dependency").sortWithinPartitions("dependency")
-    by_dependency.write.parquet(f"{path}/{version}/pairs")
+    for name in _TABLES:
+        table = by_dependency if name == "pairs" else getattr(model, name)
+        table.write.parquet(f"{path}/{version}/{name}")
     settings = [
         F.struct(F.lit(k).alias("name"), F.lit(float(v)).alias("value"), F.lit(model.miner).cast("string").alias("miner"))
         for k, v in sorted((model.params or {}).items())
@@ -82,11 +82,12 @@ def load_model(spark: SparkSession, path: str) -> ProcessModel:
     version = current_version(spark, path)
     if version is None:
         raise FileNotFoundError(f"no saved model at {path}")
-    tables = {name: spark.read.parquet(f"{path}/{version}/{name}") for name in (*_TABLES, "pairs")}
+    tables = {name: spark.read.parquet(f"{path}/{version}/{name}") for name in _TABLES}
     settings = spark.read.parquet(f"{path}/{version}/params").collect()  # a row per setting of the miner
     params = {r["name"]: r["value"] for r in settings}
     miner = next((r["miner"] for r in settings), None)
-    return ProcessModel(**tables, params=params or None, miner=miner)
+    dfg = tables["pairs"].select("src", "dst", "cnt")
+    return ProcessModel(**tables, dfg=dfg, params=params or None, miner=miner)
 
 
 def redraw(model: ProcessModel, sizes: bool = True) -> ProcessGraph:

@@ -6,10 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill.operators.forest import ends_of
 from tracemill.storage import Collected, written
 
 
@@ -72,10 +73,13 @@ def summary(graph: ProcessGraph) -> DataFrame:
     return nodes.withColumn("edges", graph.edges.agg(count).scalar())
 
 
-#: Rounds along single edges before whole paths are followed at once.
+#: Rounds along single edges before nodes of one fate are merged, and before shortcuts are made.
 PLAIN_ROUNDS = 8
 #: Shortcuts per node and length, where paths fork at every step.
 FAN = 4
+#: Stands for all nodes that have been reached; no key is empty.
+_ORIGIN = ""
+_KEY = "a string"
 
 
 def reachable(
@@ -83,8 +87,9 @@ def reachable(
 ) -> DataFrame:
     """Nodes with ``reached``: can they be got to from ``roots`` (default: all source nodes)?
 
-    Each round joins the nodes reached last to the edges, until nothing is new. After some rounds, paths
-    without forks and joins are followed to their ends at once. After as many again, shortcuts of doubling
+    Each round joins the nodes reached last to the edges, until nothing is new. After some rounds, nodes that share
+    their fate are merged (see :func:`_merged`), which takes long paths, trees and ways in both directions at once, and
+    the rounds go on between what is left. After as many again, shortcuts of doubling
     length lead from every node that is left to a few of those behind it, so that rounds grow with the
     logarithm of the longest way also where every step forks. A shortcut stands for a way along edges, and the
     rounds still follow every edge, so the answer does not depend on the shortcuts; only their number does.
@@ -93,34 +98,88 @@ def reachable(
         roots = source_nodes(graph)
     kinds = graph.nodes.select("node", "node_kind")
     start = roots.select("node", "node_kind").distinct().join(kinds, ["node", "node_kind"], "left_semi")
-    links = graph.edges.select(
-        F.struct(F.col("src_kind").alias("node_kind"), F.col("src").alias("node")).alias("a"),
-        F.struct(F.col("dst_kind").alias("node_kind"), F.col("dst").alias("node")).alias("b"),
-    )
+    links = graph.edges.select(_key("src", "src_kind").alias("a"), _key("dst", "dst_kind").alias("b"))
     links = written(links.where("a <> b").distinct(), "links")
-    seen = Collected(links.sparkSession, links.select("a").schema, "seen")
-    new = seen.add(start.select(F.struct("node_kind", "node").alias("a")))
-    rounds, paths, jumps = 0, None, None
-    while not new.isEmpty():
-        if rounds >= 2 * plain_rounds and jumps is None:
-            links = _left(links, seen.table())
-            jumps = _jumps(links)
-        onward = (links if jumps is None else links.unionByName(jumps)).join(new, "a", "left_semi")
-        onward = onward.select(F.col("b").alias("a"))
-        if rounds >= plain_rounds:
-            paths = _paths(links) if paths is None else paths
-            onward = onward.unionByName(_along(paths, new))
-        new = seen.add(onward.distinct().join(seen.table(), "a", "left_anti"))
-        rounds += 1
-    reached = seen.table().select("a.node", "a.node_kind", F.lit(True).alias("reached"))
-    return kinds.join(reached, ["node", "node_kind"], "left").select(
+    seen = Collected(links.sparkSession, _KEY, "seen")
+    new = seen.add(start.select(_key("node", "node_kind").alias("a")))
+    new = _rounds(links, seen, new, plain_rounds)
+    if not new.isEmpty():
+        links, fates = _merged(_left(links, seen.table(), new))
+        far = Collected(links.sparkSession, _KEY, "seen")
+        new = far.add(links.sparkSession.range(1).select(F.lit(_ORIGIN).alias("a")))
+        new = _rounds(links, far, new, plain_rounds)
+        if not new.isEmpty():
+            links = _left(links, far.table(), new)
+            new = far.add(links.sparkSession.range(1).select(F.lit(_ORIGIN).alias("a")))
+            _rounds(links.unionByName(_jumps(links)), far, new)
+        for fate in reversed(fates):
+            far.add(fate.join(far.table().select(F.col("a").alias("p")).distinct(), "p", "left_semi").select("a"))
+        seen.add(far.table().where(F.col("a") != _ORIGIN))
+    reached = seen.table().select("a", F.lit(True).alias("reached"))
+    return kinds.withColumn("a", _key("node", "node_kind")).join(reached, "a", "left").select(
         "node", "node_kind", F.coalesce("reached", F.lit(False)).alias("reached")
     )
 
 
-def _left(links: DataFrame, seen: DataFrame) -> DataFrame:
-    """The edges to nodes that have not been reached."""
-    return written(links.join(seen.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "links")
+def _key(node: str, kind: str) -> Column:
+    """Name and kind as one text, different for all pairs; names of a kind keep their order."""
+    def part(name, marked):
+        return F.when(F.col(name).isNull(), "-").otherwise(marked)
+
+    size = F.length(kind).cast("string")
+    return F.concat(part(kind, F.concat(size, F.lit(":"), kind)), part(node, F.concat(F.lit("="), node)))
+
+
+def _rounds(links: DataFrame, seen: Collected, new: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Follow single edges from ``new`` until nothing is new, at most ``rounds`` times; what is new then."""
+    done = 0
+    while done != rounds and not new.isEmpty():
+        onward = links.join(new, "a", "left_semi").select(F.col("b").alias("a")).distinct()
+        new = seen.add(onward.join(seen.table(), "a", "left_anti"))
+        done += 1
+    return new
+
+
+def _left(links: DataFrame, seen: DataFrame, new: DataFrame) -> DataFrame:
+    """The edges to nodes that have not been reached; those from nodes that have (the ``new`` ones) come from the origin."""
+    left = links.join(seen.select(F.col("a").alias("b")), "b", "left_anti")
+    left = left.join(new.withColumn("origin", F.lit(_ORIGIN)), "a", "left")
+    return written(left.select(F.coalesce("origin", "a").alias("a"), "b").distinct(), "links")
+
+
+def _merged(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``links`` between groups of nodes that are reached together or not at all, and how they were merged.
+
+    A node with one way in is reached if its predecessor is; so is one with a way from the origin. Two nodes with edges
+    in both directions are reached together. Each kind of fate points to another node (see :func:`ends_of`), and is
+    given as ``a, p``, to be undone last to first; ``p`` is null for nodes that are never reached, behind a closed way that
+    nothing enters. Goes on while that takes away a tenth of the edges.
+    """
+    fates, size, before = [], links.count(), None
+    while size and (before is None or 10 * size <= 9 * before):
+        before = size
+        entered = links.groupBy("b").agg(F.min("a").alias("p"), F.count(F.lit(1)).alias("n"))
+        entered = entered.where((F.col("n") == 1) | (F.col("p") == _ORIGIN))
+        fate = ends_of(entered.select(F.col("b").alias("a"), "p", F.lit(False).alias("flip")))
+        fates.append(fate)
+        links = links.join(fate.select(F.col("a").alias("b")), "b", "left_anti")
+        links = written(_named(links, fate, "a").where("a <> b").distinct(), "links")
+        pairs = links.where(F.col("a") != _ORIGIN).groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("a"))
+        pairs = pairs.agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        fate = ends_of(pairs.groupBy("a").agg(F.min("p").alias("p")).withColumn("flip", F.lit(False)))
+        if not fate.isEmpty():
+            fates.append(fate)
+            links = _named(_named(links, fate, "a"), fate, "b")
+            links = written(links.where("a <> b").distinct(), "links")
+        size = links.count()
+    return links, fates
+
+
+def _named(links: DataFrame, fate: DataFrame, end: str) -> DataFrame:
+    """``links`` with one end replaced by the node it was merged into, without those of nodes that are never reached."""
+    into = fate.select(F.col("a").alias(end), F.col("p").alias("into"), F.lit(True).alias("merged"))
+    named = links.join(into, end, "left").where("merged is null or into is not null")
+    return named.withColumn(end, F.coalesce("into", end)).select("a", "b")
 
 
 def _jumps(links: DataFrame, fan: int = FAN) -> DataFrame:
@@ -143,36 +202,3 @@ def _jumps(links: DataFrame, fan: int = FAN) -> DataFrame:
         if last.isEmpty():
             break
     return jumps.table()
-
-
-def _paths(links: DataFrame) -> DataFrame:
-    """``a, path, left``: nodes on a path without forks and joins, the path's end, and the steps to it.
-
-    On a closed path there is no end; it goes by its smallest node, and ``left`` is null. Found by
-    doubling the steps, so in rounds that grow with the logarithm of the longest path.
-    """
-    one_out = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("a")
-    one_in = links.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("b")
-    steps = links.join(one_out, "a", "left_semi").join(one_in, "b", "left_semi")
-    steps = written(steps.selectExpr("a", "b as path", "1L as left", "least(a, b) as low"), "paths")
-    for _ in range(steps.count().bit_length()):
-        further = steps.select(
-            F.col("a").alias("path"), F.col("path").alias("p"), F.col("left").alias("l"), F.col("low").alias("m")
-        )
-        steps = written(
-            steps.join(further, "path", "left").selectExpr(
-                "a", "coalesce(p, path) as path", "left + coalesce(l, 0L) as left", "least(low, m) as low"
-            ),
-            "paths",
-        )
-    closed = steps.join(steps.select(F.col("a").alias("path")), "path", "left_semi")
-    on_path = steps.join(closed.select("a"), "a", "left_anti").select("a", "path", "left")
-    ends = on_path.select("path").distinct().selectExpr("path as a", "path", "0L as left")
-    closed = closed.selectExpr("a", "low as path", "cast(null as bigint) as left")
-    return written(on_path.unionByName(ends).unionByName(closed), "paths")
-
-
-def _along(paths: DataFrame, new: DataFrame) -> DataFrame:
-    """All nodes that lie behind ``new`` on their paths."""
-    at = paths.join(new, "a", "left_semi").groupBy("path").agg(F.max("left").alias("from"))
-    return paths.join(at, "path").where("left is null or left < from").select("a")

@@ -70,5 +70,15 @@ def test_a_chain_takes_few_tables(spark):
     assert stored(spark) - before < 40
 
 
+def test_a_chain_of_neighbours_is_followed_in_its_tasks(spark):
+    """Seeds that wait for the one before them are resolved where they lie; no table for every doubling of the way."""
+    n = 10_000
+    seeds = spark.range(n).selectExpr("0 AS param_id", "lpad(CAST(id AS STRING), 6, '0') AS activity")
+    links = seeds.selectExpr("param_id", "activity AS a", "lpad(CAST(activity + 1 AS BIGINT), 6, '0') AS b")
+    before = stored(spark)
+    assert leaders(seeds, links).count() == n // 2
+    assert stored(spark) - before < 12
+
+
 def test_no_seeds(spark):
     assert leaders(spark.createDataFrame([], SEEDS), spark.createDataFrame([(0, "a", "b")], LINKS)).count() == 0

@@ -8,16 +8,17 @@ the smallest leader it is linked to.
 The set is found in rounds over *conditions*: a seed leads when each smaller seed linked to it does not. A
 condition whose seed is decided is met, and goes, or decides against its owner; a seed without conditions leads.
 A seed with one condition left is a function of one other seed, equal to it or its opposite. Such functions are
-composed by pointer doubling, so that a chain of any length ends in a number of steps that is its logarithm, and they
-take the place of their seeds in all other conditions. So the rounds are as many as the longest wait among seeds that
+composed as pointers that are followed to their ends (see :mod:`forest`), so that a chain of any length takes few
+rounds, and they take the place of their seeds in all other conditions. So the rounds are as many as the longest wait among seeds that
 wait for several others at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.forest import ends_of
 from tracemill.storage import Collected, written
 
 _DECIDED = "param_id {0}, activity string, leads boolean"
@@ -63,7 +64,8 @@ def leaders(seeds: DataFrame, links: DataFrame) -> DataFrame:
             conditions = written(_reduced(conditions, state, before, jumps), "conditions")
     lead = decided.table()
     if some_functions:
-        ends = _composed(functions.table()).withColumnRenamed("activity", "own")
+        ends = functions.table() if len(functions.parts) == 1 else _composed(functions.table())
+        ends = ends.withColumnRenamed("activity", "own")
         roots = lead.withColumnRenamed("activity", "root")
         found = ends.join(roots, ["param_id", "root"]).select(
             "param_id", F.col("own").alias("activity"), (F.col("leads") != F.col("opposite")).alias("leads")
@@ -92,24 +94,20 @@ def _state(conditions: DataFrame, new: DataFrame) -> DataFrame:
 def _composed(functions: DataFrame) -> DataFrame:
     """``functions`` (``activity``, ``root``, ``opposite``) with roots that are no functions themselves.
 
-    Roots are smaller than their seeds, so there are no circles; each step doubles the way.
+    Roots are smaller than their seeds, so there are no circles. A setting and a seed are one name for :func:`ends_of`.
     """
-    functions = written(functions, "functions")
-    while True:
-        on = functions.select(
-            "param_id", F.col("activity").alias("root"), F.col("root").alias("beyond"), F.col("opposite").alias("turned")
-        )
-        if functions.join(on, ["param_id", "root"], "left_semi").isEmpty():
-            return functions
-        functions = written(
-            functions.join(on, ["param_id", "root"], "left").select(
-                "param_id",
-                "activity",
-                F.coalesce("beyond", "root").alias("root"),
-                (F.col("opposite") != F.coalesce("turned", F.lit(False))).alias("opposite"),
-            ),
-            "functions",
-        )
+    kind = functions.schema["param_id"].dataType
+
+    def name(seed: str) -> Column:
+        return F.concat(F.col("param_id").cast("string"), F.lit(" "), F.col(seed))
+
+    ends = ends_of(functions.select(name("activity").alias("a"), name("root").alias("p"), F.col("opposite").alias("flip")))
+    return ends.select(
+        F.substring_index("a", " ", 1).cast(kind).alias("param_id"),
+        F.expr("substring(a, instr(a, ' ') + 1)").alias("activity"),
+        F.expr("substring(p, instr(p, ' ') + 1)").alias("root"),
+        F.col("flip").alias("opposite"),
+    )
 
 
 def _reduced(

@@ -80,6 +80,18 @@ def test_long_cases_give_the_same_counts(spark, limit):
     assert {c: t for c, t in rows(traces(log), "case_id", "trace")} == ordered
 
 
+def test_short_segments_need_no_ranges_of_their_own(spark):
+    """Segments are cut by the tasks, so that their number costs neither tasks nor a sample on the driver."""
+    df = spark.range(4000).selectExpr("id % 2 as case", "id as timestamp", "concat('a', id % 7) as event")
+    log = EventLog(df, hot_case_rows=10)
+    segments = split_hot_cases(log).segments
+    assert len(segments.inputFiles()) <= 2
+    sizes = [r["count"] for r in segments.groupBy("seg").count().collect()]
+    assert max(sizes) <= 5 and len(sizes) >= 800
+    want = Counter((f"a{i % 7}", f"a{(i + 2) % 7}") for i in range(3998))
+    assert {(a, b): n for a, b, n in rows(directly_follows(log), "src", "dst", "cnt")} == want
+
+
 def test_copies_beyond_one_row_are_split(spark, monkeypatch):
     monkeypatch.setattr("tracemill.operators.ordering.COPIES_PER_ROW", 4)
     events = [(1, 1, 1, "a")] * 13 + [(1, 2, 1, "b")] * 3 + [(2, 1, 1, "a")]

@@ -1,8 +1,8 @@
 """Order of events inside cases, also for cases that are too long for one task.
 
 Ordinary cases are ordered by a window over the case. A case with more than ``hot_case_rows`` rows
-is *hot*: its rows are range-partitioned by (case, order) into segments of similar size, and each
-segment is ordered on its own; the segments are joined up through a table with one row per case and
+is *hot*: its rows are range-partitioned by (case, order), every range is sorted and cut into segments of half as many
+rows, and each segment is ordered on its own; the segments are joined up through a table with one row per case and
 segment. Equal rows are counted before they move, so a group of copies never travels as rows.
 
 In a log of traces every case lies in one row, in order, so nothing is grouped or sorted.
@@ -21,6 +21,8 @@ from tracemill.sources.eventlog import EventLog
 from tracemill.storage import written
 
 COPIES_PER_ROW = 10_000
+#: Rows of hot cases that make a task of their own, where segments are shorter than that.
+RANGE_ROWS = 500_000
 #: Buckets that cases are counted in, and how many times finer than the longest possible cases they must be.
 CASE_BUCKETS = 4096
 FINER = 8
@@ -77,8 +79,21 @@ def _split(log: EventLog) -> SplitLog:
         .withColumn("chunk", F.explode(F.expr(f"sequence(0, (copies - 1) div {COPIES_PER_ROW})")))
         .withColumn("copies", F.expr(f"least({COPIES_PER_ROW}, copies - chunk * {COPIES_PER_ROW})"))
     )
-    pieces = max(2, math.ceil(2 * hot_rows / limit))
-    return SplitLog(ordinary, range_segments(runs, ["case_id", *log.order, "chunk"], pieces))
+    size = max(1, limit // 2)
+    return SplitLog(ordinary, _segments(runs, ["case_id", *log.order, "chunk"], hot_rows, size))
+
+
+def _segments(runs: DataFrame, order: list, rows: int, size: int) -> DataFrame:
+    """``runs`` in ``order`` with the number of their segment, ``seg``, of ``size`` rows at most; stored.
+
+    Ranges are found on a sample that goes to the driver, so there are only as many as tasks need; every task sorts its range
+    and counts its rows off into segments.
+    """
+    ranges = max(2, math.ceil(rows / max(size, RANGE_ROWS)))
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the row of the range in the lower 33
+    ranged = runs.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("seg", place)
+    row = F.col("seg").bitwiseAND(F.lit((1 << 33) - 1))
+    return written(ranged.withColumn("seg", F.col("seg") - row % size), "segments")
 
 
 def range_segments(df: DataFrame, order: list, pieces: int | None = None) -> DataFrame:

@@ -208,6 +208,22 @@ def test_a_threshold_reads_only_the_pairs_that_reach_it(spark, tmp_path):
     assert "GreaterThanOrEqual(dependency,0.2)" in loaded._jdf.queryExecution().toString()
 
 
+def test_pairs_of_one_dependency_are_saved_by_several_tasks(spark, tmp_path, monkeypatch):
+    from tracemill.sinks import models
+
+    monkeypatch.setattr(models, "TASK_PAIRS", 100, raising=False)
+    model = model_of(spark, [[f"a{i}", f"b{i}"] for i in range(2000)] + [["c", "d"]] * 5)  # all but one at 0.5
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        save_model(model, str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pairs = load_model(spark, str(tmp_path / "m")).pairs
+    sizes = [r["count"] for r in pairs.groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) == 2001 and max(sizes) < 1000
+    assert rows(pairs, *pairs.columns) == rows(models.dependencies(model), *pairs.columns)
+
+
 def test_an_interrupted_save_leaves_the_old_model(spark, tmp_path, monkeypatch):
     """A save that stops between its tables, or just before it is put in force, is as if it had not begun."""
     from tracemill.sinks import models

@@ -18,6 +18,8 @@ _TABLES = tuple(f.name for f in fields(ProcessModel) if f.name not in ("dfg", "p
 #: A model's folder holds versions, and the file that names the one in force.
 _CURRENT = "CURRENT"
 _VERSION = "version-"
+#: Pairs of a model that need not be split among tasks, whatever their dependencies.
+TASK_PAIRS = 1_000_000
 
 
 def save_model(model: ProcessModel, path: str, overwrite: bool = False) -> None:
@@ -33,7 +35,9 @@ def save_model(model: ProcessModel, path: str, overwrite: bool = False) -> None:
     if old is not None and not overwrite:
         raise FileExistsError(f"{path} is there already; overwrite=True puts a new version in force")
     version = _VERSION + uuid.uuid4().hex
-    by_dependency = dependencies(model).repartitionByRange("dependency").sortWithinPartitions("dependency")
+    pieces = max(1, -(-model.dfg.count() // TASK_PAIRS))  # most pairs of a large log share one dependency
+    piece = F.pmod(F.xxhash64("src", "dst"), F.lit(pieces))
+    by_dependency = dependencies(model).repartitionByRange("dependency", piece).sortWithinPartitions("dependency")
     for name in _TABLES:
         table = by_dependency if name == "pairs" else getattr(model, name)
         table.write.parquet(f"{path}/{version}/{name}")

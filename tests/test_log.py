@@ -3,6 +3,7 @@ from collections import Counter
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import LOGS, log_of, model_of, rows
 from tracemill import (
@@ -119,6 +120,21 @@ def test_trace_logs_are_counted_row_by_row(spark):
     assert rows(traces(log, 200).where("case_id = 0"), "part", "trace") == [(0, long_one[:200]), (1, long_one[200:])]
 
 
+def test_split_texts_are_taken_apart_once_for_their_steps(spark):
+    """No filter for nulls that cannot be there, and none for empty traces that splits every text a second time."""
+    texts = spark.createDataFrame([(1, "a b a b"), (2, ""), (3, None), (4, "c")], "id long, text string")
+    log = EventLog.from_traces(texts.select("id", F.split("text", " ").alias("trace")), case="id")
+    steps = directly_follows(log)
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "lambda" not in plan
+    assert rows(steps, "src", "dst", "cnt") == [("a", "b", 2), ("b", "a", 1)]
+    model = base_model(log)
+    assert rows(model.starts, "activity", "cases") == [("", 1), ("a", 1), ("c", 1)]
+    assert rows(model.ends, "activity", "cases") == [("", 1), ("b", 1), ("c", 1)]
+    none = EventLog.from_traces(spark.createDataFrame([(1, []), (2, [None])], "id long, trace array<string>"), case="id")
+    assert base_model(none).activities.isEmpty()
+
+
 def test_text_is_taken_apart_twice_at_most(spark, tmp_path):
     path = tmp_path / "log.csv"
     path.write_text("\n".join(csv_lines()) + "\n")

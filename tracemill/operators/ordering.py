@@ -155,7 +155,8 @@ def _row_steps(rows: DataFrame) -> DataFrame:
     """Steps inside each row: each activity beside the next, counted before the shuffle by pair."""
     after = F.concat(F.slice("trace", 2, F.size("trace")), F.array(F.lit(None).cast("string")))
     zipped = F.arrays_zip(F.col("trace").alias("src"), after.alias("dst"))
-    steps = rows.where(F.size("trace") > 0).select(F.posexplode(zipped).alias("place", "step"))
+    # an empty trace gives one step without a source, told after the traces were taken apart rather than before and again
+    steps = rows.select(F.posexplode(zipped).alias("place", "step")).where("step.src is not null")
     return steps.groupBy(F.col("step.src").alias("src"), F.col("step.dst").alias("dst")).agg(
         F.count(F.lit(1)).alias("cnt"), F.sum((F.col("place") == 0).cast("long")).alias("starts")
     )

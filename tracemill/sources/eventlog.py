@@ -106,9 +106,11 @@ class EventLog:
         one_per_case = df.select(case_id.alias("case"), F.col(_quoted(trace)).alias("trace"))
         events = one_per_case.select("case", F.posexplode("trace").alias("timestamp", "event"))
         log = cls(events, **options)
+        activities = F.col("trace").cast("array<string>")
+        if df.schema[trace].dataType.containsNull:  # of a split text, say, there is nothing to leave out
+            activities = F.filter(activities, lambda a: a.isNotNull())
         log.rows = one_per_case.where("case is not null").select(
-            F.col("case").alias("case_id"),
-            F.filter(F.col("trace").cast("array<string>"), lambda a: a.isNotNull()).alias("trace"),
+            F.col("case").alias("case_id"), activities.alias("trace")
         )
         return log
 

@@ -18,6 +18,8 @@ from tracemill import (
     vocabulary,
     zero_cells,
 )
+from tracemill.operators.bands import band_cuts
+from tracemill.plans.heuristic import dependency_bands
 
 
 @pytest.fixture(scope="module")
@@ -145,3 +147,25 @@ def test_halves_of_a_graph_are_found_apart(spark, models):
 def test_unreachable_frequency_is_refused():
     with pytest.raises(ValueError):
         HeuristicParams(0.0, 0)
+
+
+def test_directions_meet_where_steps_are_counted(models):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    model = models["parcel"]
+    for df in (dependencies(model), dependency_cells(model), dependency_edges(model, 0.5, 2), model.starts, model.ends):
+        assert "Exchange" not in plan(df)  # pairs and starts are read off the stored counts, not grouped again
+    bands = Counter(d for d in dense(LOGS["parcel"]).values() if d >= 0)
+    assert dependency_bands(model) == band_cuts(model.dfg.sparkSession.createDataFrame([(d,) for d in bands], "v double"), "v")
+
+
+@pytest.mark.parametrize("theta,freq", [(0.5, 1), (0.0, 1), (-1.0, 2), (0.5, 3)])
+def test_labels_that_sort_either_way(spark, theta, freq):
+    traces = [["b", "a", "b", "", "b"], ["", ""], ["é", "z", "é", "Z"], ["b"], [], ["a", "b", "a", "b"]]
+    model, matrix, counts = model_of(spark, traces), dense(traces), steps_of(traces)
+    edges = rows(dependency_edges(model, theta, freq), "src", "dst", "cnt")
+    assert edges == sorted((a, b, n) for (a, b), n in counts.items() if n >= freq and matrix[a, b] >= theta)
+    assert dict(rows(model.starts, "activity", "cases")) == Counter(t[0] for t in traces if t)
+    assert dict(rows(model.ends, "activity", "cases")) == Counter(t[-1] for t in traces if t)
+    assert dict(rows(model.activities, "activity", "freq")) == Counter(a for t in traces for a in t)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.ordering import neighbours
+from tracemill.operators.ordering import steps
 from tracemill.operators.ranking import ranked
 from tracemill.sources.eventlog import EventLog
 from tracemill.storage import written
@@ -46,7 +46,8 @@ def vocabulary(log: EventLog, by: str = "label") -> DataFrame:
 
 def directly_follows(log: EventLog) -> DataFrame:
     """How often ``dst`` comes right after ``src`` in a case: ``src, dst, cnt``."""
-    return neighbours(log).where("dst is not null").select("src", "dst", "cnt")
+    inner = steps(log).where("src is not null and dst is not null")
+    return inner.groupBy("src", "dst").agg(F.sum("cnt").alias("cnt"))
 
 
 def start_activities(log: EventLog) -> DataFrame:
@@ -71,7 +72,8 @@ def _per_case(log: EventLog, of_row, of_events) -> DataFrame:
 class ProcessModel:
     """What both miners start from. ``miner`` and ``params`` are the miner and the settings that
     last drew a graph from it; they are kept on saving. A model that was loaded has ``pairs``: the pairs that
-    occur, with their dependency and in its order, so that a threshold reads only what reaches it."""
+    occur, with their dependency and in its order, so that a threshold reads only what reaches it. One that was
+    mined has ``ways``: both directions of a pair in one row, as :func:`both_ways` gives them."""
 
     activities: DataFrame
     dfg: DataFrame
@@ -80,19 +82,53 @@ class ProcessModel:
     params: dict[str, float] | None = None
     miner: str | None = None
     pairs: DataFrame | None = None
+    ways: DataFrame | None = None
+
+
+def both_ways(steps: DataFrame) -> DataFrame:
+    """Steps counted by their two ends in label order: ``low, high, up, down``; a step without one end is an ``up``."""
+    forward = F.coalesce(F.col("src") <= F.col("dst"), F.lit(True))
+    zero = F.lit(0).cast("long")
+    return (
+        steps.select(
+            F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("low"),
+            F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("high"),
+            F.when(forward, F.col("cnt")).otherwise(zero).alias("up"),
+            F.when(forward, zero).otherwise(F.col("cnt")).alias("down"),
+        )
+        .groupBy("low", "high")
+        .agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    )
+
+
+def cell(src: str, dst: str, cnt: str, rev: str) -> Column:
+    return F.struct(
+        F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(cnt).alias("cnt"), F.col(rev).alias("rev")
+    )
+
+
+def occurring(ways: DataFrame) -> DataFrame:
+    """``src, dst, cnt, rev`` of the directions that occur."""
+    up, down = cell("low", "high", "up", "down"), cell("high", "low", "down", "up")
+    itself = F.array(cell("low", "high", "up", "up"))
+    cells = F.when(F.col("low") == F.col("high"), itself).when(F.col("down") == 0, F.array(up))
+    return ways.select(F.inline(cells.when(F.col("up") == 0, F.array(down)).otherwise(F.array(up, down))))
 
 
 def base_model(log: EventLog) -> ProcessModel:
     """Go through the log once and store its step counts; the rest is read off that table.
 
-    Every event is the source of one step (with no target at the end of its case), so
+    Both directions of a pair are counted into one row, so whatever sets them against each other needs no second
+    grouping. Every event is the source of one step (with no target at the end of its case), so
     frequencies, pairs, starts and ends are all sums over the same small table.
     """
-    steps = written(neighbours(log), "steps")
-    activities = steps.groupBy("src").agg(F.sum("cnt").alias("freq"), F.sum("starts").alias("cases"))
+    counted = written(both_ways(steps(log)), "steps")
+    ways = counted.where("low is not null and high is not null")
+    sources = occurring(counted.where("low is not null")).groupBy("src").agg(F.sum("cnt").alias("freq"))
     return ProcessModel(
-        activities=activities.select(F.col("src").alias("activity"), "freq"),
-        dfg=steps.where("dst is not null").select("src", "dst", "cnt"),
-        starts=activities.where("cases > 0").select(F.col("src").alias("activity"), "cases"),
-        ends=steps.where("dst is null").select(F.col("src").alias("activity"), F.col("cnt").alias("cases")),
+        activities=sources.select(F.col("src").alias("activity"), "freq"),
+        dfg=occurring(ways).select("src", "dst", "cnt"),
+        starts=counted.where("low is null").select(F.col("high").alias("activity"), F.col("up").alias("cases")),
+        ends=counted.where("high is null").select(F.col("low").alias("activity"), F.col("up").alias("cases")),
+        ways=ways,
     )

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -152,18 +152,16 @@ def traces(log: EventLog, part_rows: int | None = None) -> DataFrame:
 
 
 def _row_steps(rows: DataFrame) -> DataFrame:
-    """Steps inside each row: each activity beside the next, counted before the shuffle by pair."""
-    after = F.concat(F.slice("trace", 2, F.size("trace")), F.array(F.lit(None).cast("string")))
-    zipped = F.arrays_zip(F.col("trace").alias("src"), after.alias("dst"))
-    # an empty trace gives one step without a source, told after the traces were taken apart rather than before and again
-    steps = rows.select(F.posexplode(zipped).alias("place", "step")).where("step.src is not null")
-    return steps.groupBy(F.col("step.src").alias("src"), F.col("step.dst").alias("dst")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.sum((F.col("place") == 0).cast("long")).alias("starts")
-    )
+    """Steps inside each row: each activity beside the next, null before the first and after the last."""
+    none = F.array(F.lit(None).cast("string"))
+    zipped = F.arrays_zip(F.concat(none, "trace").alias("src"), F.concat("trace", none).alias("dst"))
+    steps = rows.select(F.explode(zipped).alias("step")).select("step.src", "step.dst", F.lit(1).cast("long").alias("cnt"))
+    # an empty trace gives one step without ends, told after the traces were taken apart rather than before and again
+    return steps.where("src is not null or dst is not null")
 
 
-def neighbours(log: EventLog) -> DataFrame:
-    """Counted steps ``src, dst, cnt, starts`` before the final sum; dst is null at a case end."""
+def steps(log: EventLog) -> DataFrame:
+    """Steps ``src, dst, cnt`` that are not summed up yet; src is null where a case starts, dst where it ends."""
     if log.rows is not None:
         return _row_steps(log.rows)
     split = split_hot_cases(log)
@@ -171,17 +169,18 @@ def neighbours(log: EventLog) -> DataFrame:
     ordinary = split.ordinary.select(
         "activity",
         F.lead("activity").over(in_case).alias("dst"),
-        F.lag("activity").over(in_case).isNull().cast("long").alias("starts"),
-    )
-    ordinary = ordinary.groupBy("activity", "dst").agg(
-        F.count(F.lit(1)).alias("cnt"), F.sum("starts").alias("starts")
-    )
-    if split.segments is None:
-        return ordinary.withColumnRenamed("activity", "src")
-    steps = ordinary.withColumnRenamed("activity", "src").unionByName(_hot_steps(log, split.segments))
-    return steps.groupBy("src", "dst").agg(
-        F.sum("cnt").alias("cnt"), F.sum("starts").alias("starts")
+        F.lag("activity").over(in_case).isNull().alias("opens"),
     )
+    onward, opening = _step("activity", "dst"), _step(None, "activity")
+    ordinary = ordinary.select(F.inline(F.when(F.col("opens"), F.array(onward, opening)).otherwise(F.array(onward))))
+    return ordinary if split.segments is None else ordinary.unionByName(_hot_steps(log, split.segments))
+
+
+def _step(src: str | None, dst: str | Column, cnt: Column | None = None) -> Column:
+    src = F.lit(None).cast("string") if src is None else F.col(src)
+    dst = F.col(dst) if isinstance(dst, str) else dst
+    cnt = F.lit(1) if cnt is None else cnt
+    return F.struct(src.alias("src"), dst.alias("dst"), cnt.cast("long").alias("cnt"))
 
 
 def _hot_steps(log: EventLog, segments: DataFrame) -> DataFrame:
@@ -206,16 +205,7 @@ def _hot_steps(log: EventLog, segments: DataFrame) -> DataFrame:
         F.lead("activity").over(in_segment).alias("next"),
         F.lag("activity").over(in_segment).isNull().alias("opens_segment"),
     ).join(seams, ["case_id", "seg"])
-    onward = F.struct(
-        F.col("activity").alias("src"),
-        F.coalesce("next", "after_segment").alias("dst"),
-        F.lit(1).cast("long").alias("cnt"),
-        (F.col("opens_segment") & F.col("opens_case")).cast("long").alias("starts"),
-    )
-    repeats = F.struct(
-        F.col("activity").alias("src"),
-        F.col("activity").alias("dst"),
-        (F.col("copies") - 1).alias("cnt"),
-        F.lit(0).cast("long").alias("starts"),
-    )
-    return rows.select(F.inline(F.array(onward, repeats))).where("cnt > 0")
+    onward = _step("activity", F.coalesce("next", "after_segment"))
+    repeats = _step("activity", "activity", F.col("copies") - 1)
+    opening = _step(None, "activity", F.col("opens_segment") & F.col("opens_case"))
+    return rows.select(F.inline(F.array(onward, repeats, opening))).where("cnt > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.bands import band_cuts, band_of
-from tracemill.operators.follows import ProcessModel
+from tracemill.operators.follows import ProcessModel, both_ways, cell, occurring
 from tracemill.operators.graph import ProcessGraph
 from tracemill.plans.params import HeuristicParams, param_rows
 from tracemill.storage import written
@@ -19,37 +19,31 @@ EDGE_WIDTH = 1.0
 PLAIN_EDGE_WIDTH = 0.1
 
 
+def _ways(model: ProcessModel) -> DataFrame:
+    """``low, high, up, down``: both directions of a pair in one row; stored where the log was mined."""
+    return model.ways if model.ways is not None else both_ways(model.dfg)
+
+
+def _dependency(cnt: Column, rev: Column, same: Column) -> Column:
+    return F.when(same, cnt / (cnt + 1)).otherwise((cnt - rev) / (cnt + rev + 1))
+
+
+def _with_dependency(cells: DataFrame) -> DataFrame:
+    same = F.col("src") == F.col("dst")
+    return cells.withColumn("dependency", _dependency(F.col("cnt"), F.col("rev"), same))
+
+
 def dependency_cells(model: ProcessModel) -> DataFrame:
     """``src, dst, cnt, rev, dependency`` for pairs seen in either direction.
 
     All other cells of the dependency matrix are 0, so this is the whole matrix; ``zero_cells``
-    counts what is left out. Both directions of a pair come together in one grouping by its two
-    activities in label order, without a join, and part only after it: every pair is shuffled once.
+    counts what is left out. Both directions of a pair lie in one row since its steps were counted and part only
+    here, without a join or a shuffle.
     """
-    forward = F.col("src") <= F.col("dst")
-    zero = F.lit(0).cast("long")
-    ways = model.dfg.select(
-        F.least("src", "dst").alias("low"),
-        F.greatest("src", "dst").alias("high"),
-        F.when(forward, F.col("cnt")).otherwise(zero).alias("up"),
-        F.when(forward, zero).otherwise(F.col("cnt")).alias("down"),
-    )
-    both = ways.groupBy("low", "high").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    same = F.col("low") == F.col("high")
-
-    def cell(src: str, dst: str, cnt: str, rev: str) -> Column:
-        return F.struct(
-            F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(cnt).alias("cnt"), F.col(rev).alias("rev")
-        )
-
     to_itself = F.array(cell("low", "high", "up", "up"))
     to_other = F.array(cell("low", "high", "up", "down"), cell("high", "low", "down", "up"))
-    cells = both.select(F.inline(F.when(same, to_itself).otherwise(to_other)))
-    cnt, rev = F.col("cnt"), F.col("rev")
-    dependency = F.when(F.col("src") == F.col("dst"), cnt / (cnt + 1)).otherwise(
-        (cnt - rev) / (cnt + rev + 1)
-    )
-    return cells.withColumn("dependency", dependency)
+    same = F.col("low") == F.col("high")
+    return _with_dependency(_ways(model).select(F.inline(F.when(same, to_itself).otherwise(to_other))))
 
 
 def zero_cells(model: ProcessModel) -> DataFrame:
@@ -67,7 +61,11 @@ def dependencies(model: ProcessModel) -> DataFrame:
     """``src, dst, cnt, dependency`` of the pairs that occur."""
     if model.pairs is not None:
         return model.pairs
-    return dependency_cells(model).where("cnt > 0").select("src", "dst", "cnt", "dependency")
+    return _pairs_of(_ways(model))
+
+
+def _pairs_of(ways: DataFrame) -> DataFrame:
+    return _with_dependency(occurring(ways)).select("src", "dst", "cnt", "dependency")
 
 
 def dependency_edges(
@@ -75,7 +73,14 @@ def dependency_edges(
 ) -> DataFrame:
     """Pairs with at least this dependency and this count."""
     p = HeuristicParams(dependency, min_frequency)
-    return dependencies(model).where(
+    if model.pairs is not None:
+        pairs = model.pairs
+    else:  # a pair neither direction of which passes is dropped before it is taken apart
+        up, down, same = F.col("up"), F.col("down"), F.col("low") == F.col("high")
+        best = _dependency(F.greatest(up, down), F.least(up, down), same)
+        some = (best >= F.lit(float(p.dependency))) & (F.greatest(up, down) >= F.lit(p.min_frequency))
+        pairs = _pairs_of(_ways(model).where(some))
+    return pairs.where(
         (F.col("dependency") >= F.lit(float(p.dependency))) & (F.col("cnt") >= F.lit(p.min_frequency))
     )
 
@@ -111,16 +116,21 @@ def activity_nodes(model: ProcessModel) -> DataFrame:
 
 def dependency_bands(model: ProcessModel) -> list[float]:
     """Cut points over the distinct dependencies of the matrix that are not negative."""
-    cells = dependency_cells(model).groupBy("dependency").agg(F.count(F.lit(1)).alias("n"))
-    cells = written(cells, "cells")
-    size = model.activities.agg(F.count(F.lit(1)).alias("n"))
-    zero = (
-        size.where(F.col("n") * F.col("n") > cells.agg(F.sum("n")).scalar())
-        .select(F.lit(0.0).alias("dependency"))
-    )
-    seen = cells.where("dependency > 0").select("dependency")
-    zero = zero.unionByName(cells.where("dependency = 0").select("dependency")).limit(1)
-    return band_cuts(seen.unionByName(zero), "dependency")
+    up, down, same = F.col("up"), F.col("down"), F.col("same")
+    # Pairs with equal counts have equal dependencies, and few counts differ.
+    kinds = _ways(model).groupBy("up", "down", (F.col("low") == F.col("high")).alias("same"))
+    kinds = kinds.agg(F.count(F.lit(1)).alias("n"))
+    ways = F.array(_dependency(up, down, same), _dependency(down, up, same))
+    cells = kinds.select(F.explode(F.when(same, F.slice(ways, 1, 1)).otherwise(ways)).alias("dependency"), "n")
+    cells = written(cells.groupBy("dependency").agg(F.sum("n").alias("n")), "cells")
+    zero = cells.where("dependency = 0").select("dependency")
+    if zero.isEmpty():
+        size = model.activities.agg(F.count(F.lit(1)).alias("n"))
+        zero = (
+            size.where(F.col("n") * F.col("n") > cells.agg(F.sum("n")).scalar())
+            .select(F.lit(0.0).alias("dependency"))
+        )
+    return band_cuts(cells.where("dependency > 0").select("dependency").unionByName(zero), "dependency")
 
 
 def terminal_edges(model: ProcessModel) -> DataFrame:

@@ -219,3 +219,21 @@ def test_a_sweep_stores_each_outcome_once(spark, bases):
         p = params[i]
         own = brute(traces, p.significance, p.correlation, p.edge_cutoff, p.utility_ratio)[2]
         assert {a: s for q, a, s in owner if q == i} == own
+
+
+@pytest.mark.parametrize("frequent", [1, 200_000])
+def test_pairs_that_come_to_nothing_are_left_out(spark, monkeypatch, frequent):
+    """Most pairs of a frequent activity have correlation 0.00; graphs are those of the definition, found without them."""
+    monkeypatch.setattr("tracemill.plans.fuzzy.FREQUENT", frequent)  # with 1, no source is known to every task
+    traces = [["hub", f"n{i % 40}", "hub"] for i in range(250)] + [["hub", f"m{i:02}", "end"] for i in range(40)]
+    traces += [["hub", "end", "end"]] * 30 + [["n1", "n2", "m01"]] * 3
+    base = FuzzyBase(model_of(spark, traces))
+    params = [
+        FuzzyParams(0.05, 0.3, 0.2, 0.5), FuzzyParams(0.3, 0.5, 0.4, 0.0), FuzzyParams(0.0, 0.0, 0.0, 0.0),
+        FuzzyParams(0.02, 0.6, 0.7, 0.9), FuzzyParams(0.5, 0.0, 0.3, 0.4), FuzzyParams(1.0, 1.0, 1.0, 1.0),
+    ]
+    run = FuzzyRun(base, params)
+    assert run.edges.count() > 0
+    assert "pairs" not in vars(base)
+    assert 0 < base.felt.count() == base.pairs.where("corr > 0").count() < base.pairs.count()
+    check(spark, base, traces, params)

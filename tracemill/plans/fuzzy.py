@@ -6,7 +6,8 @@ settings at once; every table carries ``param_id``. Settings that no value of th
 mined once, and pairs are stored once for all settings that differ in the edge cutoff, or in how they
 cluster. No step pairs all activities: pairs that never
 occur have correlation 0, and their part in the edge filter follows from how many activities
-share each of the at most 101 significance values.
+share each of the at most 101 significance values. So do pairs that occur with correlation 0.00, which most pairs of
+frequent activities do in a large log: nodes, clusters and edges are found without them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ CLUSTER_WIDTH = 1.5
 CLUSTER_HEIGHT = 1.0
 EDGE_WIDTH = 0.1
 
+#: Activities with at least one in so many of all steps are known to every task; there are no more of them than that.
+FREQUENT = 200_000
+
 _SETTINGS = ("significance", "correlation", "edge_cutoff", "utility_ratio")
 _REMOVED = "(only_node or ({0}sig < significance and {0}strongest < correlation))"
 
@@ -44,7 +48,13 @@ def outgoing(model: ProcessModel) -> DataFrame:
 def correlation(model: ProcessModel) -> DataFrame:
     """``src, dst, cnt, corr``: the share of a pair in what leaves ``src``."""
     share = fmt2(F.col("cnt") / F.col("total"))
-    return model.dfg.join(outgoing(model), "src").select("src", "dst", "cnt", share.alias("corr"))
+    return model.dfg.join(_hashed(outgoing(model)), "src").select("src", "dst", "cnt", share.alias("corr"))
+
+
+def _hashed(table: DataFrame) -> DataFrame:
+    """``table`` as the side of a join that is held, by partition, as a hash table, so that pairs are not sorted for the
+    join. Only for tables with a row per activity (and setting): their keys differ, so they come apart evenly."""
+    return table.hint("shuffle_hash")
 
 
 def significance(model: ProcessModel) -> DataFrame:
@@ -54,8 +64,8 @@ def significance(model: ProcessModel) -> DataFrame:
 
 
 class FuzzyBase:
-    """``nodes(activity, freq, sig, strongest, only_node)`` and ``links`` between different
-    activities with the ``sig`` and ``strongest`` of both ends.
+    """``nodes(activity, freq, sig, strongest, only_node)``, ``links`` between different
+    activities with the ``sig`` and ``strongest`` of both ends, and ``felt``, those with a correlation above 0.
 
     ``strongest`` is the largest correlation on any edge of the node. A node is removed exactly
     when it is below the significance and its strongest edge is below the correlation, so one
@@ -70,16 +80,38 @@ class FuzzyBase:
         """``src, dst, cnt, corr`` of different activities."""
         return written(correlation(self.model).where("src <> dst"), "correlation")
 
+    @cached_property
+    def activities(self) -> DataFrame:
+        """``activity, freq, sig, total``: every event but the last of a case is followed by one, so ``total`` leave it."""
+        total = F.col("freq") - F.coalesce("cases", F.lit(0))
+        table = significance(self.model).join(self.model.ends, "activity", "left")
+        return written(table.select("activity", "freq", "sig", total.alias("total")), "activities")
+
+    @cached_property
+    def felt(self) -> DataFrame:
+        """``src, dst, cnt, corr, src_sig`` of different activities whose correlation is not 0.
+
+        Pairs of frequent activities that come to 0 are dropped where they are read, so they are not shuffled.
+        """
+        sources = self.activities.where("total > 0").select(F.col("activity").alias("src"), "total", F.col("sig").alias("src_sig"))
+        steps = sources.agg(F.sum("total")).first()[0] or 0
+        frequent = sources.where(F.col("total") * FREQUENT >= F.lit(steps)).select("src", F.col("total").alias("known"))
+        pairs = self.model.dfg.where("src <> dst").join(F.broadcast(frequent), "src", "left")
+        pairs = pairs.where(F.col("known").isNull() | (fmt2(F.col("cnt") / F.col("known")) > 0)).drop("known")
+        corr = fmt2(F.col("cnt") / F.col("total")).alias("corr")
+        felt = pairs.join(_hashed(sources), "src").select("src", "dst", "cnt", corr, "src_sig")
+        return written(felt.where("corr > 0"), "felt")
+
     @cached_property
     def nodes(self) -> DataFrame:
         strongest = (
-            self.pairs.select(F.explode(F.array("src", "dst")).alias("activity"), "corr")
+            self.felt.select(F.explode(F.array("src", "dst")).alias("activity"), "corr")
             .groupBy("activity")
             .agg(F.max("corr").alias("strongest"))
         )
-        size = self.model.activities.agg(F.count(F.lit(1)))
+        size = self.activities.agg(F.count(F.lit(1)))
         return written(
-            significance(self.model)
+            self.activities.drop("total")
             .join(strongest, "activity", "left")
             .withColumn("strongest", F.coalesce("strongest", F.lit(0.0)))
             .withColumn("only_node", size.scalar() == 1),
@@ -149,11 +181,28 @@ class _Nodes:
 class _Links(_Nodes):
     """Pairs between live nodes and their utility, before the edge cutoff."""
 
+    def __init__(self, base: FuzzyBase, params: Sequence[FuzzyParams], felt: bool = False):
+        super().__init__(base, params)
+        self._only_felt = felt
+
+    @cached_property
+    def _felt_links(self) -> DataFrame:
+        """Pairs that are felt, with what decides on their ends where a setting may remove them."""
+        below = f"sig < {max(float(p.significance) for p in self.params)!r}D"
+        weak = self.base.nodes.where(f"{below} and strongest < {max(float(p.correlation) for p in self.params)!r}D")
+        weak = written(weak.select("activity", "sig", "strongest"), "weak")
+        src = weak.select(F.col("activity").alias("src"), F.col("strongest").alias("src_strongest"))
+        dst = weak.select(
+            F.col("activity").alias("dst"), F.col("sig").alias("dst_sig"), F.col("strongest").alias("dst_strongest")
+        )
+        return self.base.felt.join(src, "src", "left").join(dst, "dst", "left")
+
     @property
     def _live_links(self) -> DataFrame:
         ends = [_REMOVED.format(f"{side}_").replace("only_node", "false") for side in ("src", "dst")]
-        return self.base.links.select("*", F.inline(self._rows)).where(
-            f"not {ends[0]} and not {ends[1]}"
+        links = self._felt_links if self._only_felt else self.base.links
+        return links.select("*", F.inline(self._rows)).where(
+            f"not coalesce({ends[0]}, false) and not coalesce({ends[1]}, false)"
         )
 
     @property
@@ -171,7 +220,8 @@ class _Links(_Nodes):
         ``min_util`` is the smallest value other than 0, null when there is none. A source that
         never precedes the target has the utility of its significance alone. So for the pairs
         that do not occur it is enough to know which of those values are left over when the
-        sources that do occur, and the target itself, are taken out of the counts per value.
+        sources that do occur, and the target itself, are taken out of the counts per value. A pair that
+        occurs with correlation 0 has that utility as well, so it may be left out.
         """
         alone = "rint({0} * utility_ratio * 100D) / 100D as alone"
         live = self._all_nodes.where("not removed").selectExpr(
@@ -224,7 +274,7 @@ class _Links(_Nodes):
         span = F.col("max_util") - F.col("min_util")
         scaled = F.when((above != 0) & (span != 0), np2(above / span))
         return written(
-            self.utility.join(self.utility_bounds, ["param_id", "dst"]).select(
+            self.utility.join(_hashed(self.utility_bounds), ["param_id", "dst"]).select(
                 *columns, "util", scaled.alias("scaled")
             ),
             "links",
@@ -234,17 +284,27 @@ class _Links(_Nodes):
 class _Mined(_Nodes):
     """All tables for settings that differ in their outcome; ``of_links`` has the settings of each class of links."""
 
-    def __init__(self, base: FuzzyBase, params: Sequence[FuzzyParams], links: _Links, of_links: list[list[int]]):
+    def __init__(
+        self, base: FuzzyBase, params: Sequence[FuzzyParams], links: _Links, felt: _Links, of_links: list[list[int]]
+    ):
         super().__init__(base, params)
-        self._links, self._of_links = links, of_links
+        self._links, self._felt, self._of_links = links, felt, of_links
 
     @property
     def links(self) -> DataFrame:
         """``param_id, src, dst, cnt, corr, util, norm`` and settings, of the pairs between live nodes."""
+        return self._normalised(self._links)
+
+    @property
+    def felt(self) -> DataFrame:
+        """``links`` with a correlation above 0."""
+        return self._normalised(self._felt)
+
+    def _normalised(self, links: _Links) -> DataFrame:
         scaled, cutoff = F.col("scaled"), F.col("edge_cutoff")
         keeps = (scaled >= cutoff) & (scaled > 0) & (F.col("corr") > 0)
         keeps = keeps & ~F.expr("utility_ratio = 0 and edge_cutoff = 0")
-        each = _expanded(self._links.scaled, self._of_links)
+        each = _expanded(links.scaled, self._of_links)
         settings = self._rows[F.col("param_id").cast("int")]
         return each.select("*", *(settings[name].alias(name) for name in _SETTINGS)).withColumn(
             "norm", F.when(keeps, scaled).otherwise(0.0)
@@ -257,11 +317,11 @@ class _Mined(_Nodes):
 
     @cached_property
     def _marked_links(self) -> DataFrame:
-        active = self.links.where("norm > 0").select("param_id").distinct()
+        active = self.felt.where("norm > 0").select("param_id").distinct()
         # One row per setting.
         active = F.broadcast(active.withColumn("active", F.lit(True)))
-        return self.links.join(active, "param_id", "left").withColumn(
-            "filtered", F.expr("corr > 0 and norm = 0 and coalesce(active, false)")
+        return self.felt.join(active, "param_id", "left").withColumn(
+            "filtered", F.expr("norm = 0 and coalesce(active, false)")
         )
 
     @property
@@ -277,7 +337,7 @@ class _Mined(_Nodes):
         some = [i for i, p in enumerate(self.params) if p.correlation > 0]
         parts = []
         if some:
-            strong = self.links.where("correlation > 0 and corr >= correlation").select(
+            strong = self.felt.where("correlation > 0 and corr >= correlation").select(
                 "param_id", F.col("src").alias("a"), F.col("dst").alias("b")
             )
             seeds = self.seeds.where(F.col("param_id").isin(some))
@@ -325,7 +385,7 @@ class _Mined(_Nodes):
 
     # -- graph ---------------------------------------------------------------
 
-    @cached_property
+    @property
     def _ends(self) -> DataFrame:
         ends = {
             side: self.clusters.select(
@@ -333,32 +393,26 @@ class _Mined(_Nodes):
             )
             for side in ("src", "dst")
         }
-        mapped = (
-            self._marked_links.where("corr > 0")
-            .join(ends["src"], ["param_id", "src"], "left")
-            .join(ends["dst"], ["param_id", "dst"], "left")
+        mapped = self._marked_links.join(_hashed(ends["src"]), ["param_id", "src"], "left").join(
+            _hashed(ends["dst"]), ["param_id", "dst"], "left"
         )
-        columns = ["param_id", "src", "dst", "corr", "filtered"]
+        columns = ["param_id", "corr", "filtered"]
         for side in ("src", "dst"):
             columns.append(f"coalesce({side}_leader, {side}) as {side}_end")
             columns.append(f"if({side}_leader is null, 'activity', 'cluster') as {side}_kind")
         inside = "src_kind = 'cluster' and dst_kind = 'cluster' and src_end = dst_end"
-        return written(mapped.selectExpr(*columns).where(f"not ({inside})"), "edge-ends")
+        return mapped.selectExpr(*columns).where(f"not ({inside})")
 
     @property
     def edges(self) -> DataFrame:
         """``param_id, src, src_kind, dst, dst_kind, value, links``; a cluster goes by its leader.
 
         Edges at a cluster carry the mean correlation of the links they stand for; the edge
-        filter acts on edges between plain nodes only.
+        filter acts on edges between plain nodes only, each of which is a group of its own.
         """
         plain = "src_kind = 'activity' and dst_kind = 'activity'"
         keys = ["param_id", "src_end", "src_kind", "dst_end", "dst_kind"]
-        single = self._ends.where(f"{plain} and not filtered").select(
-            *keys, F.lit(1).cast("long").alias("size"), F.col("corr").alias("value")
-        )
-        grouped = mean2(self._ends.where(f"not ({plain})"), keys, "corr", np2, "value")
-        return single.unionByName(grouped).select(
+        return mean2(self._ends.where(f"not ({plain} and filtered)"), keys, "corr", np2, "value").select(
             "param_id",
             F.col("src_end").alias("src"),
             "src_kind",
@@ -422,7 +476,7 @@ class FuzzyRun:
         if len(self.params) == 1:
             return [(0, 0)]
         values = self.base.nodes.select("sig", "strongest", "only_node").distinct().collect()
-        shares = [c for (c,) in self.base.pairs.select("corr").distinct().collect()]
+        shares = [c for (c,) in self.base.felt.select("corr").distinct().collect()]
         keys = []
         for p in self.params:
             low = [sig < p.significance for sig, _, _ in values]
@@ -450,11 +504,15 @@ class FuzzyRun:
     def _links(self) -> _Links:
         return _Links(self.base, [self.params[m[0]] for m in self._link_members])
 
+    @cached_property
+    def _felt(self) -> _Links:
+        return _Links(self.base, self._links.params, felt=True)
+
     @cached_property
     def _mined(self) -> _Mined:
         first = [m[0] for m in self._members]
         of_links = _classes([self._keys[i][0] for i in first])
-        return _Mined(self.base, [self.params[i] for i in first], self._links, of_links)
+        return _Mined(self.base, [self.params[i] for i in first], self._links, self._felt, of_links)
 
     def _all(self, table: DataFrame) -> DataFrame:
         return _expanded(table, self._members)

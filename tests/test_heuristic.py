@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures import LOGS, log_of, model_of, rows, steps_of
 from tracemill import (
@@ -14,11 +15,16 @@ from tracemill import (
     heuristic_graph,
     heuristic_sweep,
     max_frequency,
+    outgoing,
     start_activities,
     vocabulary,
     zero_cells,
 )
+from tracemill.operators import follows
 from tracemill.operators.bands import band_cuts
+from tracemill.operators.blocks import block_ways
+from tracemill.operators.follows import both_ways
+from tracemill.operators.ordering import steps
 from tracemill.plans.heuristic import dependency_bands
 
 
@@ -169,3 +175,33 @@ def test_labels_that_sort_either_way(spark, theta, freq):
     assert dict(rows(model.starts, "activity", "cases")) == Counter(t[0] for t in traces if t)
     assert dict(rows(model.ends, "activity", "cases")) == Counter(t[-1] for t in traces if t)
     assert dict(rows(model.activities, "activity", "freq")) == Counter(a for t in traces for a in t)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1, 5, 1000])
+def test_blocks_count_what_their_task_holds_in_parts(spark, block):
+    traces = [["b", "a", "b", "", "b"], ["", ""], ["é", "z", "é", "Z"], ["b"], [], ["a", "b", "a", "b"], ["x" * 300, "b"]] * 3
+    log = log_of(spark, traces)
+    log.rows = log.rows.union(spark.createDataFrame([(99, None)], log.rows.schema)).coalesce(1)  # a text that is null
+    found = block_ways(log.rows, block)
+    sent = Counter((r["low"], r["high"]) for r in found.collect())
+    assert block < 1000 or set(sent.values()) == {1}
+    summed = found.groupBy("low", "high").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    want = both_ways(steps(log)).where("high is not null")
+    order = ["low", "high", "up", "down"]
+    assert summed.where("high is not null").exceptAll(want).isEmpty() and want.exceptAll(summed).isEmpty()
+    ends, frequency = Counter(t[-1] for t in traces if t), Counter(a for t in traces for a in t)
+    each = rows(summed.where("high is null"), *order)
+    assert each == sorted((a, None, ends[a], n) for a, n in frequency.items())
+
+
+def test_steps_of_traces_move_without_a_table_of_their_pairs(spark, models):
+    log = log_of(spark, LOGS["parcel"])
+    plan = plan_of(follows._counted(log))
+    before_shuffle = plan[plan.index("Exchange"):]
+    assert "MapInArrow" in before_shuffle and "Aggregate" not in before_shuffle
+    for df in (models["parcel"].activities, outgoing(models["parcel"])):
+        assert "Exchange" not in plan_of(df)  # read off, where all pairs were grouped

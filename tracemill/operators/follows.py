@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.blocks import block_ways
 from tracemill.operators.ordering import steps
 from tracemill.operators.ranking import ranked
 from tracemill.sources.eventlog import EventLog
@@ -73,7 +74,8 @@ class ProcessModel:
     """What both miners start from. ``miner`` and ``params`` are the miner and the settings that
     last drew a graph from it; they are kept on saving. A model that was loaded has ``pairs``: the pairs that
     occur, with their dependency and in its order, so that a threshold reads only what reaches it. One that was
-    mined has ``ways``: both directions of a pair in one row, as :func:`both_ways` gives them."""
+    mined has ``ways``: both directions of a pair in one row, as :func:`both_ways` gives them. One that was mined from
+    traces has ``totals``: the steps that leave each activity."""
 
     activities: DataFrame
     dfg: DataFrame
@@ -83,6 +85,7 @@ class ProcessModel:
     miner: str | None = None
     pairs: DataFrame | None = None
     ways: DataFrame | None = None
+    totals: DataFrame | None = None
 
 
 def both_ways(steps: DataFrame) -> DataFrame:
@@ -101,6 +104,20 @@ def both_ways(steps: DataFrame) -> DataFrame:
     )
 
 
+def _counted(log: EventLog) -> DataFrame:
+    """``both_ways`` of the steps of ``log``; of traces, with the totals of :func:`block_ways` in the rows without ``high``.
+
+    Steps of traces come counted by blocks, so they are not counted again before they move; a pair has a row per block at
+    most, so none weighs on the task it goes to. Pairs are one key, as Spark first tries plain ones in a small table that is
+    of no use where most differ.
+    """
+    if log.rows is None:
+        return both_ways(steps(log))
+    dealt = block_ways(log.rows).select(F.struct("low", "high").alias("pair"), "up", "down").repartition("pair")
+    summed = dealt.groupBy("pair").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return summed.select("pair.low", "pair.high", "up", "down")
+
+
 def cell(src: str, dst: str, cnt: str, rev: str) -> Column:
     return F.struct(
         F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(cnt).alias("cnt"), F.col(rev).alias("rev")
@@ -120,15 +137,25 @@ def base_model(log: EventLog) -> ProcessModel:
 
     Both directions of a pair are counted into one row, so whatever sets them against each other needs no second
     grouping. Every event is the source of one step (with no target at the end of its case), so
-    frequencies, pairs, starts and ends are all sums over the same small table.
+    frequencies, pairs, starts and ends are all sums over the same small table; of traces, frequencies lie in it.
     """
-    counted = written(both_ways(steps(log)), "steps")
-    ways = counted.where("low is not null and high is not null")
-    sources = occurring(counted.where("low is not null")).groupBy("src").agg(F.sum("cnt").alias("freq"))
+    counted = written(_counted(log), "steps")
+    ways, totals = counted.where("low is not null and high is not null"), None
+    if log.rows is None:
+        edge = counted
+        sources = occurring(counted.where("low is not null")).groupBy("src").agg(F.sum("cnt").alias("freq"))
+        activities = sources.select(F.col("src").alias("activity"), "freq")
+    else:
+        edge = written(counted.where("low is null or high is null"), "totals")
+        each = edge.where("high is null")
+        activities = each.select(F.col("low").alias("activity"), F.col("down").alias("freq"))
+        totals = each.where("down > up").select(F.col("low").alias("src"), (F.col("down") - F.col("up")).alias("total"))
+    ending = edge.where("high is null and up > 0")
     return ProcessModel(
-        activities=sources.select(F.col("src").alias("activity"), "freq"),
+        activities=activities,
         dfg=occurring(ways).select("src", "dst", "cnt"),
-        starts=counted.where("low is null").select(F.col("high").alias("activity"), F.col("up").alias("cases")),
-        ends=counted.where("high is null").select(F.col("low").alias("activity"), F.col("up").alias("cases")),
+        starts=edge.where("low is null").select(F.col("high").alias("activity"), F.col("up").alias("cases")),
+        ends=ending.select(F.col("low").alias("activity"), F.col("up").alias("cases")),
         ways=ways,
+        totals=totals,
     )

@@ -13,7 +13,7 @@ from tracemill.operators.graph import ProcessGraph
 from tracemill.plans.fuzzy import fuzzy_graph
 from tracemill.plans.heuristic import dependencies, heuristic_graph
 
-_TABLES = tuple(f.name for f in fields(ProcessModel) if f.name not in ("dfg", "params", "miner", "ways"))
+_TABLES = tuple(f.name for f in fields(ProcessModel) if f.name not in ("dfg", "params", "miner", "ways", "totals"))
 
 #: A model's folder holds versions, and the file that names the one in force.
 _CURRENT = "CURRENT"

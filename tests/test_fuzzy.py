@@ -4,14 +4,36 @@ from collections import Counter
 import pytest
 
 from fixtures import LOGS, model_of, rows
-from tracemill import FuzzyBase, FuzzyParams, FuzzyRun, fuzzy_graph
+from tracemill import FuzzyBase, FuzzyParams, FuzzyRun, correlation, fuzzy_graph, outgoing
 from tracemill.operators.leaders import clusters
+from tracemill.plans import fuzzy
 
 @pytest.fixture(scope="module")
 def bases(spark):
     return {name: FuzzyBase(model_of(spark, traces)) for name, traces in LOGS.items()}
 
 
+@pytest.mark.parametrize("known,label_bytes", [(0, 256), (2, 256), (200_000, 256), (200_000, 4), (200_000, 0)])
+def test_correlation_whoever_is_known(bases, monkeypatch, known, label_bytes):
+    monkeypatch.setattr(fuzzy, "KNOWN", known)
+    monkeypatch.setattr(fuzzy, "LABEL_BYTES", label_bytes)
+    for name, traces in LOGS.items():
+        steps = Counter(p for t in traces for p in zip(t, t[1:]))
+        total = Counter(a for t in traces for a in t[:-1])
+        want = sorted((a, b, n, float(f"{n / total[a]:.2f}")) for (a, b), n in steps.items())
+        assert rows(correlation(bases[name].model), "src", "dst", "cnt", "corr") == want
+
+
+def test_only_few_sources_are_known(bases, monkeypatch):
+    totals = outgoing(bases["shift"].model)
+    n = {a: t for a, t in rows(totals, "src", "total")}
+    monkeypatch.setattr(fuzzy, "KNOWN", 2)
+    found = dict(rows(fuzzy._frequent(totals), "src", "total"))
+    assert 0 < len(found) <= 2 and min(found.values()) > max(t for a, t in n.items() if a not in found)
+    plan = correlation(bases["shift"].model)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan  # their pairs stay where they are read
+
+
 def test_known_significance(bases):
     # book, pack, and send occur six times each, sign four times, back once
     found = dict(rows(bases["parcel"].nodes, "activity", "sig"))

@@ -17,6 +17,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemill.functions.rounding import fmt2, mean2, np2
 from tracemill.operators.bands import band_cuts, band_of
@@ -35,6 +36,8 @@ EDGE_WIDTH = 0.1
 
 #: Activities with at least one in so many of all steps are known to every task; there are no more of them than that.
 FREQUENT = 200_000
+#: Activities whose totals every task may hold, and the bytes of a label among them.
+KNOWN, LABEL_BYTES = 200_000, 256
 
 _SETTINGS = ("significance", "correlation", "edge_cutoff", "utility_ratio")
 _REMOVED = "(only_node or ({0}sig < significance and {0}strongest < correlation))"
@@ -42,13 +45,31 @@ _REMOVED = "(only_node or ({0}sig < significance and {0}strongest < correlation)
 
 def outgoing(model: ProcessModel) -> DataFrame:
     """``src, total``: steps that leave an activity, self-loops counted."""
+    if model.totals is not None:
+        return model.totals
     return model.dfg.groupBy("src").agg(F.sum("cnt").alias("total"))
 
 
 def correlation(model: ProcessModel) -> DataFrame:
-    """``src, dst, cnt, corr``: the share of a pair in what leaves ``src``."""
-    share = fmt2(F.col("cnt") / F.col("total"))
-    return model.dfg.join(_hashed(outgoing(model)), "src").select("src", "dst", "cnt", share.alias("corr"))
+    """``src, dst, cnt, corr``: the share of a pair in what leaves ``src``.
+
+    Pairs of frequent sources, most of a large log's, stay where they are read; only the others are shuffled to their totals.
+    """
+    totals = outgoing(model)
+    known = F.broadcast(_frequent(totals).withColumnRenamed("total", "known"))
+    near = model.dfg.join(known, "src").withColumnRenamed("known", "total")
+    far = model.dfg.join(known, "src", "left").where("known is null").drop("known").join(_hashed(totals), "src")
+    return near.unionByName(far).select("src", "dst", "cnt", fmt2(F.col("cnt") / F.col("total")).alias("corr"))
+
+
+def _frequent(totals: DataFrame) -> DataFrame:
+    """The activities of ``totals`` with the largest ones, down to a power of two: as many as every task may know."""
+    short = totals.where(F.octet_length("src") <= LABEL_BYTES)
+    size = F.floor(F.log2("total")).alias("size")
+    sizes = short.groupBy(size).agg(F.count(F.lit(1)).alias("n"))  # 63 rows at most
+    upto = F.sum("n").over(Window.orderBy(F.desc("size")))
+    least = sizes.select("size", upto.alias("n")).where(F.col("n") <= KNOWN).agg(F.coalesce(F.min("size"), F.lit(63)))
+    return short.where(size >= least.scalar())
 
 
 def _hashed(table: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 #: Activities of a block; one longer case is a block of its own.
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 21
 #: Bytes of labels that leave a block at a time, and that a block of several batches has before it is closed.
 OUT_BYTES = 16 << 20
 BLOCK_BYTES = 128 << 20

@@ -71,9 +71,19 @@ def _counted(block_rows: int):
             line[np.arange(1, len(labels) + 1) + np.repeat(np.arange(len(lengths)), lengths)] = number[
                 labels.indices.to_numpy()
             ]
-            src, dst = line[:-1], np.where(line[1:] == 0, none, line[1:])
-            steps = ((np.minimum(src, dst) * (none + 1) + np.maximum(src, dst)) << 1) | (src > dst)
-            steps = np.sort(steps[(src != 0) | (dst != none)])
+            frequency = np.bincount(line, minlength=none)[1:]
+            del labels
+            src, dst = line[:-1], line[1:].copy()
+            dst[dst == 0] = none
+            some, back = (src != 0) | (dst != none), src > dst
+            steps = np.minimum(src, dst)  # the rest is done in place, as a worker has little memory of its own
+            steps *= none + 1
+            steps += np.maximum(src, dst, out=dst)
+            steps <<= 1
+            steps |= back
+            del line, src, dst
+            steps = steps[some]
+            steps.sort()
             if not len(steps):
                 return
             first = np.flatnonzero(np.diff(steps, prepend=-1))
@@ -87,7 +97,7 @@ def _counted(block_rows: int):
             last, each = high == none, np.arange(1, none)
             ending = np.zeros(none, np.int64)
             ending[low[last]] = up_down[0, last]
-            totals = np.stack([ending[1:], np.bincount(line, minlength=none)[1:]])
+            totals = np.stack([ending[1:], frequency])
             low, high = np.append(low[~last], each), np.append(high[~last], np.full(len(each), none))
             up_down = np.append(up_down[:, ~last], totals, axis=1)
             size = np.zeros(none + 1, np.int64)

@@ -60,3 +60,20 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("one_task_rows", [100, 0])
+@pytest.mark.parametrize("keys", [range(0, 30, 3), range(1, 12), [5, 2, 2, 9, 9, 9, 4], [7, None, 1, 3, 8], [None], []])
+def test_the_ladder_starts_at_the_median_without_all_keys_in_one_task(spark, tmp_path, monkeypatch, keys, one_task_rows):
+    keys = list(keys)
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(entry.ranked, "__defaults__", ((), one_task_rows))
+    roots, reachable = [], entry.tm.reachable
+    monkeypatch.setattr(entry.tm, "reachable", lambda g, r: roots.append(r) or reachable(g, r))
+    got = [tuple(r) for r in entry.queries()["reachable_ladder_orders"](spark, str(tmp_path)).collect()]
+    distinct = sorted({k for k in keys if k is not None})
+    middle = distinct[(len(distinct) + 1) // 2 - 1] if distinct else None
+    want = [(str(s * k), "activity", k >= middle) for k in distinct for s in (1, -1)]
+    want += [(None, "activity", False)] * (2 * (None in keys))
+    assert sorted(got, key=comparable) == sorted(want, key=comparable)
+    assert "percentile" not in roots[0]._jdf.queryExecution().toString()  # it holds each distinct key in the one task that ends it

@@ -249,3 +249,32 @@ def test_an_interrupted_save_leaves_the_old_model(spark, tmp_path, monkeypatch):
     assert len([p for p in (tmp_path / "m").iterdir() if p.name.startswith("version-")]) == 2  # in force, and before it
     with pytest.raises(FileNotFoundError):
         load_model(spark, str(tmp_path / "none"))
+
+
+def test_a_few_nodes_with_one_way_in_cost_no_pass_over_all_edges(spark, monkeypatch):
+    """A ladder open both ways: but for its ends, all that merges at first are the two sides."""
+    from tracemill import storage
+
+    rungs, stored = 60, []
+    monkeypatch.setattr(storage, "new_dir", lambda s, label, f=storage.new_dir: stored.append(label) or f(s, label))
+    n = 2 * rungs
+    links = [(i, i + 2) for i in range(n - 2)] + [(i, i + 1 - 2 * (i % 2)) for i in range(n)]
+    nodes = spark.createDataFrame([(f"n{i:03d}", "k") for i in range(n)], "node string, node_kind string")
+    edges = spark.createDataFrame([(f"n{a:03d}", "k", f"n{b:03d}", "k") for a, b in links],
+                                  "src string, src_kind string, dst string, dst_kind string")
+    got = rows(reachable(ProcessGraph(nodes, edges), nodes.where("node = 'n040'")), "node", "reached")
+    assert got == [(f"n{i:03d}", i >= 40) for i in range(n)]
+    assert stored.count("links") == 4  # all, those left, sides merged, rungs merged
+
+
+def test_edges_left_are_told_apart_only_behind_the_origin(spark, monkeypatch):
+    from tracemill.operators import graph as module
+
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    links = table([("r", "m"), ("r", "n"), ("m", "x"), ("n", "x"), ("n", "y"), ("x", "y"), ("y", "m")], "a string, b string")
+    plans = []
+    written = module.written
+    monkeypatch.setattr(module, "written", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan()) or written(df, label))
+    left = module._left(links, table([("r",), ("m",), ("n",)], "a string"), table([("m",), ("n",)], "a string"))
+    assert rows(left, "a", "b") == [("", "x"), ("", "y"), ("x", "y")]
+    assert "Aggregate [a" not in plans[0].toString()

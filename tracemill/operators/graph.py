@@ -75,6 +75,8 @@ def summary(graph: ProcessGraph) -> DataFrame:
 
 #: Rounds along single edges before nodes of one fate are merged, and before shortcuts are made.
 PLAIN_ROUNDS = 8
+#: Nodes with one way in that are not worth a pass over all edges: left as they are, they cost a round each at most.
+FEW_NODES = 8
 #: Shortcuts per node and length, where paths fork at every step.
 FAN = 4
 #: Stands for all nodes that have been reached; no key is empty.
@@ -143,8 +145,9 @@ def _rounds(links: DataFrame, seen: Collected, new: DataFrame, rounds: int | Non
 def _left(links: DataFrame, seen: DataFrame, new: DataFrame) -> DataFrame:
     """The edges to nodes that have not been reached; those from nodes that have (the ``new`` ones) come from the origin."""
     left = links.join(seen.select(F.col("a").alias("b")), "b", "left_anti")
-    left = left.join(new.withColumn("origin", F.lit(_ORIGIN)), "a", "left")
-    return written(left.select(F.coalesce("origin", "a").alias("a"), "b").distinct(), "links")
+    first = left.join(new, "a", "left_semi").select("b").distinct()  # other edges are as distinct as before
+    left = left.join(new, "a", "left_anti").select("a", "b")
+    return written(left.unionByName(first.select(F.lit(_ORIGIN).alias("a"), "b")), "links")
 
 
 def _merged(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -161,9 +164,10 @@ def _merged(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         entered = links.groupBy("b").agg(F.min("a").alias("p"), F.count(F.lit(1)).alias("n"))
         entered = entered.where((F.col("n") == 1) | (F.col("p") == _ORIGIN))
         fate = ends_of(entered.select(F.col("b").alias("a"), "p", F.lit(False).alias("flip")))
-        fates.append(fate)
-        links = links.join(fate.select(F.col("a").alias("b")), "b", "left_anti")
-        links = written(_named(links, fate, "a").where("a <> b").distinct(), "links")
+        if fate.count() > FEW_NODES:
+            fates.append(fate)
+            links = links.join(fate.select(F.col("a").alias("b")), "b", "left_anti")
+            links = written(_named(links, fate, "a").where("a <> b").distinct(), "links")
         pairs = links.where(F.col("a") != _ORIGIN).groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("a"))
         pairs = pairs.agg(F.count(F.lit(1)).alias("n")).where("n = 2")
         fate = ends_of(pairs.groupBy("a").agg(F.min("p").alias("p")).withColumn("flip", F.lit(False)))
